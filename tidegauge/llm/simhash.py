@@ -10,8 +10,8 @@ one half of 32 bits differs by at most 2, so they share one of the 33 variants w
 fingerprint goes on only with the half variants that another one shares, and adds the bits of the other half.
 
 Fingerprints: of word shingles (see sketch()). Null and blank texts have the fingerprint zero, linked like any
-other; texts with fewer words than a shingle are one shingle. Rows with a null id get a fingerprint and the
-component of equal or near fingerprints, but give no component its name. Repeated rows are equal fingerprints.
+other; texts with fewer words than a shingle are one shingle. Rows with a null id link like others, but
+give no component its name. Repeated rows are equal fingerprints.
 Other columns pass through keep(). Empty tables give empty results.
 """
 
@@ -75,28 +75,34 @@ def _exploded(masks: list[int]):
     return F.explode(F.array(*[F.lit(_long(m)) for m in masks]))
 
 
-def links(scratch: Scratch, prints: DataFrame) -> DataFrame:
-    """(a, b) ids that join all fingerprints within RADIUS bits; prints: distinct (rep, fp), rep an id."""
-    low, swap = F.lit(0xFFFFFFFF), lambda c: F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32))
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b) fingerprints, linked pairs that join all those within RADIUS bits; prints: distinct (fp).
+
+    A half's key holds its 32 bits on top and the side below. Rows are two numbers wide, as 66 of them go through a
+    shuffle for each fingerprint; the join is told to sort, since Spark takes its sides for as small as the table
+    that they are exploded from, and would broadcast them.
+    """
+    high, low = F.lit(_long(0xFFFFFFFF00000000)), F.lit(0xFFFFFFFF)
+    swap = lambda c: F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32))
+    side = lambda n, c: F.struct(F.lit(n).cast("long").alias("side"), c.alias("turned"))
     # turned: the fingerprint with the half in question on top; side 1 is the lower half
-    sides = prints.select("rep", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("fp").alias("turned")), F.struct(F.lit(1).alias("side"), swap(F.col("fp")).alias("turned")))).alias("s")).select("rep", "s.*")
-    half = sides.select("rep", "side", "turned", _exploded([m << 32 for m in _masks(32, 1)]).alias("mask"))
-    # low bits of the key: the side; a half variant's own 32 bits are on top
-    key = F.col("turned").bitwiseXOR(F.col("mask")).bitwiseAND(F.lit(_long(0xFFFFFFFF00000000))).bitwiseOR(F.col("side").cast("long"))
-    half = half.select("rep", "turned", "mask", key.alias("key"))
-    span = half.groupBy("key").agg(F.min("turned").alias("least"), F.max("turned").alias("most"))
-    top = lambda c: F.shiftrightunsigned(c, 32)
-    # of fingerprints that all have the same half, only that half itself is of use as a meeting point
-    of_use = (F.col("least") != F.col("most")) & ((top("least") != top("most")) | (top("least") == top("key")))
-    shared = half.join(span.where(of_use).select("key"), "key")
-    near, far = _masks(32, 1), _masks(32, 2)
-    rest = F.when(F.col("mask") == 0, F.array(*[F.lit(m) for m in far])).otherwise(F.array(*[F.lit(m) for m in near]))
-    ball = shared.select("rep", "key", "turned", "mask", F.explode(rest).alias("bits"))
-    meet = F.col("turned").bitwiseXOR(F.col("mask")).bitwiseXOR(F.col("bits"))
-    ball = ball.select("rep", F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, swap(meet)).otherwise(meet).alias("meet"), F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, swap(F.col("turned"))).otherwise(F.col("turned")).alias("fp"))
-    hub = F.min(F.struct("rep", "fp")).over(Window.partitionBy("meet"))
-    met = ball.withColumn("hub", hub).where("rep != hub.rep")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= RADIUS).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
+    sides = prints.select(F.explode(F.array(side(0, F.col("fp")), side(1, swap(F.col("fp"))))).alias("s")).select("s.*")
+    key = lambda mask: F.col("turned").bitwiseXOR(mask).bitwiseAND(high).bitwiseOR(F.col("side"))
+    masks = F.array(*[F.struct(F.lit(_long(m << 32)).alias("mask"), F.lit(1 << i).alias("place")) for i, m in enumerate(_masks(32, 1))])
+    half = sides.select("side", "turned", F.explode(masks).alias("m")).select("turned", F.col("m.place").alias("place"), key(F.col("m.mask")).alias("key"))
+    # a half variant is of use to two fingerprints that reach it differently, or that both have it as it is
+    reached = half.groupBy("key").agg(F.bit_or("place").alias("places")).where(F.bit_count("places") > 1).select("key")
+    equal = sides.groupBy(key(F.lit(0)).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = half.select("turned", "key").join(reached.unionAll(equal).hint("merge"), "key", "left_semi")
+    near, far = (F.array(*[F.lit(m) for m in _masks(32, most)]) for most in (1, 2))
+    own_half = F.col("turned").bitwiseXOR(F.col("key")).bitwiseAND(high) == 0
+    ball = shared.select("turned", "key", F.explode(F.when(own_half, far).otherwise(near)).alias("bits"))
+    meet = F.col("key").bitwiseAND(high).bitwiseOR(F.col("turned").bitwiseAND(low).bitwiseXOR(F.col("bits")))
+    lower = F.col("key").bitwiseAND(F.lit(1)) == 1
+    back = lambda c: F.when(lower, swap(c)).otherwise(c)
+    ball = ball.select(back(meet).alias("meet"), back(F.col("turned")).alias("fp"))
+    met = ball.withColumn("hub", F.min("fp").over(Window.partitionBy("meet"))).where("fp != hub")
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
@@ -104,9 +110,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, ident: str = "doc_id",
     scratch = Scratch(spark, "simhash")
     prints = scratch.save(fingerprints(docs, ident, text, width), "prints")
     reps = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    edges = scratch.save(links(scratch, reps.where("rep is not null")), "links")
-    roots = components(scratch, edges)
-    named = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(scratch, scratch.save(links(reps.select("fp")), "links"))
+    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
