@@ -234,7 +234,7 @@ def test_exact_dedup_over_partitions(spark):
 
 def test_quality(spark, docs, none):
     got = queries.op5_quality(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
-    n = got.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == F.col("predicted")).alias("right"), F.count_if("quality = 1 and predicted = 0").alias("lost"), F.count_if("quality = 1").alias("clean")).first()
+    n = got.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == F.col("predicted")).alias("right"), F.expr("count_if(quality = 1 and predicted = 0)").alias("lost"), F.expr("count_if(quality = 1)").alias("clean")).first()
     assert n.right >= 0.97 * n.n and n.lost <= 0.01 * n.clean
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     scored = quality.score(docs, model)
@@ -245,13 +245,13 @@ def test_quality(spark, docs, none):
 
 
 def slow_segments(scores):
-    """Maximal scoring subsequences by their definition, recursively."""
+    """Maximal scoring subsequences by their definition, recursively; of equal ones the shortest."""
     best, at = 0.0, None
     for i in range(len(scores)):
         total = 0.0
         for j in range(i, len(scores)):
             total += scores[j]
-            if total > best + 1e-9:
+            if total > best + 1e-9 or at and total > best - 1e-9 and j + 1 - i < at[1] - at[0]:
                 best, at = total, (i, j + 1)
     if at is None:
         return []
@@ -265,7 +265,7 @@ def test_segments():
     for _ in range(300):
         words = [rng.choice(["bad", "awful", "nastyyy", "a", "b", "c", "d", "e"]) for _ in range(rng.randrange(30))]
         n, got = model.passages(" ".join(words))
-        value = {"bad": 3.5, "awful": 6.25, "nastyyy": 0.0}
+        value = {"bad": 3.5, "awful": 6.25, "nastyyy": 0.75}
         want = slow_segments([value.get(w) or -toxicity.DRIFT for w in words])
         assert n == len(words) and sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
         assert max((s for *_, s in got), default=0) == pytest.approx(max((s for *_, s in want), default=0))
@@ -275,7 +275,7 @@ def test_segments():
 def test_toxicity(spark, docs, none):
     sf = "/root/testdata/sf0.1"
     got = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
-    n = got.agg(F.count_if("toxic = 1").alias("toxic"), F.count_if("toxic = 1 and predicted = 1").alias("hit"), F.count_if("toxic = 0").alias("clean"), F.count_if("toxic = 0 and predicted = 1").alias("wrong")).first()
+    n = got.agg(F.expr("count_if(toxic = 1)").alias("toxic"), F.expr("count_if(toxic = 1 and predicted = 1)").alias("hit"), F.expr("count_if(toxic = 0)").alias("clean"), F.expr("count_if(toxic = 0 and predicted = 1)").alias("wrong")).first()
     assert n.hit >= 0.75 * n.toxic and n.wrong <= 0.01 * n.clean
     model = toxicity.train(spark, docs, spark.createDataFrame([], "doc_id long, toxic int"))
     scored = toxicity.score(docs, model)
