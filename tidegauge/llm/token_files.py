@@ -30,13 +30,22 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from .common import Scratch, null_text
 
 END = 1
-TABLE_ENTRIES = 700_000
+#: Entries of a worker's table; it keeps two of them.
+TABLE_ENTRIES = 500_000
 #: Texts whose new words are encoded in one call.
 GROUP = 64
 STRIPE_BYTES, INDEX_STRIDE = 64 << 20, 10_000
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("shard", IntegerType()), StructField("start_in_shard", LongType()), StructField("ids", ArrayType(IntegerType()))])
 
 
+#: Marks that a word is parted from, where it is otherwise Latin letters: the tokenizer's own pattern parts them too.
+MARKS = b".,;:!?"
+
+
+def _plain(word: bytes) -> bool:
+    return word.isalpha() or bool(word) and (text := word.decode()).isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
 class Words:
     """A tokenizer and its table: word -> ids as little-endian 32-bit integers."""
 
@@ -46,8 +55,10 @@ class Words:
 
         self.model = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what a full table held: words still met move back
         whole, parts = " Ab,c \t\n DÉ éx<|endoftext|>.", ("Ab,c", "DÉ", "éx<|endoftext|>.")
         self.cut = self._encode([whole])[0] == sum((self._encode([p])[0] for p in parts), []) and self._encode([" \n"])[0] == []
+        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size())])
         self.low = self._encode(["AbÉ"]) == self._encode(["abÉ"])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -61,6 +72,25 @@ class Words:
         raw = text.encode()
         return raw.lower().split() if self.low and b"<|" not in raw else raw.split()
 
+    def learn(self, new: list[bytes]) -> None:
+        """Letters with marks after them are two tokens' worth each: letters are encoded in lines of many words, cut
+        again where a token ends a word, and marks once for all words."""
+        parts = [(w, w.rstrip(MARKS)) for w in new]
+        parts = [(w, w[: len(a)], w[len(a) :]) if _plain(a) else (w, b"", w) for w, a in parts]
+        letters = list({a for _, a, _ in parts if a and a not in self.ids})
+        rest = list({b for _, _, b in parts if b and b not in self.ids})
+        self.ids.update(zip(rest, map(self._bytes, self._encode([b.decode() for b in rest]))))
+        for at in range(0, len(letters), 500):
+            some = letters[at : at + 500]
+            ids = np.array(self._encode([b" ".join(some).decode()])[0], "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                line = ids.tobytes()
+                self.ids.update((a, line[x:y]) for a, x, y in zip(some, [0, *ends], ends))
+            else:
+                self.ids.update(zip(some, map(self._bytes, self._encode([a.decode() for a in some]))))
+        self.ids.update((w, self.ids[a] + self.ids[b] if b else self.ids[a]) for w, a, b in parts if a)
+
     def encode(self, texts: list[str]):
         for at in range(0, len(texts), GROUP):
             some = texts[at : at + GROUP]
@@ -69,10 +99,11 @@ class Words:
                 continue
             cut = [self.words(t) for t in some]
             if len(self.ids) > TABLE_ENTRIES:
-                self.ids.clear()
-            new = list({w for words in cut for w in words if w not in self.ids})
-            for w, ids in zip(new, self._encode([w.decode() for w in new])):
-                self.ids[w] = self._bytes(ids)
+                self.older, self.ids = self.ids, {}
+            new = {w for words in cut for w in words if w not in self.ids}
+            known = new & self.older.keys()
+            self.ids.update((w, self.older[w]) for w in known)
+            self.learn(list(new - known))
             for words in cut:
                 yield b"".join(map(self.ids.__getitem__, words))
 
