@@ -1 +1 @@
-"""To be filled."""
+"""Operators on SeriesFrame, by purpose: each returns a new lazy table."""

@@ -1 +1,6 @@
-"""To be filled."""
+"""The operators that run on streams: stateless tags and fills, daily values with a watermark, and tags that need the
+last value of a series."""
+
+from .adapters import daily_average_stream, last_value_stream, tag_stream
+
+__all__ = ["daily_average_stream", "last_value_stream", "tag_stream"]
