@@ -29,14 +29,14 @@ def create_gaps(s: SeriesFrame, gaps: DataFrame, *columns: str, null_gaps: bool
 
     gaps: (iteration, start, size) and optionally gap_key. Gaps may overlap."""
     s = s.done().positions()
-    spots = gaps.where("size > 0").withColumn("at", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
     keyed = "gap_key" in gaps.columns
-    spots = spots.select("iteration", "at", *["gap_key"] * keyed).distinct()
-    many = gaps.select("iteration").distinct()
-    df = s.df.drop("iteration").join(many)  # a copy of the series for each iteration is what is asked for
-    on = (df["iteration"] == spots["iteration"]) & (df[RN] == spots["at"])
-    on = on & df[s.key].eqNullSafe(spots["gap_key"]) if keyed else on
-    df = df.join(spots.withColumn("__hit", F.lit(True)), on, "left").drop(spots["iteration"], "at", "gap_key")
+    spots = gaps.where("size > 0").withColumn("at", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
+    spots = spots.select(F.col("iteration").alias("__i"), "at", *["gap_key"] * keyed).distinct()
+    many = gaps.select(F.col("iteration").alias("__it")).distinct()
+    df = s.df.drop("iteration").join(many).withColumnRenamed("__it", "iteration")  # a copy of the series for each iteration is what is asked for
+    on = (F.col("iteration") == F.col("__i")) & (F.col(RN) == F.col("at"))
+    on = on & F.col(s.key).eqNullSafe(F.col("gap_key")) if keyed else on
+    df = df.join(spots.withColumn("__hit", F.lit(True)), on, "left").drop("__i", "at", "gap_key")
     df = df.withColumn("__gap", F.coalesce("__hit", F.lit(False))).drop("__hit")
     key = F.struct(F.col(s.key).alias("series"), F.col("iteration"))
     change = {c: F.when(F.col("__gap"), F.lit(None if null_gaps else 0).cast("double")).otherwise(F.col(c).cast("double")) for c in columns}

@@ -317,9 +317,9 @@ def ratio_checked(spark, sf):
     return s.calc_ratio("click", "view", RANGE, only_checked=True).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query(f"""WITH {HOURLY}, t AS (SELECT epoch_us(time) / 86400e6::DOUBLE - (SELECT min(epoch_us(time)) / 86400e6::DOUBLE FROM hourly) AS at, click / view AS r FROM hourly),
-n AS (SELECT floor((max(floor(at)) - 4) / 4) AS top_ FROM t), w AS (SELECT unnest(range(0, top_::BIGINT + 1)) AS "window" FROM n),
-e AS (SELECT "window", avg(r) AS mean, stddev_samp(r) AS std FROM w JOIN t ON at >= "window" * 4 AND at <= "window" * 4 + 4 GROUP BY ALL)
+@query(f"""WITH {HOURLY}, t AS (SELECT epoch_us(time) / 86400e6::DOUBLE - (SELECT min(epoch_us(time)) / 86400e6::DOUBLE FROM hourly) AS tx, click / view AS r FROM hourly),
+n AS (SELECT floor((max(floor(tx)) - 4) / 4) AS top_ FROM t), w AS (SELECT unnest(range(0, top_::BIGINT + 1)) AS "window" FROM n),
+e AS (SELECT "window", avg(r) AS mean, stddev_samp(r) AS std FROM w JOIN t ON tx >= "window" * 4 AND tx <= "window" * 4 + 4 GROUP BY ALL)
 SELECT "window"::BIGINT AS "window", round(mean, 6) AS mean, round(std, 6) AS std FROM e WHERE std / mean IS NOT NULL ORDER BY std / mean, "window" LIMIT 1""")
 def best_ratio_window(spark, sf):
     return hourly(spark, sf).compare_ratio("click", "view", 4).select("window", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
@@ -480,9 +480,9 @@ def fill_model_nearest_chunked(spark, sf):
     return _filled(hourly(spark, sf, chunk_rows=100).tag_nan("click").fill_model("click", _model(spark), RANGE), "click")
 
 
-@query(f"""WITH {HOURLY}, m AS (SELECT i / 3.0::DOUBLE AS mt, i * 2.0::DOUBLE AS mv FROM range(90) AS r(i)), h AS (SELECT *, round((epoch_us(time) - (SELECT min(epoch_us(time)) FROM hourly)) / 86400e6::DOUBLE, 5) AS at FROM hourly),
-pre AS (SELECT h.*, m.mt AS pt, m.mv AS pv FROM h ASOF LEFT JOIN m ON h.at >= m.mt), sides AS (SELECT p.*, m.mt AS ft, m.mv AS fv FROM pre p ASOF LEFT JOIN m ON p.at <= m.mt),
-near AS (SELECT *, CASE WHEN pt IS NULL THEN fv WHEN ft IS NULL OR at - pt <= ft - at THEN pv ELSE fv END AS m FROM sides)
+@query(f"""WITH {HOURLY}, m AS (SELECT i / 3.0::DOUBLE AS mt, i * 2.0::DOUBLE AS mv FROM range(90) AS r(i)), h AS (SELECT *, round((epoch_us(time) - (SELECT min(epoch_us(time)) FROM hourly)) / 86400e6::DOUBLE, 5) AS tx FROM hourly),
+pre AS (SELECT h.*, m.mt AS pt, m.mv AS pv FROM h ASOF LEFT JOIN m ON h.tx >= m.mt), sides AS (SELECT p.*, m.mt AS ft, m.mv AS fv FROM pre p ASOF LEFT JOIN m ON p.tx <= m.mt),
+near AS (SELECT *, CASE WHEN pt IS NULL THEN fv WHEN ft IS NULL OR tx - pt <= ft - tx THEN pv ELSE fv END AS m FROM sides)
 SELECT time, round(CASE WHEN {_GAP} THEN m ELSE click END, 6) AS value, CASE WHEN {_GAP} THEN 'filled_infl_model' WHEN click IS NULL THEN 'filtered' ELSE 'original' END AS origin FROM near""")
 def fill_model_elapsed(spark, sf):
     model = spark.range(90).select((F.col("id") / 3.0).alias("t"), (F.col("id") * 2.0).alias("v"))
