@@ -167,6 +167,7 @@ def runs(s: SeriesFrame, tag: Column, arange, to: str = "run_size") -> SeriesFra
     s = s.previous(__pt=(F.col("__tag"), False), __pi=(F.col("__in"), False))
     changed = ~(F.col("__tag").eqNullSafe(F.col("__pt")) & F.col("__in").eqNullSafe(F.col("__pi")))
     s = s.running_sum("__run", changed.cast("int"))
+    s = s.cut() if s.chunk_rows else s
     size = s.df.groupBy(F.col(s.key).alias("__k"), F.col("__run").alias("__r")).agg(F.count("*").alias(to)) if s.chunk_rows else None
     if size is None:
         df = s.df.withColumn(to, F.count("*").over(Window.partitionBy(s.key, "__run")))

@@ -6,11 +6,13 @@ is ever aligned by a join. All ordered operations of a table share one partition
 Long series: with chunk_rows set, a series is cut into chunks of that many rows. Positions come from counts by day
 (or whole time unit) and their running sums, and each ordered operation works within chunks, with what it needs from
 other chunks carried over from one summary row a chunk, or from copies of the neighbouring rows. So no task holds
-more than a chunk of one series; the summaries are as many rows as there are chunks.
+more than a chunk of one series; the summaries are as many rows as there are chunks. The rows are checkpointed before
+each such summary, so a chain's plan stays as long as one operator's.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,7 +115,7 @@ class SeriesFrame:
         if not self.chunk_rows:
             return self.add(**{RN: F.row_number().over(self.window())})
         part = F.date_trunc("day", self.time).cast("timestamp_ntz") if self.is_datetime else F.floor(self.time)
-        df = self.df.withColumn("__part", part)
+        df = self.cut().df.withColumn("__part", part)
         counts = df.groupBy(self.key, "__part").agg(F.count("*").alias("__n"))
         before = F.coalesce(F.sum("__n").over(Window.partitionBy(self.key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.select(F.col(self.key).alias("__k"), F.col("__part").alias("__p"), before.alias("__before"))
@@ -122,11 +124,20 @@ class SeriesFrame:
         df = df.withColumn(RN, rn).withColumn(CHUNK, F.floor((F.col(RN) - 1) / self.chunk_rows))
         return self.with_df(df.drop("__part", "__k", "__p", "__before"))
 
+    def cut(self) -> SeriesFrame:
+        """Written to the checkpoint folder and read from there: for long chains, as operators that join a series with
+        a summary of itself have it in their plan twice."""
+        context = self.df.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:  # set by spark.checkpoint.dir on a cluster
+            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegauge-"))
+        return self.with_df(self.df.checkpoint())
+
     def _inner(self):
         return Window.partitionBy(self.key, CHUNK).orderBy(RN)
 
     def _carry(self, df: DataFrame, aggs: dict[str, Column], spread: dict[str, Column]) -> DataFrame:
         """Joins what other chunks know: aggs make a row for each chunk, spread goes over a series' chunks in order."""
+        df = self.with_df(df).cut().df
         some = df.groupBy(self.key, CHUNK).agg(*[c.alias(n) for n, c in aggs.items()]).withColumns(spread)
         some = some.select(F.col(self.key).alias("__k"), F.col(CHUNK).alias("__c"), *spread)
         return df.join(some, F.col(self.key).eqNullSafe(F.col("__k")) & (F.col(CHUNK) == F.col("__c"))).drop("__k", "__c")
