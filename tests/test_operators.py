@@ -1,0 +1,255 @@
+"""Hand-made series with their expected tags and fills; order, chunks and properties."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidegauge.api import LabExperiment, LabSeries, OnlineSeries
+from tidegauge.operators import filling, formatting, lab, reliability, report, smoothing, stats, tagging
+from tidegauge.plans.series import filled, fillmeta, valid
+
+T0 = datetime(2024, 1, 1)
+
+
+def series(spark, values, minutes=5, chunk_rows=None, start=T0, partitions=1, **more):
+    rows = [(start + timedelta(minutes=minutes * i), i, float(v) if v is not None else None, *[x[i] for x in more.values()]) for i, v in enumerate(values)]
+    random.Random(1).shuffle(rows)
+    kinds = "".join(f", {k} double" for k in more)
+    return OnlineSeries.wrap(spark.createDataFrame(rows, f"time timestamp_ntz, seq long, v double{kinds}").repartition(partitions), chunk_rows=chunk_rows)
+
+
+def tags(s, c="v"):
+    return "".join(r[0][0] for r in s.df.orderBy("time", "seq").select(valid(c)).collect())
+
+
+def column(s, c):
+    return [r[0] for r in s.df.orderBy("time", "seq").select(c).collect()]
+
+
+def test_tag_nan(spark):
+    s = series(spark, [1, None, 3]).tag_extremes("v", limit=2)
+    assert tags(s) == "foo" and tags(s.tag_nan("v")) == "ofo" and tags(s.tag_nan("v", preserve_tags=True)) == "ffo"
+
+
+def test_tag_doubles(spark):
+    s = series(spark, [5, 5.01, None, 5.02, 9])
+    assert tags(s.tag_doubles("v", 0.05)) == "ffofo" and tags(s.tag_doubles("v", 0.05, tag_first=False)) == "ofofo"
+    assert column(s.tag_doubles("v", 0.05, final=True), "v") == [None, None, None, None, 9]
+
+
+def test_tag_extremes(spark):
+    s = series(spark, [0, 5, 11, None, 100])
+    assert tags(s.tag_extremes("v", limit=5)) == "foooo" and tags(s.tag_extremes("v", limit=11, method="above")) == "oooof"
+    with pytest.raises(ValueError):
+        s.tag_extremes("v", method="beside")
+
+
+def test_moving_filters(spark):
+    s = series(spark, [1, 2, 50, 3, 4])
+    whole = (T0, T0 + timedelta(hours=1))
+    assert tags(s.moving_slope_filter("v", 5, whole, time_unit="min")) == "ooffo"
+    part = (T0 + timedelta(minutes=10), T0 + timedelta(minutes=15))
+    assert tags(s.moving_slope_filter("v", 5, part, time_unit="min")) == "ffoff"
+    assert tags(s.moving_slope_filter("v", 5, part, time_unit="min", strict_range=True)) == "ooofo"
+    with pytest.raises(TypeError):
+        s.slopes("v")
+    with pytest.raises(ValueError):
+        s.slopes("v", time_unit="weeks")
+
+
+@pytest.mark.parametrize("window", [3, 4, 12])
+def test_moving_average(spark, window):
+    values = [float(i * i) for i in range(30)]
+    got = column(series(spark, values).moving_average("v", window), "v")
+    want = pd.Series(values).rolling(window, center=True).mean().tolist()
+    assert got == pytest.approx(want, nan_ok=True) or [g is None for g in got] == [w != w for w in want]
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w == w])
+
+
+def test_interpolation_limits(spark):
+    values = [None] * 3 + [1, None, 3] + [None] * 3 + [7, 8] + [None] * 6 + [15] + [None] * 4
+    whole = (T0, T0 + timedelta(days=1))
+    s = series(spark, values).tag_nan("v").fill_interpolation("v", 4, whole)
+    want = pd.Series(values, dtype=float).interpolate(limit=4).tolist()
+    assert column(s, filled("v")) == pytest.approx([None if w != w else w for w in want])
+    origin = column(s, fillmeta("v"))
+    assert origin[:6] == ["filled_interpol"] * 3 + ["original", "filled_interpol", "original"] and set(origin[11:17]) == {"filtered"} and set(origin[18:]) == {"filtered"}
+    t = series(spark, values).tag_nan("v").fill_interpolation("v", 4, whole, require_value=True, only_targets=True)
+    assert column(t, fillmeta("v"))[0] == "filtered" and column(t, filled("v"))[11] is None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chunks_change_nothing(spark, seed):
+    rng = random.Random(seed)
+    values = [rng.choice([None, None, float(rng.randrange(20))]) for _ in range(200)]
+    whole = (T0, T0 + timedelta(days=9))
+
+    def chain(chunk, partitions):
+        s = series(spark, values, 60, chunk, partitions=partitions, u=[float(i % 7) for i in range(200)]).tag_nan("v").tag_doubles("v", 2.0)
+        s = s.moving_slope_filter("v", 9, whole, time_unit="hr", true_elapsed=True, strict_range=True).fill_interpolation("v", 3, whole)
+        s = smoothing.moving_average(s, "v", 7, to="m").moving_average_filter("u", 4, 0.5, whole).done()
+        s = stats.runs(s, F.col(valid("v")), whole, "size").done()
+        return s.df.orderBy("time").select("time", "v", valid("v"), filled("v"), fillmeta("v"), "m", valid("u"), "size").collect()
+
+    plain = chain(None, 1)
+    for chunk, partitions in ((16 if seed else 64, 3),):
+        for a, b in zip(plain, chain(chunk, partitions)):
+            assert a[:3] == b[:3] and a[4] == b[4] and a[6:] == b[6:] and a[3] == pytest.approx(b[3]) and a[5] == pytest.approx(b[5])
+
+
+def test_daily_profile(spark):
+    s = series(spark, [1, 2, None, 4, 3, 4, 5, 6], 360)
+    got = {r.tod // 3_600_000_000: r for r in s.daily_profile("v", ("2024/1/1", "2024/1/2")).collect()}
+    assert got[0].avg == 2 and got[0].std == pytest.approx(2**0.5) and got[12].avg == 5 and got[12].std is None and got[18].q_upper == pytest.approx(5.8)
+    bypos = {r.tod // 3_600_000_000: r.avg for r in s.daily_profile("v", ("2024/1/1", "2024/1/2"), positional=True).collect()}
+    assert bypos == {h: r.avg for h, r in got.items()}
+
+
+def test_duplicates(spark):
+    df = spark.createDataFrame([(T0, 0, None, 5.0), (T0, 1, 1.0, 6.0)], "time timestamp_ntz, seq long, a double, b double")
+    s = OnlineSeries.wrap(df)
+    assert s.drop_duplicates().df.select("a", "b").first() == (None, 5.0) and s.drop_duplicates("first_nonnull").df.select("a", "b").first() == (1.0, 5.0)
+
+
+def test_correlation(spark):
+    u = [float(i) for i in range(20)]
+    s = series(spark, [2 * x + 1 for x in u], u=u)
+    whole = (T0, T0 + timedelta(days=1))
+    r = s.correlation("u", "v", whole).first()
+    assert (r.slope, r.intercept, r.r_squared) == pytest.approx((2, 1, 1))
+    z = s.correlation("u", "v", whole, zero_intercept=True).first()
+    x, y = np.array(u), 2 * np.array(u) + 1
+    assert (z.slope, z.r_squared) == pytest.approx(((x @ y) / (x @ x), (x @ y) ** 2 / ((x @ x) * (y @ y))))
+    assert stats.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
+
+
+def test_nearest(spark):
+    s = OnlineSeries.wrap(spark.createDataFrame([(5.0, 0, None), (6.0, 1, None), (-3.0, 2, None), (99.0, 3, None)], "time double, seq long, v double"))
+    model = spark.createDataFrame([(0.0, 1.0), (10.0, 2.0)], "time double, value double")
+    assert column(s.tag_nan("v").fill_model("v", model, (-10, 100)), filled("v")) == [1, 1, 2, 2]
+
+
+def test_slope_wraps(spark):
+    s = OnlineSeries.wrap(spark.createDataFrame([(T0, 0, 0.0), (T0 + timedelta(days=1, seconds=10), 1, 5.0)], "time timestamp_ntz, seq long, v double"))
+    get = lambda **k: column(s.slopes("v", to="s", **k), "s")[1]
+    assert get(time_unit="sec") == 0.5 and get(time_unit="sec", true_elapsed=True) == pytest.approx(5 / 86410) and get(time_unit="d") == pytest.approx(5 / (1 + 10 / 86400))
+
+
+def test_ratio_with_zero(spark):
+    s = series(spark, [1, 2, 3], u=[1.0, 0.0, 2.0])
+    r = s.calc_ratio("v", "u", (T0, T0 + timedelta(hours=1))).first()
+    assert r.mean == pytest.approx(1.25) and r.std == pytest.approx(np.std([1, 1.5], ddof=1))
+
+
+def test_filling_error(spark):
+    s = series(spark, [10, 0, 20, 40, 50], u=[11.0, 1.0, 22.0, 44.0, 55.0])
+    gaps = spark.createDataFrame([(0, 1, 3), (1, 5, 1)], "iteration int, start int, size int")
+    got = {r.iteration: r.error_pct for r in s.filling_error("v", "fill_ratio", gaps, use="u", ratio=1.0, arange=(T0, T0 + timedelta(hours=1))).collect()}
+    assert got == pytest.approx({0: 10, 1: 10})
+    with pytest.raises(ValueError):
+        s.filling_error("v", "fill_magic", gaps)
+    with pytest.raises(ValueError):
+        s.check_filling_error(3, "v", "fill_ratio", (T0, T0 + timedelta(hours=1)))
+    zero = reliability.create_gaps(s, gaps, "v")
+    assert zero.df.where("__gap and v != 0").count() == 0 and zero.df.count() == 10
+
+
+def test_data_never_change(spark):
+    s = series(spark, [1, None, 1.01, 50, 2, None])
+    whole = (T0, T0 + timedelta(hours=1))
+    t = s.tag_nan("v").tag_doubles("v", 0.1).tag_extremes("v", limit=10, method="above").moving_slope_filter("v", 3, whole, time_unit="min").fill_interpolation("v", 3, whole)
+    assert column(t, "v") == column(s, "v")
+    for r in t.df.collect():
+        assert r[fillmeta("v")] != "original" or r[valid("v")] == "original"
+
+
+def test_day_before_and_profile_errors(spark):
+    s = series(spark, [1] * 24 + [None] * 24, 60).tag_nan("v")
+    got = s.fill_daybefore("v", ("2024/1/2", "2024/1/2"), (0.5, 4))
+    assert set(column(got, fillmeta("v"))[24:]) == {"filled_profile_day_before"} and column(got, filled("v"))[25] == 1
+    short = s.fill_daybefore("v", ("2024/1/2", "2024/1/2"))
+    assert set(column(short, fillmeta("v"))[24:]) == {"filtered"}
+    with pytest.raises(ValueError):
+        s.fill_standard("v", ("2024/1/2", "2024/1/2"))
+    profile = s.daily_profile("v", ("2024/1/1", "2024/1/1")).where("tod > 0")
+    with pytest.raises(KeyError):
+        s.fill_standard("v", ("2024/1/2", "2024/1/2"), profile, check=True)
+
+
+def test_savgol(spark):
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=40).cumsum()
+    got = column(series(spark, y).savgol("v", 9, 3), "v")
+    want = [np.polyval(np.polyfit(np.arange(9), y[max(0, min(i - 4, 31)) :][:9], 3), i - max(0, min(i - 4, 31))) for i in range(40)]
+    assert got == pytest.approx(want)
+    assert column(series(spark, y[:5]).savgol("v", 9, 3), "v") == [None] * 5
+
+
+def test_ranges(spark):
+    s = series(spark, range(48), 60)
+    assert stats.averages(s.where(tagging.in_range(s, ("2024/1/2", "2024/1/2"))), "v").first().v == pytest.approx(35.5)
+    with pytest.raises(TypeError):
+        s.get_highs("v", 1, (1, 2), "value")
+    x = OnlineSeries.wrap(spark.createDataFrame([(1.0, 1.0)], "time double, v double"))
+    with pytest.raises(TypeError):
+        x.get_highs("v", 1, ("2024/1/1", "2024/1/2"), "value")
+    with pytest.raises(TypeError):
+        OnlineSeries.wrap(spark.createDataFrame([("a", 1.0)], "time string, v double"))
+    with pytest.raises(ValueError):
+        OnlineSeries.wrap(spark.createDataFrame([(1.0, "x")], "time double, v__valid string"))
+
+
+def test_nan_is_missing(spark):
+    s = OnlineSeries.wrap(spark.createDataFrame([(0.0, float("nan")), (1.0, 2.0)], "time double, v double"))
+    assert tags(s.tag_nan("v")) == "fo" and s.averages("v").first().v == 2
+
+
+def test_numeric_axis(spark):
+    s = OnlineSeries.wrap(spark.createDataFrame([(i / 4, float(i)) for i in range(9)], "time double, v double"))
+    days = {r.day: r.mean for r in s.daily_average("v").collect()}
+    assert days == {0.0: 2.0, 1.0: 6.0}
+    got = s.fill_standard("v", (0, 2), s.daily_profile("v", (0, 1)), only_checked=False)
+    assert column(got, filled("v"))[:2] == [2, 3]
+    assert {r.window for r in s.compare_ratio("v", "time", 1).collect()} <= {0, 1}
+    assert column(s.fill_index((0.5, 1.5)), "v")[:2] == [0, 1]
+
+
+def test_lab(spark):
+    df = spark.createDataFrame([(0.0, 7.0, 4.0), (1.0, 7.5, 2.0), (3.0, 7.2, 1.0)], "time double, pH double, c double")
+    s = LabExperiment.wrap(df)
+    assert s.in_out("c").first().in_out == 3 and s.removal("c").first().removal == 0.75
+    assert column(s.calc_slope("c", time="time"), "c slope") == [None, 2.0, 0.5]
+    assert column(s.hours(), "h") == [0, 24, 73] and column(s.add_conc("c", 2, 3), "c mg/L") == [24, 12, 6]
+    with pytest.warns(UserWarning):
+        s.warn_of_ph()
+    t = LabSeries.wrap(df)
+    assert t.drop_peaks("pH", 7.2).df.count() == 2 and column(t.select_slope("pH"), "pH") == [7.5, 7.2] and column(lab.select_slope(t, "pH", down=False), "pH") == [7.0]
+
+
+def test_metadata_and_index(spark):
+    s = series(spark, [1, 2]).set_tag("a").set_time_unit("d").set_units({"v": "m"})
+    assert (s.tag, s.time_unit, s.units) == ("a", "d", {"v": "m"}) and OnlineSeries.wrap(s.df).units == {}
+    t = s.relative_time("hr")
+    assert column(t, "time") == pytest.approx([0, 0.08333]) and t.time_unit == "hr" and "time_abs" in t.df.columns
+    assert s.set_index("v").time == "v"
+    with pytest.raises(ValueError):
+        s.set_index("time")
+    assert formatting.head(s, 1).count() == 1 and report.wide(s, "v").columns == ["series_key", "time", "v"]
+
+
+def test_observation(spark):
+    df, seen = report.observed(series(spark, [1, None, 3]).df.where("v > 1"), "kept")
+    df.collect()
+    assert seen.get["rows"] == 1 and "2 removed" in report.removed_line(3, 1)
+
+
+def test_rain(spark):
+    s = series(spark, [1, 2, 3, 4]).get_highs("v", 1, (T0, T0 + timedelta(hours=1)), "value")
+    with pytest.warns(UserWarning):
+        assert filling.warn_of_rain(s, (T0, T0 + timedelta(hours=1)))
