@@ -88,12 +88,16 @@ def _sorted(docs: DataFrame, ident: str, text: str, payload: list[str], only_lea
     return scratch.save(dealt.mapInArrow(_runs("body", "id", "key", names, only_leads), StructType(fields)), tag)
 
 
-def _whole(borders: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """For each border run the largest id of its text over all partitions, and the size with sizes (part, run, n)."""
+def _whole(borders: DataFrame, sizes: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """For each border run the largest id of its text over all partitions, and the size with sizes (part, run, n).
+
+    A few rows for each partition, written first: so Spark knows the size and need not shuffle the documents to join
+    them, unless it is too large to broadcast."""
     runs = borders.select("part", "run", "border", F.col("id").alias("most"))
     runs = runs.join(sizes, ["part", "run"]) if sizes is not None else runs.withColumn("n", F.lit(0).cast("long"))
     whole = runs.groupBy("border").agg(F.max("most").alias("whole_most"), F.sum("n").alias("whole_n"), F.collect_list(F.struct("part", "run")).alias("runs"))
-    return whole.where(F.size("runs") > 1).select(F.explode("runs").alias("r"), "whole_most", "whole_n").select("r.part", "r.run", "whole_most", "whole_n")
+    whole = whole.where(F.size("runs") > 1).select(F.explode("runs").alias("r"), "whole_most", "whole_n")
+    return scratch.save(whole.select("r.part", "r.run", "whole_most", "whole_n").coalesce(1), "whole")
 
 
 def annotate(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,7 +109,7 @@ def annotate(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", text:
     run = Window.partitionBy("part", "run")
     seen = rows.where("border is null").withColumn("most", F.max("id").over(run)).withColumn("n", F.count("*").over(run))
     sizes = rows.where("border is null").groupBy("part", "run").agg(F.count("*").alias("n"))
-    joined = seen.join(_whole(rows.where("border is not null"), sizes), ["part", "run"], "left")
+    joined = seen.join(_whole(rows.where("border is not null"), sizes, scratch), ["part", "run"], "left")
     keep = F.when(F.col("whole_n").isNull(), F.col("most")).otherwise(F.col("whole_most"))
     return joined.select(F.col("id").alias(ident), *[F.col(f"c{i}").alias(c) for i, c in enumerate(payload)], keep.alias("keep_id"), F.coalesce("whole_n", "n").alias("group_size"), (F.col("lead") & F.col("id").eqNullSafe(keep)).alias("kept"), F.col("sha").alias("text_sha256"))
 
@@ -114,6 +118,6 @@ def keep(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", text: str
     """The rows of docs that stay, one of each text: that with the largest id."""
     scratch = Scratch(spark, "exact")
     rows = _sorted(docs, ident, text, docs.columns, True, scratch, "rows")
-    leads = rows.where("border is null").join(_whole(rows.where("border is not null"), None), ["part", "run"], "left")
+    leads = rows.where("border is null").join(_whole(rows.where("border is not null"), None, scratch), ["part", "run"], "left")
     stays = F.col("whole_n").isNull() | F.col("id").eqNullSafe(F.col("whole_most"))
     return leads.where(stays).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
