@@ -97,7 +97,7 @@ def _whole(borders: DataFrame, sizes: DataFrame | None, scratch: Scratch) -> Dat
     runs = runs.join(sizes, ["part", "run"]) if sizes is not None else runs.withColumn("n", F.lit(0).cast("long"))
     whole = runs.groupBy("border").agg(F.max("most").alias("whole_most"), F.sum("n").alias("whole_n"), F.collect_list(F.struct("part", "run")).alias("runs"))
     whole = whole.where(F.size("runs") > 1).select(F.explode("runs").alias("r"), "whole_most", "whole_n")
-    return scratch.save(whole.select("r.part", "r.run", "whole_most", "whole_n").coalesce(1), "whole")
+    return scratch.save(whole.select("r.part", "r.run", "whole_most", "whole_n"), "whole")
 
 
 def annotate(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
