@@ -33,23 +33,27 @@ RADIUS = 4
 BLOCK = 1 << 16
 
 
-def sketch(text: str | None, width: int = 4) -> int:
-    """The fingerprint, as a signed 64-bit integer: a bit is 1 if over half of the shingles' XXH64 have it."""
+def hashes(text: str | None, width: int = 4):
+    """The shingles' XXH64 in order, in arrays of at most BLOCK; none for a blank text."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(LOWER).split()  # splits at \x20 and \x09-\x0D
     if not words:
-        return 0
-    if len(words) < width:
-        return int(np.array(xxh64_intdigest(b" ".join(words), SEED), np.uint64).view(np.int64))
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    begins = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
-    ends = ends[width - 1 :].tolist()
-    ones, n = np.zeros(64, np.int64), len(begins)
-    for at in range(0, n, BLOCK):
-        h = np.array([xxh64_intdigest(line[b:e], SEED) for b, e in zip(begins[at : at + BLOCK], ends[at : at + BLOCK])], "<u8")
+    begins = np.concatenate(([0], ends[: max(len(words) - width, 0)] + 1)).tolist()
+    ends = ends[min(width, len(words)) - 1 :].tolist()
+    for at in range(0, len(begins), BLOCK):
+        yield np.array([xxh64_intdigest(line[b:e], SEED) for b, e in zip(begins[at : at + BLOCK], ends[at : at + BLOCK])], "<u8")
+
+
+def sketch(text: str | None, width: int = 4) -> int:
+    """The fingerprint, as a signed 64-bit integer: a bit is 1 if over half of the shingles' XXH64 have it."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes(text, width):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
