@@ -1,0 +1,61 @@
+"""License scans of whole licence texts and notices as they stand in files: hard-wrapped, indented or behind comment
+marks, in DataFrame operations only.
+
+Beside licences.scan(), whose sentences end at every line end: here a sentence ends at a . ! ? ; : before a blank or
+line end, at a blank line, or before a list mark, and a line end within it is a blank. A known sentence begins where
+a sentence or a line does, so one after a headline or other unended line counts too. Rules are those of licences.py
+and NOTICES', with at most licences.GAP other sentences between one identifier and the next.
+
+Null and empty texts have no licence. All of it is row by row, without a shuffle.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .licences import _LOWER, _UPPER, GAP, RULES, SENTENCES
+
+# Known openings beside licences.SENTENCES, normalised.
+_GPL = "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version %d of the license or at your option any later version"
+NOTICES = {
+    "gpl3-notice": "this program is free software you can " + _GPL % 3,
+    "gpl2-notice": "this program is free software you can " + _GPL % 2,
+    "gpl3-text": "gnu general public license version 3 29 june 2007",
+    "gpl2-text": "gnu general public license version 2 june 1991",
+    "apache-text": "apache license version 2 0 january 2004",
+}
+NOTICE_RULES = [("GPL-3.0", ["gpl3-notice"]), ("GPL-3.0", ["gpl3-text"]), ("GPL-2.0", ["gpl2-notice"]), ("GPL-2.0", ["gpl2-text"]), ("Apache-2.0", ["apache-text"])]
+
+_ALL = NOTICES | {k: v.rstrip("*") for k, v in SENTENCES.items()}
+#: One upper-case character for each identifier; texts are in lower case by then.
+_LETTERS = {k: chr(0x4E00 + i) for i, k in enumerate(_ALL)}
+_ANY = f"[{chr(0x4E00)}-{chr(0x4E00 + len(_ALL) - 1)}]"
+
+
+def _sentence(words: str) -> str:
+    return "(?<![a-z0-9 ])" + words.replace(" ", "[ ~|]") + "(?![a-z0-9])"
+
+
+def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, licences: sorted names joined by commas, n_sentences: known ones) for every row."""
+    t = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER)
+    # | ends a sentence, ~ a line; all else but letters and digits is a blank, and one mark stands for a run of them
+    t = F.regexp_replace(t, r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"[.!?;:]+[^a-z0-9\s]*(?=\s|$)|\n[^a-z0-9\n]*(?=\n)|\n[ \t#/*;]*(?:[-*•]|\(?(?:[0-9]{1,2}|[a-z])[.)])[ \t]+", "|")
+    t = F.regexp_replace(F.regexp_replace(t, r"\n", "~"), "[^a-z0-9~|]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ ~|]*\|[ ~|]*", "|"), " *~[ ~]*", "~")
+    t = F.regexp_replace(t, r"^[ ~|]+", "|")
+    for k, words in _ALL.items():
+        t = F.regexp_replace(t, _sentence(words), f"|{_LETTERS[k]}")
+    # what follows an identifier up to the sentence's end belongs to it
+    t = F.regexp_replace(F.regexp_replace(t, "[a-z0-9 ~]+", "-"), f"({_ANY})-", "$1")
+    line = F.translate(t, "|", "")
+    out = docs.select(F.col(f"`{ident}`").alias("doc_id"), line.alias("line"))
+    rules = RULES + NOTICE_RULES
+    pattern = lambda ids: (".{0,%d}" % GAP).join(_LETTERS[i] for i in ids)
+    hit = {n: reduce(lambda a, b: a | b, [F.col("line").rlike(pattern(ids)) for m, ids in rules if m == n]) for n in sorted({n for n, _ in rules})}
+    found = F.concat_ws(",", *[F.when(hit[n], F.lit(n)) for n in hit])
+    return out.select("doc_id", found.alias("licences"), F.length(F.translate("line", "-", "")).cast("long").alias("n_sentences"))
