@@ -1,4 +1,4 @@
-"""Hard-wrapped licence texts and notices."""
+"""Hard-wrapped licence texts and notices, and rights reserved."""
 
 from __future__ import annotations
 
@@ -48,6 +48,7 @@ WANT = {
     MIT: "MIT", MIT.replace("\n", "\r\n"): "MIT", BSD: "BSD-2-Clause", BSD3: "BSD-2-Clause,BSD-3-Clause", ISC: "ISC", APACHE: "Apache-2.0", GPL: "GPL-3.0",
     " ".join(GPL.split()): "GPL-3.0", GPL.replace("software:", "software;").replace("version 3", "version 2"): "GPL-2.0",
     "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": "GPL-3.0", "  Apache License\n  Version 2.0, January 2004\n": "Apache-2.0",
+    "a line of prose\nAll rights reserved.\nmore": "proprietary", "Copyright (c) 2020 Some One. All rights reserved.": "proprietary", "Copyright 2020 Some One All Rights Reserved": "proprietary",
     "Not all rights reserved by law are named": "", "a line of prose\nReleased under the MIT License.\nmore": "MIT", "": "", None: "",
 }
 
@@ -63,4 +64,4 @@ def test_texts(spark, tmp_path):
 def test_finds_what_the_scan_finds(spark):
     sf = "/root/testdata/sf0.01"
     old, new = ({r.doc_id: r.licences for r in q(spark, sf).collect()} for q in (queries.op8_license_scan, queries.op8_license_texts))
-    assert all(set(filter(None, old[i].split(","))) <= set(new[i].split(",")) for i in old)
+    assert all(set(filter(None, old[i].split(","))) <= set(new[i].split(",")) for i in old) and any("proprietary" in x for x in new.values())

@@ -26,8 +26,9 @@ NOTICES = {
     "gpl3-text": "gnu general public license version 3 29 june 2007",
     "gpl2-text": "gnu general public license version 2 june 1991",
     "apache-text": "apache license version 2 0 january 2004",
+    "all-rights": "all rights reserved",
 }
-NOTICE_RULES = [("GPL-3.0", ["gpl3-notice"]), ("GPL-3.0", ["gpl3-text"]), ("GPL-2.0", ["gpl2-notice"]), ("GPL-2.0", ["gpl2-text"]), ("Apache-2.0", ["apache-text"])]
+NOTICE_RULES = [("GPL-3.0", ["gpl3-notice"]), ("GPL-3.0", ["gpl3-text"]), ("GPL-2.0", ["gpl2-notice"]), ("GPL-2.0", ["gpl2-text"]), ("Apache-2.0", ["apache-text"]), ("proprietary", ["all-rights"])]
 
 _ALL = NOTICES | {k: v.rstrip("*") for k, v in SENTENCES.items()}
 #: One upper-case character for each identifier; texts are in lower case by then.
@@ -48,6 +49,8 @@ def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFram
     t = F.regexp_replace(F.regexp_replace(t, r"\n", "~"), "[^a-z0-9~|]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[ ~|]*\|[ ~|]*", "|"), " *~[ ~]*", "~")
     t = F.regexp_replace(t, r"^[ ~|]+", "|")
+    # a copyright notice's last words on its line
+    t = F.regexp_replace(t, r"(?<![a-z0-9 ])((?:copyright|c) [a-z0-9 ]*) all rights reserved(?![a-z0-9])", "$1|all rights reserved")
     for k, words in _ALL.items():
         t = F.regexp_replace(t, _sentence(words), f"|{_LETTERS[k]}")
     # what follows an identifier up to the sentence's end belongs to it
