@@ -4,8 +4,10 @@ tables and extra columns."""
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -14,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge.llm import exact_dedup, lattice, licences, mix, pieces, quality, queries, simhash, token_files, toxicity, url_filter
+from tidegauge.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, part int, ids array<int>, score double"
@@ -67,15 +70,38 @@ def test_pieces_random(piece_model):
     rng, table = random.Random(5), pieces.load(None)
     assert table.marked
     some = ["".join(rng.choice(" ▁ ab\n\té日　\x00ﬁ😀<s>") for _ in range(rng.randrange(25))) for _ in range(3000)]
-    for t, (ids, text) in zip(some, table.encode(some)):
-        assert np.frombuffer(ids, "<u4").tolist() == [1, *piece_model.encode(t), 2] and text == piece_model.decode(piece_model.encode(t))
+    for t, ids in zip(some, table.encode(some)):
+        assert np.frombuffer(ids, "<u4").tolist() == [1, *piece_model.encode(t), 2] and table.decode(ids) == piece_model.decode(piece_model.encode(t))
 
 
 def test_pieces_table_is_bounded(piece_model, monkeypatch):
-    monkeypatch.setattr(pieces, "TABLE_ENTRIES", 10)
+    monkeypatch.setattr(pieces, "TABLE_BYTES", 10 * pieces.ENTRY)
     table = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     some = [t or "" for _, t, *_ in texts()][:70]
-    assert [np.frombuffer(i, "<u4").tolist()[1:-1] for i, _ in table.encode(some)] == piece_model.encode(some)
+    assert [np.frombuffer(i, "<u4").tolist()[1:-1] for i in table.encode(some)] == piece_model.encode(some)
+    assert table.ids
+    table.forget()
+    assert not table.ids and not table.held
+
+
+def test_pieces_decode_reads_the_ids(spark, piece_model, monkeypatch):
+    """Another id in a document gives another decoded text: texts are decoded from ids, not from what they were."""
+    given = spark.createDataFrame([(1, "a tide gauge"), (2, "water level")], "doc_id long, text string")
+    table, wrong = pieces.load(None), piece_model.piece_to_id("▁pump")
+    ids = np.frombuffer(next(table.encode(["a tide gauge"])), "<u4").copy()
+    ids[-2] = wrong
+    assert table.decode(ids.tobytes()) == piece_model.decode([*piece_model.encode("a tide gauge")[:-1], wrong])
+    coded = pieces.encode(given)
+    changed = coded.withColumn("ids", F.transform("ids", lambda x: F.when(x == int(piece_model.encode("a tide gauge")[-1]), wrong).otherwise(x)))
+    assert {r.doc_id: r.text for r in pieces.decode(changed).collect()} == {1: table.decode(ids.tobytes()), 2: "water level"}
+
+
+def test_pieces_whole_texts(piece_model):
+    """A model whose chunks can't be cut is given whole texts."""
+    table = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    table.marked = False
+    some = [t or "" for _, t, *_ in texts()][:70]
+    assert [np.frombuffer(i, "<u4").tolist()[1:-1] for i in table.encode(some)] == piece_model.encode(some) and not table.ids
 
 
 def duck(sql: str, **tables):
@@ -122,6 +148,62 @@ def test_mix(spark, docs, none):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mix.mix(spark, docs.repartition(2)).collect()))
     assert mix.mix(spark, docs, shard=None, place=None).columns == docs.columns
     assert mix.taken(spark, none).count() == 0 and mix.mix(spark, none).count() == 0
+    clash = docs.withColumnsRenamed({"lang": "__source", "n_chars": "__held", "part": "__shard", "score": "_plan", "kept": "shard"})
+    assert mix.shuffled(mix.mix(spark, clash)).count() == mixed.count()
+
+
+def _many(spark, sources=5, rows=6000):
+    return spark.range(rows).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.least(F.pmod(F.xxhash64("id"), F.lit(9)), F.lit(sources - 1))).alias("source"))
+
+
+def test_mix_tree(spark):
+    """Quotas are exact at every node, halves are even, shards hold disjoint blocks in the sources' proportions, and
+    what the leaves hold is what op3 takes."""
+    docs = _many(spark)
+    goal, levels, bits = mix.plan(Scratch(spark, "test"), mix.sizes(docs), shard_words=2000)
+    assert levels == 7 and bits == 12
+    rows, leaf = {r.source: r.held for r in goal.collect()}, 1 << levels
+    for held in rows.values():
+        assert len(held) == 2 * leaf - 1 and all(held[n - 1] == held[2 * n - 1] + held[2 * n] for n in range(1, leaf))
+    total = [sum(h[n] for h in rows.values()) for n in range(2 * leaf - 1)]
+    assert all(total[2 * n - 1] == total[n - 1] // 2 for n in range(1, leaf))
+    mixed = mix.mix(spark, docs, shard_words=2000).withColumn("block", mix.block(mix.spot(F.col("doc_id")), bits))
+    deal = mixed.groupBy("source", "shard").agg(F.countDistinct("block").alias("n")).collect()
+    assert all(r.n <= rows[r.source][leaf - 1 + r.shard] for r in deal)
+    counts = mixed.groupBy("doc_id", "source", "block").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("m")).collect()
+    quota = {s: h[0] for s, h in rows.items()}
+    assert all(r.n == sum(i * 4096 + r.block < quota[r.source] for i in range(3)) for r in counts)
+    got = mix.taken(spark, docs, shard_words=2000)
+    assert got.agg(F.sum("taken")).first()[0] == mixed.agg(F.sum(mix.words(F.col("text")))).first()[0]
+
+
+def test_mix_takes_through_the_tree(spark, monkeypatch):
+    """Without the tree's leaves nothing is taken."""
+    docs = _many(spark, rows=500)
+    assert mix.taken(spark, docs).agg(F.sum("taken")).first()[0] > 0
+    whole = mix.tree
+    monkeypatch.setattr(mix, "tree", lambda goal, levels: whole(goal, levels).withColumn("held", F.when(F.col("node") < 1 << levels, F.col("held")).otherwise(F.transform("held", lambda q: q.withField("quota", F.lit(0).cast("long"))))))
+    assert mix.taken(spark, docs).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_hypergeometric(spark):
+    """Quantiles against exact fractions."""
+    rng, rows = random.Random(4), []
+    for most in (30, 400, 5000):
+        for _ in range(150):
+            n = rng.randrange(most)
+            rows.append((n, rng.randint(0, n), rng.randint(0, n), rng.randrange(1 << 52) / (1 << 52)))
+
+    def exact(n, k, d, u):
+        at, seen = Fraction(u) * math.comb(n, d), 0
+        for x in range(max(0, d - n + k), min(d, k) + 1):
+            seen += math.comb(k, x) * math.comb(n - k, d - x)
+            if at < seen:
+                return x
+
+    given = spark.createDataFrame(rows, "n long, k long, d long, u double")
+    got = given.select("*", mix.hypergeometric(F.col("n"), F.col("k"), F.col("d"), F.col("u")).alias("x")).collect()
+    assert all(r.x == exact(r.n, r.k, r.d, r.u) for r in got)
 
 
 def test_mix_targets(spark):
@@ -184,7 +266,7 @@ def test_simhash(spark, docs, table):
     for i, f in prints.items():
         least[roots[f]] = min(i, least.get(roots[f], i))
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(i, least[roots[f]]) for i, f in prints.items()}
-    stays = simhash.keep(spark, given)
+    stays = simhash.keep(spark, given.withColumn("__gone", F.lit(1))).drop("__gone")
     assert stays.columns == given.columns and {r.doc_id for r in stays.collect() if r.doc_id is not None} == set(least.values())
 
 

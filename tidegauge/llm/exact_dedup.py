@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Scratch, null_text
+from .common import Scratch, in_arrow, null_text
 
 #: Characters of a text that a splitter holds beside the hash of the whole text.
 HEAD = 24
@@ -85,7 +85,7 @@ def _sorted(docs: DataFrame, ident: str, text: str, payload: list[str], only_lea
     names = [f"c{i}" for i in range(len(payload))]
     fields = [StructField(n, docs.schema[c].dataType) for n, c in zip(names, payload)]
     fields += [StructField("id", LongType()), StructField("part", IntegerType()), StructField("run", IntegerType()), StructField("lead", BooleanType()), StructField("sha", StringType()), StructField("border", StringType())]
-    return scratch.save(dealt.mapInArrow(_runs("body", "id", "key", names, only_leads), StructType(fields)), tag)
+    return scratch.save(in_arrow(dealt, _runs("body", "id", "key", names, only_leads), StructType(fields)), tag)
 
 
 def _whole(borders: DataFrame, sizes: DataFrame | None, scratch: Scratch) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, in_arrow
 
 COSINE = 0.93
 TABLES, PARTS, PROBES, SCALE = 8, 2, 4, 0.5
@@ -215,7 +215,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, ident: str = "vec_i
     usable = F.coalesce(F.col("label").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     kinds = scratch.save(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "kinds")
-    cells_ = scratch.save(kinds.select("rep", "embedding", "label").mapInArrow(_emit, "rep long, dim int, label long, cell long, own boolean"), "cells")
+    cells_ = scratch.save(in_arrow(kinds.select("rep", "embedding", "label"), _emit, "rep long, dim int, label long, cell long, own boolean"), "cells")
     shared = cells_.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("owned and size > 1")
     shared = shared.select("label", "dim", "cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     met = cells_.join(shared, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int"))
@@ -223,7 +223,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, ident: str = "vec_i
     full = met.join(kinds.select("rep", "many", "embedding"), "rep").withColumnRenamed("label", "label_no")
     keys = ["cell", "i", "j", "dim", "label_no"]
     dealt = full.select(*keys, "rep", "block", "own", "many", "embedding").repartition(*keys).sortWithinPartitions(*keys, "rep")
-    links = scratch.save(dealt.mapInArrow(_verify(cosine), "a long, b long, n long"), "links")
+    links = scratch.save(in_arrow(dealt, _verify(cosine), "a long, b long, n long"), "links")
     roots = components(scratch, links.where("b is not null").select("a", "b"))
     counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     known = kinds.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

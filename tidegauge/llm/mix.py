@@ -1,23 +1,30 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame operations only.
 
-A document's hash puts it in one of FINE blocks of its source, so the order of a source's blocks is a random
+A document's hash puts it in one of the blocks of its source, so the order of a source's blocks is a random
 permutation of its documents. A source's target gives it a number of whole passes over its blocks and, for the
-rest, its first blocks, up to the one whose middle the rest reaches. COARSE-fold groups of these blocks are the
-tickets of the splitting tree: at each node the tickets are ranked by a hash of their own and cut in two halves,
-which draws the sources' exact quotas of either half from the multivariate hypergeometric distribution, until each
-leaf, an output shard, holds disjoint permuted blocks. Within a shard a hash of document and pass gives the place.
+rest, its first blocks, up to the one whose middle the rest reaches: that many blocks are its quota.
 
-The plan has one row for each source; it is written first, so Spark sees its size and broadcasts it only if that is
-small (else the join is shuffled, and the hot source split by adaptive execution). Counts are kept for each source
-and block, at most FINE a source, and combined before any shuffle: no task holds a source's documents.
+The root of the tree has all sources' quotas. A node gives half of its blocks to its left child: how many of each
+source is one draw from the multivariate hypergeometric distribution, made source by source from the conditional
+distributions, by inversion from a hash of node and source. What is left is the right child's, so quotas are exact at
+every node. Leaves are the output shards; a leaf holds the next blocks of each source's permutation, as many as its
+quota, so blocks are disjoint. A document's place is found by going down the tree with the position of its block.
+Within a shard a hash of document and pass gives the order.
+
+Shards and blocks grow with the words of the table: see shape(). The plan has one row for each source, with the
+quotas of all nodes; it is written first, so Spark sees its size and broadcasts it only if that is small (else the
+join is shuffled, and the hot source split by adaptive execution). Counts are kept for each source and block and
+combined before any shuffle: no task holds a source's documents.
 
 Sizes are numbers of words, [^\\x20\\x09-\\x0D]+; null texts have none. Null sources are one source, last in order.
 Null ids count as the empty id. Repeated rows are taken alike. Documents without words belong to no partial pass.
-Empty tables give empty results.
+Empty tables give empty results. Input columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +32,17 @@ from .common import Scratch, own
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-FINE, COARSE, LEVELS = 4096, 64, 4
+#: Words of a shard, about; levels of the tree and binary digits of a block's number, at least.
+SHARD_WORDS, LEVELS, BITS = 1 << 24, 4, 12
 SEED = "mix"
 
 
+def shape(total: int, shard_words: int = SHARD_WORDS) -> tuple[int, int]:
+    """Levels of the tree and binary digits of a block's number, for a table of so many words."""
+    levels = max(LEVELS, math.ceil(math.log2(max(total, 1) / shard_words)))
+    return levels, max(BITS, levels + 4)
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -37,9 +51,13 @@ def _hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def block(ident: Column) -> Column:
-    """The first three hexadecimal digits of the id's hash: FINE blocks."""
-    return F.conv(F.substring(_hash(ident), 1, 3), 16, 10).cast("int")
+def spot(ident: Column) -> Column:
+    """The first eight hexadecimal digits of the id's hash."""
+    return F.conv(F.substring(_hash(ident), 1, 8), 16, 10).cast("long")
+
+
+def block(at: Column, bits: int) -> Column:
+    return F.shiftright(at, 32 - bits).cast("int")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -61,10 +79,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return w.select("source", "source_size", F.when(F.col("share").isNull(), F.col("limit_").cast("double")).otherwise(F.col("weight") * F.col("share")).alias("target"))
 
 
-def plan(sized: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """sized: (source, block, size). A row for each source: source_size, target, passes over all its blocks, cutoff
-    (blocks below it are taken once more), and shards: by coarse block and pass, the shard of that ticket."""
-    cells = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
+def quotas(sized: DataFrame, bits: int) -> DataFrame:
+    """sized: (source, spot, size). A row for each source: source_size, target, and quota, the blocks to take."""
+    cells = sized.groupBy("source", block(F.col("spot"), bits).alias("block")).agg(F.sum("size").alias("words"))
     goal = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goal = goal.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -72,65 +89,147 @@ def plan(sized: DataFrame, levels: int = LEVELS) -> DataFrame:
     upto = cells.withColumn("before", F.coalesce(F.sum("words").over(inner), F.lit(0))).join(goal.select("source", "rest", "passes").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     taken = (F.col("words") > 0) & (2 * F.col("before") + F.col("words") <= 2 * F.col("rest")) & (F.col("passes") < MOST)
     cut = upto.groupBy("source").agg(F.coalesce(F.max(F.when(taken, F.col("block") + 1)), F.lit(0)).alias("cutoff")).withColumnRenamed("source", "s")
-    goal = goal.join(cut, F.col("source").eqNullSafe(F.col("s"))).drop("s", "rest")
-    # tickets: coarse blocks of every pass, the last of which has only the coarse blocks below the cutoff
-    width = FINE // COARSE
-    passes = goal.select("source", "passes", "cutoff", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"))
-    upper = F.when(F.col("pass") < F.col("passes"), F.lit(COARSE)).otherwise(F.ceil(F.col("cutoff") / width).cast("int"))
-    tickets = passes.where(upper > 0).select("source", "pass", F.explode(F.sequence(F.lit(0), upper - 1)).alias("coarse"), F.lit(0).alias("node"))
+    goal = goal.join(cut, F.col("source").eqNullSafe(F.col("s")))
+    return goal.select("source", "source_size", "target", (F.col("passes").cast("long") * (1 << bits) + F.col("cutoff")).alias("quota"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _log_factorial(n: Column) -> Column:
+    """Exact up to 19, by Stirling's series above."""
+    small, x = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)]), F.greatest(n, F.lit(20)).cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 20, F.element_at(small, (n + 1).cast("int"))).otherwise(series)
+
+
+def _log_choose(n: Column, k: Column) -> Column:
+    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+
+
+def hypergeometric(total: Column, good: Column, drawn: Column, unit: Column) -> Column:
+    """How many of `drawn` things, taken from `total` of which `good` are good, are good: the quantile at `unit`.
+
+    The search starts ten standard deviations and ten below the mean; what lies beyond has a chance under 1e-20."""
+    lo, hi = F.greatest(F.lit(0), drawn - (total - good)), F.least(drawn, good)
+    share = good / F.greatest(total, F.lit(1))
+    mean = drawn * share
+    far = 10 * F.sqrt(mean * (1 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1))) + 10
+    ends = F.struct(F.greatest(lo, F.floor(mean - far)).alias("a"), F.least(hi, F.ceil(mean + far)).alias("b"))
+
+    def search(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        first = F.exp(_log_choose(good, a) + _log_choose(total - good, drawn - a) - _log_choose(total, drawn))
+        start = F.struct(a.alias("x"), unit.alias("left"), first.alias("p"))
+
+        def step(s: Column, _: Column) -> Column:
+            x, left, p = s["x"], s["left"], s["p"]
+            ratio = (good - x).cast("double") * (drawn - x) / ((x + 1).cast("double") * (total - good - drawn + x + 1))
+            return F.when(left >= p, F.struct((x + 1).alias("x"), (left - p).alias("left"), (p * ratio).alias("p"))).otherwise(s)
+
+        return F.when(b > a, F.aggregate(F.sequence(a + 1, b), start, step)["x"]).otherwise(a)
+
+    return _let(ends, search)
+
+
+def _split(node: Column, held: Column) -> Column:
+    """held: (source, quota) of a node; the left child's quotas in the same order, half of all blocks."""
+    nothing = F.lit(0).cast("long")
+    total = F.aggregate(held, nothing, lambda t, q: t + q["quota"])
+    start = F.struct(total.alias("rest"), F.floor(total / 2).alias("want"), F.array().cast("array<bigint>").alias("left"))
+
+    def draw(s: Column, q: Column) -> Column:
+        unit = F.pmod(F.xxhash64(F.lit(SEED), node, q["source"], q["source"].isNull()), F.lit(1 << 52)) / float(1 << 52)
+        return _let(hypergeometric(s["rest"], q["quota"], s["want"], unit), lambda x: F.struct((s["rest"] - q["quota"]).alias("rest"), (s["want"] - x).alias("want"), F.concat(s["left"], F.array(x)).alias("left")))
+
+    return F.aggregate(held, start, draw)["left"]
+
+
+def tree(goal: DataFrame, levels: int) -> DataFrame:
+    """(node, held) for all nodes: the root is 1, the children of n are 2 n and 2 n + 1, leaves are 2 ** levels on.
+
+    A node is a row, and splitting it is an expression of that row: no shuffle, but rows are dealt out anew by and by."""
+    nodes = goal.agg(F.sort_array(F.collect_list(F.struct("source", "quota"))).alias("held")).select(F.lit(1).cast("long").alias("node"), "held")
     for level in range(levels):
-        at = Window.partitionBy("node")
-        ranked = F.row_number().over(at.orderBy(_hash(F.lit(level), F.col("source"), F.col("source").isNull(), F.col("pass"), F.col("coarse")), "coarse", "pass"))
-        tickets = tickets.withColumn("node", F.col("node") * 2 + (2 * ranked > F.count("*").over(at) + 1).cast("int"))
-    shards = tickets.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pass") * COARSE + F.col("coarse"), "node"))).alias("shards")).withColumnRenamed("source", "s")
-    return goal.join(shards, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        nodes = nodes.repartition("node") if level and level % 6 == 0 else nodes
+        now = F.col("node") >= 1 << level  # nodes above this level have been split
+        nodes = nodes.withColumn("left", F.when(now, _split(F.col("node"), F.col("held"))))
+        pick = lambda f: F.zip_with("held", "left", lambda q, x: F.struct(q["source"].alias("source"), f(q["quota"], x).alias("quota")))
+        own_, left, right = (F.struct(n.alias("node"), h.alias("held")) for n, h in ((F.col("node"), F.col("held")), (F.col("node") * 2, pick(lambda q, x: x)), (F.col("node") * 2 + 1, pick(lambda q, x: q - x))))
+        nodes = nodes.select(F.explode(F.when(now, F.array(own_, left, right)).otherwise(F.array(own_))).alias("n")).select("n.*")
+    return nodes
 
 
-def sizes(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    return docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), block(F.col(f"`{ident}`")).alias("block"))
+def plan(scratch: Scratch, sized: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int, int]:
+    """A row for each source: source_size, target and held, its quotas by node; levels and bits."""
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    levels, bits = shape(total, shard_words)
+    goal = scratch.save(quotas(sized, bits), "quotas")
+    held = tree(goal, levels).select("node", F.explode("held").alias("h")).groupBy(F.col("h.source").alias("s"))
+    held = held.agg(F.transform(F.sort_array(F.collect_list(F.struct("node", F.col("h.quota").alias("quota")))), lambda x: x["quota"]).alias("held"))
+    return scratch.save(goal.join(held, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan"), levels, bits
 
 
-def copies() -> Column:
-    return F.col("passes") + (F.col("block") < F.col("cutoff")).cast("int")
+def leaves(held: Column, at: Column, levels: int, bits: int) -> Column:
+    """The shards that hold a block of its source: one for each pass that takes it, found from the root down."""
 
+    def down(s: Column, _: Column) -> Column:
+        left = F.element_at(held, s["node"] * 2)
+        return F.when(s["at"] < left, F.struct((s["node"] * 2).alias("node"), s["at"].alias("at"))).otherwise(F.struct((s["node"] * 2 + 1).alias("node"), (s["at"] - left).alias("at")))
 
-def taken(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs."""
+    def leaf(position: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.struct(F.lit(1).alias("node"), position.alias("at")), down)
+        return _let(end, lambda e: F.when(e["at"] < F.element_at(held, e["node"]), e["node"] - (1 << levels)))
+
+    return F.array_compact(F.array(*[leaf(at.cast("long") + F.lit(i << bits)) for i in range(MOST)]))
+
+
+def sizes(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    return docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), spot(F.col(f"`{ident}`")).alias("spot"))
+
+
+def taken(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of docs; taken: the words that the tree's leaves take."""
     scratch = Scratch(spark, "mix")
     sized = scratch.save(sizes(docs, ident, source, text), "sized")
-    goal = scratch.save(plan(sized).withColumnRenamed("source", "s").drop("shards"), "plan")
-    return sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
+    goal, levels, bits = plan(scratch, sized, shard_words)
+    joined = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    copies = F.size(leaves(F.col("held"), block(F.col("spot"), bits), levels, bits))
+    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", shard: str | None = "shard", place: str | None = "place") -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", shard: str | None = "shard", place: str | None = "place", shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs, each row as often as the mix takes it, with its shard and, to sort the shard by, its place (None: without)."""
     scratch = Scratch(spark, "mix")
-    goal = scratch.save(plan(sizes(docs, ident, source, text)), "plan")
-    s, b, n = own(docs, "source"), own(docs, "block"), own(docs, "pass")
-    goal = goal.withColumnRenamed("source", s)
-    given = docs.withColumn(b, block(F.col(f"`{ident}`")))
-    joined = given.join(goal.select(F.struct(*goal.columns).alias("_plan"), F.col(s)), F.col(f"`{source}`").eqNullSafe(F.col(s)))
-    many = F.col("_plan.passes") + (F.col(b) < F.col("_plan.cutoff")).cast("int")
-    out = joined.where(many > 0).withColumn(n, F.explode(F.sequence(F.lit(0), many - 1)))
+    goal, levels, bits = plan(scratch, scratch.save(sizes(docs, ident, source, text), "sized"), shard_words)
+    s, held, found, to, n = (own(docs, x) for x in ("source", "held", "shards", "shard", "pass"))
+    joined = docs.join(goal.select(F.col("source").alias(s), F.col("held").alias(held)), F.col(f"`{source}`").eqNullSafe(F.col(s)))
+    placed = joined.withColumn(found, leaves(F.col(held), block(spot(F.col(f"`{ident}`")), bits), levels, bits))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in (shard, place)]
-    if shard:
-        columns.append(F.element_at("_plan.shards", F.col(n) * COARSE + F.floor(F.col(b) / (FINE // COARSE)).cast("int")).alias(shard))
-    if place:
-        columns.append(_hash(F.col(f"`{ident}`"), F.col(n)).alias(place))
-    return out.select(*columns)
+    new = [c.alias(name) for c, name in ((F.col(to), shard), (_hash(F.col(f"`{ident}`"), F.col(n)), place)) if name]
+    return placed.select("*", F.posexplode(found).alias(n, to)).select(*columns, *new)
+
+
+def shuffled(mixed: DataFrame, shard: str = "shard", place: str = "place") -> DataFrame:
+    """A partition has whole shards, each in order of its rows' places. Shards are about SHARD_WORDS words."""
+    return mixed.repartition(shard).sortWithinPartitions(shard, place)
 
 
 def write(mixed: DataFrame, path: str, shard: str = "shard", place: str = "place") -> None:
     """A folder for each shard, shuffled within: rows in order of their place."""
-    mixed.repartition(shard).sortWithinPartitions(shard, place).write.partitionBy(shard).parquet(path)
+    shuffled(mixed, shard, place).write.partitionBy(shard).parquet(path)
 
 
 #: The same for DuckDB.
 ORACLE = rf"""
-WITH sized AS (
+WITH sized0 AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 3))::INT AS block
+         ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS spot
   FROM documents),
+shape AS (SELECT greatest({BITS}, ceil(log2(greatest(sum(size), 1)::DOUBLE / {SHARD_WORDS})) + 4)::INT AS bits FROM sized0),
+sized AS (SELECT doc_id, source, size, spot >> (32 - bits) AS block FROM sized0, shape),
 cells AS (SELECT source, block, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
 goal0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM cells GROUP BY ALL),
 goal1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, source_size * {MOST} AS limit_ FROM goal0),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import null_text
+from .common import in_arrow, null_text
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_matrix(b.column(2)).tolist(), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     given = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), null_text(f"`{text}`").alias("body")).join(some, "id").select("id", "y", "body")
-    rows = given.mapInArrow(work, "id long, y int, x array<double>").toArrow()
+    rows = in_arrow(given, work, "id long, y int, x array<double>").toArrow()
     ids, y = rows["id"].to_numpy(), rows["y"].to_numpy().astype(float)
     x = np.array(rows["x"].to_pylist()).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y, ids))
@@ -185,4 +185,4 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", to: str = "
 
     schema = StructType([StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)] + [StructField("s", DoubleType())])
     given = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], null_text(f"`{text}`").alias("body"))
-    return given.mapInArrow(work, schema).toDF(*names, to)
+    return in_arrow(given, work, schema).toDF(*names, to)

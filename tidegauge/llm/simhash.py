@@ -12,7 +12,7 @@ fingerprint goes on only with the half variants that another one shares, and add
 Fingerprints: of word shingles (see sketch()). Null and blank texts have the fingerprint zero, linked like any
 other; texts with fewer words than a shingle are one shingle. Rows with a null id link like others, but
 give no component its name. Repeated rows are equal fingerprints.
-Other columns pass through keep(). Empty tables give empty results.
+Other columns, of any name, pass through keep(). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, null_text
+from .common import Scratch, components, in_arrow, null_text, own
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t.as_py(), width) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), null_text(f"`{text}`").alias("body")).mapInArrow(work, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), null_text(f"`{text}`").alias("body")), work, "doc_id long, fp long")
 
 
 def _masks(bits: int, most: int) -> list[int]:
@@ -123,5 +123,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, ident: str = "doc_id",
 def keep(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """The rows of docs that stay: of each component those with the smallest id, and those without an id."""
     found = near_duplicates(spark, docs.where(F.col(f"`{ident}`").isNotNull()), ident, text, width)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[ident] == F.col("__gone"), "left_anti")
+    name = own(docs, "gone")
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(f"`{ident}`") == F.col(name), "left_anti")

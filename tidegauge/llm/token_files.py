@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import Scratch, null_text
+from .common import Scratch, in_arrow, null_text
 
 END = 1
 #: Entries of a worker's table; it keeps two of them.
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", end: int
             start += int(ends[-1])
 
     given = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), null_text(f"`{text}`").alias("body"))
-    return given.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "body").mapInArrow(work, SCHEMA)
+    return in_arrow(given.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "body"), work, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", end: int = END, tokenizer: str | None = None) -> None:

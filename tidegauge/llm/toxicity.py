@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import Scratch, null_text
+from .common import Scratch, in_arrow, null_text
 
 SAMPLE = 40_000
 TABLE = 50_000
@@ -156,4 +156,4 @@ def score(docs: DataFrame, model: Segments, text: str = "text", ident: str = "do
 
     part = StructType([StructField("first", LongType()), StructField("after", LongType()), StructField("score", DoubleType()), StructField("chance", DoubleType())])
     schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("passages", ArrayType(part))])
-    return docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), null_text(f"`{text}`").alias("body")).mapInArrow(work, schema)
+    return in_arrow(docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), null_text(f"`{text}`").alias("body")), work, schema)
