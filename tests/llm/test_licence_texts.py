@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import queries
+import textwrap
+
+from tidegauge.llm import licences, queries
 
 MIT = """MIT License
 
@@ -56,12 +58,85 @@ WANT = {
 def test_texts(spark, tmp_path):
     rows = list(enumerate(WANT))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.licences for r in queries.QUERIES["op8_license_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.licences for r in queries.op8_license_scan(spark, str(tmp_path)).collect()}
     assert {t: got[i] for i, t in rows} == WANT
-    assert queries.op8_license_texts(spark, str(tmp_path)).where("licences != '' and n_sentences = 0").count() == 0
+    assert queries.op8_license_scan(spark, str(tmp_path)).where("licences != '' and n_sentences = 0").count() == 0
+
+
+LGPL = GPL.replace("GNU General", "GNU Lesser General").replace("This program", "This library")
+AGPL = GPL.replace("GNU General Public License as published by\n    the", "GNU Affero General Public License as\n    published by the")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely.
+"""
+BSL = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute.
+"""
+EPL = """All rights reserved. This program and the accompanying materials
+are made available under the terms of the Eclipse Public License v2.0
+which accompanies this distribution.
+"""
+NOTICES = {
+    MIT: "MIT", BSD3.replace("Redistribution and use", "Copyright (c) 2020, Some One. All rights reserved.\n\nRedistribution and use", 1): "BSD-2-Clause,BSD-3-Clause", APACHE: "Apache-2.0", GPL: "GPL-3.0", LGPL: "LGPL-3.0", LGPL.replace("version 3", "version 2.1"): "LGPL-2.1", AGPL: "AGPL-3.0",
+    MPL: "MPL-2.0", ASF: "Apache-2.0", UNLICENSE: "Unlicense", ZLIB: "Zlib", BSL: "BSL-1.0", EPL: "EPL-2.0", ISC: "ISC",
+    "Licensed under the MIT License.": "MIT", "This project is licensed under\nthe terms of the MIT license.": "MIT", "The source code is available under the BSD 3-Clause license": "BSD-3-Clause", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "prose here\nLicensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "Released under the GPLv3.": "GPL-3.0",
+    "SPDX-License-Identifier: MIT": "MIT", "x = 1  # SPDX-License-Identifier: Apache-2.0 OR MIT\nmore": "Apache-2.0,MIT", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    "The project is not licensed under the MIT License": "", "We read of the MIT License, which people like.": "", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software": "",
+}
+
+
+def _rows(spark, texts):
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licences for r in sorted(licences.scan(given).collect(), key=lambda r: r.doc_id)]
+
+
+def test_published_texts(spark):
+    """As they stand, unwrapped, with other line ends, indented, and behind comment marks."""
+    texts, want = list(NOTICES), list(NOTICES.values())
+    assert _rows(spark, texts) == want
+    assert _rows(spark, [f"A line of prose before\n{t}" for t in texts]) == want
+    assert _rows(spark, [t.replace("\n", "\r\n") for t in texts]) == want
+    for mark in ("# ", " * ", "// ", "    "):
+        assert _rows(spark, ["\n".join(f"{mark}{line}".rstrip() for line in t.split("\n")) for t in texts]) == want, mark
+    assert _rows(spark, [" ".join(t.split()) for t in (MIT, BSD3, GPL, MPL, ZLIB, UNLICENSE)]) == ["MIT", "BSD-2-Clause,BSD-3-Clause", "GPL-3.0", "MPL-2.0", "Zlib", "Unlicense"]
+    assert _rows(spark, [textwrap.fill(" ".join(MIT.split("\n\n")[2].split()), w) + "\n\n" + MIT.split("\n\n")[-1] for w in (20, 40, 200)]) == ["MIT"] * 3
+
 
+def test_notices_against_sql(spark):
+    import duckdb
 
-def test_finds_what_the_scan_finds(spark):
-    sf = "/root/testdata/sf0.01"
-    old, new = ({r.doc_id: r.licences for r in q(spark, sf).collect()} for q in (queries.op8_license_scan, queries.op8_license_texts))
-    assert all(set(filter(None, old[i].split(","))) <= set(new[i].split(",")) for i in old) and any("proprietary" in x for x in new.values())
+    rows = list(enumerate([*NOTICES, *WANT, *(t.replace("\n", "\n# ") for t in NOTICES), "a|b~c\n\n\n日本語\n日本語\n|", "mit", "spdx-license-identifier:", "x" * 50_000, None]))
+    given = spark.createDataFrame([*rows, rows[0], (None, MIT)], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", given.toArrow())
+    want = con.execute(licences.ORACLE).fetchall()
+    assert sorted(map(tuple, licences.scan(given).collect()), key=str) == sorted(want, key=str)

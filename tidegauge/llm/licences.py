@@ -1,10 +1,15 @@
 """License scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences (at line ends and at . ! ? ; before a blank), sentences are normalised (A-Z lower-cased,
-only a-z and digits, single blanks), and those that are a known licence sentence, or begin
-with a known opening, become its identifier. A rule is an ordered sequence of identifiers; it matches if a document
-has them in this order with at most GAP other sentences between one and the next. All of it is row by row, in one
-pass and without a shuffle: the sentences and rules are constants of the query.
+A sentence ends at a mark . ! ? ; : before a blank or line end, at a blank line and at the end; line ends within it are
+blanks, so hard-wrapped, indented and commented texts read like others. A sentence is looked for at each line's start
+too, since headings and notices often follow a line without a mark. It is normalised (A-Z lower-cased, only a-z and
+digits, single blanks) and mapped to the identifier of a known sentence: by its first two words to the known openings
+with these, of which the longest that it begins with counts; or, if it grants something under a licence, by the
+licence's name. SPDX lines map by the identifiers in them. A rule is an ordered sequence of identifiers; it matches if
+a document has them in this order with at most GAP other sentences between one and the next. All rights reserved means
+`proprietary` where no rule of another licence matches.
+
+All of it is row by row, in one pass and without a shuffle: the sentences and rules are constants of the query.
 
 Null and empty texts have no sentences and no licence. Texts of any length are scanned whole. Rows with null or
 repeated ids are scanned like others; other columns are not passed on.
@@ -20,85 +25,207 @@ from pyspark.sql import functions as F
 #: Other sentences between two of a rule, at most.
 GAP = 3
 
-# Normalised licence sentences. One that ends in * is an opening.
+# Openings of known licence sentences, normalised.
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license"
+_EPL = "this program and the accompanying materials are made available under the terms of the eclipse public license {}"
 SENTENCES = {
-    "apache-grant": "licensed under the apache license version 2 0*",
-    "apache-use": "you may not use this file except in compliance with the license*",
-    "apache-copy": "you may obtain a copy of the license at*",
-    "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis*",
-    "mit-grant": "released under the mit license*",
-    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software*",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies*",
-    "mit-warranty": "the software is provided as is without warranty of any kind*",
-    "gpl3-grant": "this work is licensed under the gnu general public license version 3*",
-    "gpl-free": "this program is free software*",
-    "gpl-either3": "either version 3 of the license or at your option any later version*",
-    "gpl-either2": "either version 2 of the license or at your option any later version*",
-    "gpl-hope": "this program is distributed in the hope that it will be useful*",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted*",
-    "bsd-source": "redistributions of source code must retain the above copyright notice*",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice*",
-    "bsd-names": "neither the name of*",
-    "cc-by-nc-4": "licensed under cc by nc 4 0*",
-    "cc-by-sa-4": "licensed under cc by sa 4 0*",
-    "cc-by-4": "licensed under cc by 4 0*",
-    "cc0": "to the extent possible under law*",
-    "mpl2": "this source code form is subject to the terms of the mozilla public license*",
-    "isc-permission": "permission to use copy modify and or distribute this software for any purpose*",
+    "apache-use": "you may not use this file except in compliance with the license",
+    "apache-copy": "you may obtain a copy of the license at",
+    "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    "apache-asf": "licensed to the apache software foundation asf under one or more contributor license agreements",
+    "apache-asf-grant": "the asf licenses this file to you under the apache license version 2 0",
+    "apache-text": "apache license version 2 0 january 2004",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies",
+    "mit-warranty": "the software is provided as is without warranty of any kind",
+    "gpl-free": "this program is free software",
+    "lgpl-free": "this library is free software",
+    "gpl3-terms": _GNU.format("general public license", "3"),
+    "gpl2-terms": _GNU.format("general public license", "2"),
+    "lgpl3-terms": _GNU.format("lesser general public license", "3"),
+    "lgpl21-terms": _GNU.format("lesser general public license", "2 1"),
+    "agpl3-terms": _GNU.format("affero general public license", "3"),
+    "gpl-either3": "either version 3 of the license or at your option any later version",
+    "gpl-either2": "either version 2 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful",
+    "gpl3-text": "gnu general public license version 3 29 june 2007",
+    "gpl2-text": "gnu general public license version 2 june 1991",
+    "lgpl3-text": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-text": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3-text": "gnu affero general public license version 3 19 november 2007",
+    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-source": "redistributions of source code must retain the above copyright notice",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice",
+    "bsd-names": "neither the name of",
+    "bsd-endorse": "the name of the author may not be used to endorse or promote products",
+    "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2-text": "mozilla public license version 2 0",
+    "mpl11-notice": "the contents of this file are subject to the mozilla public license version 1 1",
+    "epl2-notice": _EPL.format("v2 0"),
+    "epl2-notice-2": _EPL.format("2 0"),
+    "epl1-notice": _EPL.format("v1 0"),
+    "epl2-text": "eclipse public license v 2 0",
+    "epl1-text": "eclipse public license v 1 0",
+    "isc-permission": "permission to use copy modify and or distribute this software for any purpose",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-permission": "permission is granted to anyone to use this software for any purpose",
+    "bsl-permission": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software",
+    "bsl-text": "boost software license version 1 0",
+    "cc0-waiver": "to the extent possible under law",
+    "cc0-text": "cc0 1 0 universal",
+    "cc-by-4-text": "attribution 4 0 international",
+    "cc-by-sa-4-text": "attribution sharealike 4 0 international",
+    "cc-by-nc-4-text": "attribution noncommercial 4 0 international",
+    "cc-by-nd-4-text": "attribution noderivatives 4 0 international",
+    "cc-by-nc-sa-4-text": "attribution noncommercial sharealike 4 0 international",
+    "cc-by-nc-nd-4-text": "attribution noncommercial noderivatives 4 0 international",
+    "all-rights": "all rights reserved",
 }
 # Ordered rules, (licence, identifiers). All that match count.
 RULES = [
-    ("Apache-2.0", ["apache-grant"]), ("Apache-2.0", ["apache-use", "apache-copy"]), ("Apache-2.0", ["apache-copy", "apache-basis"]),
-    ("MIT", ["mit-grant"]), ("MIT", ["mit-permission", "mit-warranty"]), ("MIT", ["mit-permission", "mit-notice"]),
-    ("GPL-3.0", ["gpl3-grant"]), ("GPL-3.0", ["gpl-free", "gpl-either3"]), ("GPL-2.0", ["gpl-free", "gpl-either2"]),
-    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]), ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-names"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"]), ("CC-BY-SA-4.0", ["cc-by-sa-4"]), ("CC-BY-4.0", ["cc-by-4"]), ("CC0-1.0", ["cc0"]), ("MPL-2.0", ["mpl2"]), ("ISC", ["isc-permission"]),
+    ("Apache-2.0", ["apache-use", "apache-copy"]), ("Apache-2.0", ["apache-copy", "apache-basis"]), ("Apache-2.0", ["apache-asf", "apache-asf-grant"]), ("Apache-2.0", ["apache-asf-grant"]), ("Apache-2.0", ["apache-text"]),
+    ("MIT", ["mit-permission", "mit-warranty"]), ("MIT", ["mit-permission", "mit-notice"]),
+    ("GPL-3.0", ["gpl-free", "gpl3-terms"]), ("GPL-3.0", ["gpl3-terms", "gpl-hope"]), ("GPL-3.0", ["gpl-free", "gpl-either3"]), ("GPL-3.0", ["gpl3-text"]),
+    ("GPL-2.0", ["gpl-free", "gpl2-terms"]), ("GPL-2.0", ["gpl2-terms", "gpl-hope"]), ("GPL-2.0", ["gpl-free", "gpl-either2"]), ("GPL-2.0", ["gpl2-text"]),
+    ("LGPL-3.0", ["lgpl-free", "lgpl3-terms"]), ("LGPL-3.0", ["gpl-free", "lgpl3-terms"]), ("LGPL-3.0", ["lgpl3-text"]),
+    ("LGPL-2.1", ["lgpl-free", "lgpl21-terms"]), ("LGPL-2.1", ["gpl-free", "lgpl21-terms"]), ("LGPL-2.1", ["lgpl21-text"]),
+    ("AGPL-3.0", ["gpl-free", "agpl3-terms"]), ("AGPL-3.0", ["agpl3-text"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]), ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-names"]), ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("MPL-2.0", ["mpl2-notice"]), ("MPL-2.0", ["mpl2-text"]), ("MPL-1.1", ["mpl11-notice"]),
+    ("EPL-2.0", ["epl2-notice"]), ("EPL-2.0", ["epl2-notice-2"]), ("EPL-2.0", ["epl2-text"]), ("EPL-1.0", ["epl1-notice"]), ("EPL-1.0", ["epl1-text"]),
+    ("ISC", ["isc-permission"]), ("Unlicense", ["unlicense-free"]), ("Zlib", ["zlib-warranty", "zlib-permission"]), ("BSL-1.0", ["bsl-permission"]), ("BSL-1.0", ["bsl-text"]),
+    ("CC0-1.0", ["cc0-waiver"]), ("CC0-1.0", ["cc0-text"]), ("CC-BY-4.0", ["cc-by-4-text"]), ("CC-BY-SA-4.0", ["cc-by-sa-4-text"]), ("CC-BY-NC-4.0", ["cc-by-nc-4-text"]), ("CC-BY-ND-4.0", ["cc-by-nd-4-text"]), ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4-text"]), ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4-text"]),
 ]
-
-_NAMES = list(SENTENCES)
-_SPLIT, _DROP = r"[\n\r]+|[.!?;] +", "[^a-z0-9]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _letter(n: int) -> str:
-    """One character for the n-th identifier, from 1."""
-    return chr(64 + n) if n <= 26 else chr(70 + n)
-
-
-def _known(s: Column) -> Column:
-    """The letter of a normalised sentence, - for an unknown one, nothing for an empty one."""
-    out = F.when(s == "", F.lit("")).otherwise(F.lit("-"))
-    for i in reversed(range(len(_NAMES))):
-        line = SENTENCES[_NAMES[i]]
-        out = F.when(s.startswith(line[:-1]) if line[-1] == "*" else s == line, F.lit(_letter(i + 1))).otherwise(out)
-    return out
-
-
-def _pattern(ids: list[str]) -> str:
-    return (".{0,%d}" % GAP).join(_letter(_NAMES.index(i) + 1) for i in ids)
+# What licences are called after "licensed under the", normalised.
+NAMES = {
+    "MIT": ["mit license", "mit licence", "mit"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0", "apache license v2 0"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl v3", "gplv3", "gpl 3 0"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gpl v2", "gplv2", "gpl 2 0"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl version 3", "gnu lgpl v3", "lgpl v3", "lgpl 3 0"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl version 2 1", "lgpl v2 1", "lgpl 2 1"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl version 3", "gnu agpl v3", "agpl v3", "agpl 3 0"],
+    "BSD-2-Clause": ["bsd 2 clause", "2 clause bsd", "simplified bsd"],
+    "BSD-3-Clause": ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "epl 2 0"],
+    "EPL-1.0": ["eclipse public license version 1 0", "eclipse public license 1 0", "epl 1 0"],
+    "ISC": ["isc license", "isc"],
+    "Unlicense": ["unlicense"],
+    "Zlib": ["zlib license", "zlib"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0", "bsl 1 0"],
+    "CC0-1.0": ["cc0", "creative commons zero", "creative commons cc0"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0", "creative commons attribution share alike 4 0"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0", "creative commons attribution non commercial 4 0"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0"],
+}
+OTHERWISE = ("proprietary", "all-rights")
+#: What a granting sentence begins with, up to the licence's name.
+GRANT_WORDS = ("this", "the", "licensed", "released", "distributed", "published", "available", "made", "dual")
+GRANT = r"^(?:(?:this|the) (?:project|software|work|program|file|library|package|code|source code|document|documentation|text|content|page|article|dataset) is )?(?:made |dual )?(?:licensed|released|distributed|published|available) (?:under|on) (?:the terms of )?(?:the |a |an )?(?:terms of the )?"
+
+_LICENCES = sorted({n for n, _ in RULES} | NAMES.keys())
+#: One character for each identifier, then one for each licence that is granted by its name.
+_LETTERS = {k: chr(0x4E00 + i) for i, k in enumerate([*SENTENCES, *(f"grant {n}" for n in _LICENCES)])}
+_BY_NAME = sorted(((f"{x} ", _LETTERS[f"grant {n}"]) for n, some in NAMES.items() for x in some), key=lambda p: (-len(p[0]), p))
+_BY_SPDX = [(f" {n.lower().replace('-', ' ').replace('.', ' ')} ", _LETTERS[f"grant {n}"]) for n in _LICENCES]
+_OPENINGS: dict[str, list[str]] = {}
+for _id, _line in sorted(SENTENCES.items(), key=lambda p: -len(p[1])):
+    _OPENINGS.setdefault(" ".join(_line.split()[:2]), []).append(f"{_LETTERS[_id]}{_line} ")
+#: A sentence's lines that can matter, as each has a word at least.
+_LINES = max(len(x.split()) for x in (*SENTENCES.values(), *(n for n, _ in _BY_NAME))) + 16
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz "
+#: Patterns mean the same to Java and to RE2.
+_END, _BLANK, _DROP, _HARD = r"[.!?;:]+[\"'”’»\x29\x5D]*([ \t\n]|\z)", r"\n[^a-z0-9]*\n", r"[^a-z0-9|\n]+", r" ?\| ?"
+#: Words that begin a sentence wherever they stand: in unwrapped texts only a copyright notice stands before them.
+_GRANTS = r"[ \n]+((?:permission[ \n]+(?:is|to)|redistribution[ \n]+and)[ \n])"
+_SPDX, _RIGHTS = r"spdx-license-identifier:([^\n]*)", "^(?:copyright|c) .*all rights reserved"
+
+
+def _pieces(text: Column) -> Column:
+    """The normalised lines of sentences; | ends the last line of a sentence."""
+    t = F.regexp_replace(text, _END, "|$1")
+    t = F.regexp_replace(t, _BLANK, "|")
+    t = F.regexp_replace(F.regexp_replace(t, _DROP, " "), _GRANTS, "|$1")
+    t = F.regexp_replace(t, _HARD, " |\n")
+    return F.filter(F.transform(F.split(t, "\n"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _first(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(1))
+
+
+def _letter(pieces: Column, p: Column, i: Column) -> Column:
+    """Of the sentence that begins with line p, the i-th from 0: the letter of its identifier, - if it isn't known, nothing
+    within a sentence and for numbers of lists."""
+    sentence = F.concat(F.trim(F.substring_index(F.array_join(F.slice(pieces, i + 1, F.lit(_LINES)), " "), "|", 1)), F.lit(" "))
+    head = F.when(p.contains(" "), p).otherwise(F.concat_ws(" ", p, F.try_element_at(pieces, i + 2)))
+    table = F.create_map(*[x for k, some in _OPENINGS.items() for x in (F.lit(k), F.array(*map(F.lit, some)))])
+    known = F.try_element_at(table, F.substring_index(head, " ", 2))
+    opening = F.when(known.isNotNull(), F.substring(_first(F.filter(known, lambda k: F.startswith(sentence, F.substr(k, F.lit(2))))), 1, 1))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("letter")) for n, x in _BY_NAME])
+    rest = F.regexp_replace(sentence, GRANT, "|")
+    granted = F.when(F.substring_index(p, " ", 1).isin(*GRANT_WORDS) & F.startswith(rest, F.lit("|")), _first(F.filter(names, lambda n: F.startswith(F.substr(rest, F.lit(2)), n["name"])))["letter"])
+    rights = F.when(p.startswith("c") & p.rlike(_RIGHTS), F.lit(_LETTERS["all-rights"]))
+    begins = (i == 0) | F.endswith(F.try_element_at(pieces, i), F.lit("|"))
+    other = F.when(begins & (F.length(F.rtrim(F.replace(p, F.lit("|"), F.lit("")))) > 2), F.lit("-")).otherwise("")
+    return F.coalesce(opening, granted, rights, other)
+
+
+def _spdx(lines: Column) -> Column:
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("letter")) for n, x in _BY_SPDX])
+    normal = F.concat(F.lit(" "), F.regexp_replace(F.array_join(lines, " | "), "[^a-z0-9|]+", " "), F.lit(" "))
+    return F.when(F.size(lines) > 0, F.array_join(F.transform(F.filter(names, lambda n: F.contains(normal, n["name"])), lambda n: n["letter"]), "")).otherwise("")
+
+
+def _patterns() -> dict[str, str]:
+    """For each licence what the line of letters has if it applies."""
+    return {n: "|".join([*((".{0,%d}" % GAP).join(_LETTERS[i] for i in ids) for m, ids in RULES if m == n), _LETTERS[f"grant {n}"]]) for n in _LICENCES}
 
 
 def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, licences: sorted names joined by commas, n_sentences: known ones) for every row."""
-    parts = F.split(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER), _SPLIT)
-    normal = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, _DROP, " ")))
-    line = F.array_join(F.transform(normal, _known), "")
-    out = docs.select(F.col(f"`{ident}`").alias("doc_id"), line.alias("line"))
-    names = sorted({n for n, _ in RULES})
-    hit = {n: reduce(lambda a, b: a | b, [F.col("line").rlike(_pattern(ids)) for m, ids in RULES if m == n]) for n in names}
-    found = F.concat_ws(",", *[F.when(hit[n], F.lit(n)) for n in names])
+    low = F.regexp_replace(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _UPPER, _LOWER), r"\r\n?", "\n")
+    lines = F.regexp_extract_all(F.when(F.col("low").contains("spdx-license-identifier:"), F.col("low")).otherwise(""), F.lit(_SPDX), F.lit(1))
+    cut = docs.select(F.col(f"`{ident}`").alias("doc_id"), low.alias("low")).select("doc_id", _spdx(lines).alias("spdx"), _pieces(F.col("low")).alias("pieces"))
+    line = F.concat(F.col("spdx"), F.array_join(F.transform("pieces", lambda p, i: _letter(F.col("pieces"), p, i)), ""))
+    out = cut.select("doc_id", line.alias("line"))
+    found = F.concat_ws(",", *[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in _patterns().items()])
+    name, last = OTHERWISE
+    found = F.when((found == "") & F.col("line").contains(_LETTERS[last]), F.lit(name)).otherwise(found)
     return out.select("doc_id", found.alias("licences"), F.length(F.translate("line", "-", "")).cast("long").alias("n_sentences"))
 
 
 def _oracle() -> str:
-    known = " ".join(f"WHEN {'starts_with(s, ' + repr(t[:-1]) + ')' if t[-1] == '*' else 's = ' + repr(t)} THEN '{_letter(i + 1)}'" for i, t in enumerate(SENTENCES.values()))
-    names = sorted({n for n, _ in RULES})
-    hits = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(line, '{_pattern(ids)}')" for m, ids in RULES if m == n) + f" THEN '{n}' END" for n in names)
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    table = "MAP {" + ", ".join(f"{text(k)}: [{', '.join(map(text, some))}]" for k, some in _OPENINGS.items()) + "}"
+    names = "[" + ", ".join(f"{{name: {text(n)}, letter: {text(x)}}}" for n, x in _BY_NAME) + "]"
+    spdx = " || ".join(f"CASE WHEN contains(spdx, {text(n)}) THEN {text(x)} ELSE '' END" for n, x in _BY_SPDX)
+    hits = ", ".join(f"CASE WHEN regexp_matches(line, {text(p)}) THEN {text(n)} END" for n, p in _patterns().items())
+    heads = ", ".join(map(text, GRANT_WORDS))
+    name, last = OTHERWISE
     return rf"""
-WITH parts AS (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPLIT}') AS parts FROM documents),
-normal AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '{_DROP}', ' ', 'g'))) AS parts FROM parts),
-lines AS (SELECT doc_id, array_to_string(list_transform(parts, lambda s: CASE WHEN s = '' THEN '' {known} ELSE '-' END), '') AS line FROM normal)
-SELECT doc_id, concat_ws(',', {hits}) AS licences, length(replace(line, '-', ''))::BIGINT AS n_sentences FROM lines
+WITH low AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '\r\n?', chr(10), 'g') AS low FROM documents),
+marked AS (SELECT doc_id, r, ' ' || regexp_replace(array_to_string(regexp_extract_all(low, '{_SPDX}', 1), ' | '), '[^a-z0-9|]+', ' ', 'g') || ' ' AS spdx,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(low, {text(_END)}, '|\1', 'g'), '{_BLANK}', '|', 'g'), '{_DROP}', ' ', 'g'), '{_GRANTS}', '|\1', 'g'), '{_HARD}', ' |' || chr(10), 'g') AS t FROM low),
+cut AS (SELECT doc_id, r, {spdx} AS spdx, list_filter(list_transform(string_split(t, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS pieces FROM marked),
+each AS (SELECT doc_id, r, spdx, pieces, unnest(CASE WHEN len(pieces) > 0 THEN range(1, len(pieces) + 1) ELSE [0] END) AS i FROM cut),
+sentences AS (SELECT doc_id, r, spdx, i, coalesce(pieces[i], '') AS p, i = 1 OR ends_with(coalesce(pieces[i - 1], ''), '|') AS begins, coalesce(pieces[i + 1], '') AS after_,
+  trim(split_part(array_to_string(list_slice(pieces, i, i + {_LINES - 1}), ' '), '|', 1)) || ' ' AS s FROM each),
+keyed AS (SELECT *, CASE WHEN contains(p, ' ') THEN p ELSE p || ' ' || after_ END AS head, regexp_replace(s, '{GRANT}', '|') AS rest FROM sentences),
+lettered AS (SELECT *, coalesce(
+    (list_filter(map_extract({table}, split_part(head, ' ', 1) || ' ' || split_part(head, ' ', 2))[1], lambda k: starts_with(s, k[2:]))[1])[1],
+    CASE WHEN split_part(p, ' ', 1) IN ({heads}) AND starts_with(rest, '|') THEN (list_filter({names}, lambda n: starts_with(rest[2:], n.name))[1]).letter END,
+    CASE WHEN regexp_matches(p, '{_RIGHTS}') THEN '{_LETTERS[last]}' END,
+    CASE WHEN begins AND length(rtrim(replace(p, '|', ''))) > 2 THEN '-' ELSE '' END) AS letter FROM keyed),
+lines AS (SELECT doc_id, any_value(spdx) || string_agg(letter, '' ORDER BY i) AS line FROM lettered GROUP BY doc_id, r),
+found AS (SELECT doc_id, line, concat_ws(',', {hits}) AS licences FROM lines)
+SELECT doc_id, CASE WHEN licences = '' AND contains(line, '{_LETTERS[last]}') THEN '{name}' ELSE licences END AS licences, length(replace(line, '-', ''))::BIGINT AS n_sentences FROM found
 """
 
 

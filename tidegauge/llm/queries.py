@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, licence_texts, licences, mix, pieces, quality, simhash, token_files, toxicity, url_filter
+from . import exact_dedup, lattice, licences, mix, pieces, quality, simhash, token_files, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,7 +13,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _remainder(n: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """Of a row's id; null ids count as the empty text, so that every row is in a fold."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(spark, docs, _read(spark, sf_dir, "labels").where(_remainder(5) != 0))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size(F.filter("passages", lambda p: p["chance"] <= toxicity.SIGNIFICANT)).cast("long").alias("n_passages"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +56,6 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-def op8_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licence_texts.scan(_read(spark, sf_dir, "documents"))
-
-
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,7 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_mix_sources, op4_simhash, op5_quality, op6_toxicity, op7_embedding_dedup, op8_license_scan, op8_license_texts, op9_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_mix_sources, op4_simhash, op5_quality, op6_toxicity, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_token_files)}
 
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
