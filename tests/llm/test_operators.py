@@ -6,7 +6,9 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import duckdb
@@ -326,6 +328,43 @@ def test_quality(spark, docs, none):
     assert quality.score(none, model).count() == 0 and not any(quality.features(None)) and np.isfinite(quality.features("a " * 99_999)).all()
 
 
+def test_quality_model():
+    """Bins, trees' tables and scores against plain loops."""
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.normal(size=300), rng.integers(0, 4, 300), np.zeros(300)], 1).astype(float)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] == 2)).astype(float)
+    model = quality.AdditiveModel(bins=8, coarse=4, rounds=3, pairs=1, pair_rounds=2).fit(x, y)
+    assert [len(c) + 1 for c in model.cuts] == [len(t) for t in model.tables] and model.tables[2].tolist() == [0] * len(model.tables[2])
+    for row, got in zip(x, model.score(x)):
+        total = model.base
+        for v, cuts, table in zip(row, model.cuts, model.tables):
+            total += table[sum(c <= v for c in cuts)]
+        for (i, j), table in model.pair_tables.items():
+            total += table[sum(c <= row[i] for c in model.wide[i]), sum(c <= row[j] for c in model.wide[j])]
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+    # one round over one feature: the best of all trees with three leaves grown cut by cut
+    bins, p = np.searchsorted(model.cuts[0], x[:, 0], side="right"), 1 / (1 + math.exp(-model.base))
+    g, h = y - p, np.full(300, p * (1 - p))
+    gain = lambda some: g[some].sum() ** 2 / (h[some].sum() + model.ridge)
+    parts = [bins >= 0]
+    for _ in range(2):
+        best = max(((gain(a & (bins < k)) + gain(a & (bins >= k)) - gain(a), i, k) for i, a in enumerate(parts) for k in range(1, 8) if min((a & (bins < k)).sum(), (a & (bins >= k)).sum()) >= model.least), key=lambda t: t[0])
+        a = parts.pop(best[1])
+        parts += [a & (bins < best[2]), a & (bins >= best[2])]
+    want = np.zeros(len(model.tables[0]))
+    for a in parts:
+        want[np.unique(bins[a])] = g[a].sum() / (h[a].sum() + model.ridge)
+    assert model._tree(bins, g, h, len(want)) == pytest.approx(want)
+
+
+def test_quality_rows(spark):
+    """Repeated rows and null ids are scored; columns of any name pass."""
+    rows = [(1, "a tide gauge", 0.1), (1, "a tide gauge", 0.1), (None, "a tide gauge", 0.1), (2, None, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, body double").withColumns({"s": F.lit(1), "c0": F.lit("x")})
+    got = quality.score(given, quality.train(given, spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int"))).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.text}) == 1 and all(r.s == 1 and r.c0 == "x" for r in got)
+
+
 def slow_segments(scores):
     """Maximal scoring subsequences by their definition, recursively; of equal ones the shortest."""
     best, at = 0.0, None
@@ -358,7 +397,7 @@ def test_toxicity(spark, docs, none):
     sf = "/root/testdata/sf0.1"
     got = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     n = got.agg(F.expr("count_if(toxic = 1)").alias("toxic"), F.expr("count_if(toxic = 1 and predicted = 1)").alias("hit"), F.expr("count_if(toxic = 0)").alias("clean"), F.expr("count_if(toxic = 0 and predicted = 1)").alias("wrong")).first()
-    assert n.hit >= 0.75 * n.toxic and n.wrong <= 0.01 * n.clean
+    assert n.hit >= 0.9 * n.toxic and n.wrong <= 0.01 * n.clean
     model = toxicity.train(spark, docs, spark.createDataFrame([], "doc_id long, toxic int"))
     scored = toxicity.score(docs, model)
     assert scored.count() == docs.count() and scored.where("score != 0").count() == 0
@@ -367,6 +406,64 @@ def test_toxicity(spark, docs, none):
     assert model.table == {}
 
 
+def _table(rows):
+    """Words' scores from (words, toxic) by the docstring's formula."""
+    size = Counter(y for _, y in rows)
+    seen = {0: Counter(), 1: Counter()}
+    for found, y in rows:
+        kinds = set(found)
+        for k in (4, 5, 6):
+            kinds |= {w[:k] + "*" for w in found if len(w) > k}
+        seen[y].update(kinds)
+    base, out = (size[1] + 1) / (size[0] + size[1] + 2), {}
+    for w in {*seen[0], *seen[1]}:
+        if len(w) == 5 and w[-1] == "*":
+            continue
+        share, root = base, w.rstrip("*")[:4] + "*"
+        if len(w.rstrip("*")) > 4:
+            share = (seen[1][root] + toxicity.PRIOR * base) / (seen[1][root] + seen[0][root] + toxicity.PRIOR)
+        x, y = seen[1][w] + toxicity.PRIOR * share, seen[0][w] + toxicity.PRIOR * (1 - share)
+        value = math.log(x / y) - math.log(base / (1 - base)) - toxicity.Z * math.sqrt(1 / x + 1 / y)
+        if value > 0:
+            out[w] = value
+    return out
+
+
+def test_toxicity_learning(spark):
+    """The table, the folds' background and every score against plain Python; nulls, ties, repeated rows, odd columns."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumns({"same": F.lit("x"), "y": F.lit(2), "fold": F.lit(9)})
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    extra = docs.limit(3).unionByName(spark.createDataFrame([(None, "idiot scum trash"), (10**9, None), (10**9 + 1, "scum " * 30_000)], "doc_id long, text string").withColumns({"same": F.lit("x"), "y": F.lit(2), "fold": F.lit(9)}))
+    given = docs.unionByName(extra)
+    more = labels.unionByName(spark.createDataFrame([(10**9, 0), (None, 1), (5, None)], "doc_id long, toxic int"))
+    model = toxicity.train(spark, given, more)
+    text = {r.doc_id: r.text for r in given.collect()}
+    fold = {r.doc_id: r.f for r in given.select("doc_id", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(4)).alias("f")).collect()}
+    rows = {(text[r.doc_id] or "", int(r.toxic > 0)): fold[r.doc_id] for r in more.collect() if r.toxic is not None and r.doc_id in text and r.doc_id is not None}
+    words = [(re.findall(r"[^\W\d_]+", t.lower()), y, f) for (t, y), f in rows.items()]
+    assert model.table == pytest.approx(_table([(w, y) for w, y, _ in words])) and len(model.table) > 5
+    folds = [toxicity.Segments(_table([(w, y) for w, y, f in words if f != k]), 1.0, 1.0) for k in range(4)]
+    background = [(len(w), sum({tuple(w[a:b]): s for a, b, s in folds[f].passages(" ".join(w))[1]}.values())) for w, y, f in words if not y]
+    decay, factor = toxicity.law(*map(np.array, zip(*background)))
+    assert (model.decay, model.factor) == pytest.approx((decay, factor))
+    for r in toxicity.score(given, model).collect():
+        w = re.findall(r"[^\W\d_]+", (text[r.doc_id] or "").lower())
+        total = sum({tuple(w[a:b]): s for a, b, s in model.passages(" ".join(w))[1]}.values())
+        chance = 1 - math.exp(-factor * len(w) * math.exp(-decay * total))
+        assert r.score == pytest.approx(1 / (1 + chance / toxicity.ALPHA) if total else 0)
+
+
+def test_toxicity_law():
+    """Totals drawn by the law give back its lambda; the number over the quantile is met by K."""
+    rng = np.random.default_rng(2)
+    n = rng.integers(20, 400, 40_000)
+    drawn = np.maximum(-np.log(-np.log(rng.random(len(n))) / (1e-3 * n)) / 1.7, 0)
+    decay, factor = toxicity.law(n, drawn)
+    assert decay == pytest.approx(1.7, rel=0.1) and factor == pytest.approx(1e-3, rel=0.15)
+    assert toxicity.law(np.array([5, 7]), np.zeros(2)) == (1.0, 1 / 12)
+
+
 def test_e8():
     rng = np.random.default_rng(4)
     y = rng.normal(size=(300, 8)) * 3
@@ -423,6 +520,36 @@ def test_lattice(spark):
     assert lattice.near_duplicates(spark, given.limit(0)).count() == 0
 
 
+def test_lattice_ids(spark):
+    """Repeated and null ids don't mix classes."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (None, [0.0, 3.0], 1), (None, [-1.0, 0.0], 1), (None, None, 1), (7, [0.0, 1.0], None), (7, [0.0, 1.0], None)]
+    got = lattice.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_lattice_blocks(spark, monkeypatch):
+    """Many small blocks and strips give what one block gives."""
+    rows = [r for r in vectors() if r[2] == 7][:300]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    whole = sorted(map(tuple, lattice.near_duplicates(spark, given).collect()))
+    monkeypatch.setattr(lattice, "BLOCK", 64)
+    monkeypatch.setattr(lattice, "STRIP", 10)
+    assert sorted(map(tuple, lattice.near_duplicates(spark, given).collect())) == whole and sum(r[1] for r in whole) > 10_000
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.94, 0.96])
+def test_lattice_recall(cosine):
+    """Pairs at a cosine share a cell that one of them owns."""
+    rng = np.random.default_rng(3)
+    u, w = rng.normal(size=(2, 1500, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    ok = lattice._first_common(*lattice.cells(u), *lattice.cells(cosine * u + np.sqrt(1 - cosine**2) * w))[1]
+    assert ok.mean() >= 0.98
+
+
 def test_licences(spark, docs, none):
     rows = [
         (1, "Some text.\nReleased under the MIT License.\nMore"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, "x. Licensed under the Apache License, Version 2.0; and"),

@@ -1,18 +1,23 @@
 """Toxicity by maximum-scoring segments.
 
 Every word has the log-odds of being in toxic rather than in other documents, under an informative Dirichlet prior:
-PRIOR documents dealt as those of all words with its first ROOT characters, and these as all documents. Words whose
-log-odds are LEAST and stand out by Z standard deviations score it, all others -DRIFT. A linear-time
-scan finds all maximal segments of positive score of a document, its toxic passages. The chance of a segment of
-score s in n words of the background is about 1 - exp(-K n exp(-lambda s)), the extreme-value law of such maxima,
-with lambda the root of E[exp(lambda score)] = 1 over the words of other documents; a document's score is one less
-that chance for its best passage.
-
-A word's evidence is that of the whole word or else of its first STEMS characters, so inflected forms count. The
-table is learned from at most SAMPLE labelled rows (those whose hashed ids come first; equal texts count once):
-Spark counts the words and only those that stand out, at most TABLE of them, reach the driver. Whole texts are read; language, source and
-id are never inputs. Null texts count as empty; a text without a passage has the score 0. Without labelled rows of
-both kinds nothing is toxic. Rows with null ids are scored; repeated rows get equal scores.
+PRIOR documents dealt as those of all words with its first ROOT characters, and these as all documents. It scores its
+log-odds less Z of their standard deviations, or -DRIFT where that isn't above zero, so weak evidence counts for
+little and none is cut off. A word's evidence is that of the whole word or else of its first STEMS characters, so
+inflected forms count. A linear-time scan finds all maximal segments of positive score of a document, its passages;
+equal ones count once, since lines repeat.
+
+The chance that a document of the background has a score of s or more in n words follows the extreme-value law
+1 - exp(-K n exp(-lambda s)). K and lambda are fitted to the labelled documents that aren't toxic, each scored by
+words learned from the other FOLDS - 1 folds: lambda by the excesses over their TAIL quantile, counted up to the
+quantile NOISE, as beyond it wrong labels stand; K by the number of excesses. A passage is significant if its chance
+is at most SIGNIFICANT. A document's score is 1 / (1 + chance / ALPHA), with the chance of all its passages' sum.
+
+The table is learned from at most SAMPLE labelled rows (those whose hashed ids come first; equal texts count once).
+Spark counts the words, and those that score reach the driver: words of several toxic rows each, so SAMPLE bounds
+them. Whole texts are read; language, source and id are never inputs. Null texts count as empty; a text without a
+passage has the score 0. Without labelled rows of both kinds nothing is toxic. Rows with null ids are scored; repeated
+rows get equal scores. Input columns other than id and text aren't read and may have any names.
 """
 
 from __future__ import annotations
@@ -20,22 +25,34 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import Scratch, in_arrow, null_text
 
 SAMPLE = 40_000
-TABLE = 50_000
 STEMS, ROOT = (6, 5), 4
-PRIOR, LEAST, Z = 15.0, 2.75, 3.0
-THRESHOLD = 0.5
+PRIOR, Z = 15.0, 2.3
 DRIFT = 1.0
+FOLDS, TAIL, NOISE = 4, 0.9, 0.99
+SIGNIFICANT, ALPHA, THRESHOLD = 0.05, 0.005, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Entries that a worker remembers of words it has looked up.
-MEMO = 500_000
+MEMO = 100_000
+
+
+def words(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased."""
+    return _WORD.findall((text or "").lower())
+
+
+def terms(found: list[str]) -> set[str]:
+    """Distinct words, and their first characters with a * after them."""
+    kinds = set(found)
+    return kinds | {f"{w[:k]}*" for w in kinds for k in (*STEMS, ROOT) if len(w) > k}
 
 
 class _Memo(dict):
@@ -63,13 +80,23 @@ class Segments:
         self.memo = _Memo(table)
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words; all maximal segments as (first word, word after the last, score), from left to right.
-
-        Runs of words that don't stand out are stepped over at once. Each segment on the stack has the total before
-        it and after it; a new one takes in those before it from the last that starts lower, if it ends higher.
-        """
-        words = _WORD.findall((text or "").lower())
-        hits = [(i, s) for i, s in enumerate(map(self.memo.__getitem__, words)) if s]
+        """The number of words; all maximal segments as (first word, word after the last, score), from left to right."""
+        found = words(text)
+        return len(found), self._segments(found)
+
+    def total(self, text: str | None) -> tuple[int, float]:
+        """The number of words; the sum of scores of all maximal segments, equal ones once."""
+        found = words(text)
+        return len(found), self._sum(found, self._segments(found))
+
+    @staticmethod
+    def _sum(found: list[str], parts: list[tuple[int, int, float]]) -> float:
+        return sum({tuple(found[a:b]): s for a, b, s in parts}.values())
+
+    def _segments(self, found: list[str]) -> list[tuple[int, int, float]]:
+        """Runs of words without a score are stepped over at once. Each segment on the stack has the total before it
+        and after it; a new one takes in those before it from the last that starts lower, if it ends higher."""
+        hits = [(i, s) for i, s in enumerate(map(self.memo.__getitem__, found)) if s]
         stack: list[tuple[int, int, float, float, int]] = []  # first, end, total before, total after, last with a lower start
         total, at = 0.0, 0
         for i, s in hits:
@@ -86,26 +113,68 @@ class Segments:
                 del stack[j:]
                 j = k
             stack.append((first, at, low, total, j))
-        return len(words), [(a, b, after - low) for a, b, low, after, _ in stack]
+        return [(a, b, after - low) for a, b, low, after, _ in stack]
 
     def chance(self, n: int, score: float) -> float:
         return -math.expm1(-self.factor * max(n, 1) * math.exp(-self.decay * score)) if score > 0 else 1.0
 
+    def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """The document's score; its passages with the chance of each."""
+        found = words(text)
+        n, parts = len(found), self._segments(found)
+        all_ = self._sum(found, parts)
+        return 1 / (1 + self.chance(n, all_) / ALPHA) if all_ > 0 else 0.0, [(a, b, s, self.chance(n, s)) for a, b, s in parts]
+
     def score(self, text: str | None) -> float:
-        n, found = self.passages(text)
-        return 1 - self.chance(n, max((s for *_, s in found), default=0.0))
+        return self.judged(text)[0]
 
 
-def _decay(scores: list[tuple[float, float]], rest: float) -> float:
-    """The positive root of sum p exp(lambda s) + rest exp(-lambda DRIFT) = 1, by bisection."""
-    total = lambda x: sum(p * math.exp(min(x * s, 700)) for p, s in scores) + rest * math.exp(-x * DRIFT) - 1
-    lo, hi = 1e-6, 1e-6
-    while total(hi) < 0 and hi < 100:
-        hi = hi * 2
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if total(mid) < 0 else (lo, mid)
-    return hi
+def law(n: np.ndarray, total: np.ndarray) -> tuple[float, float]:
+    """lambda and K of the background's documents: their numbers of words and scores."""
+    order = np.lexsort((n, total))
+    n, total = np.maximum(n[order].astype(float), 1), total[order]
+    least, most = np.quantile(total, TAIL), np.quantile(total, NOISE)
+    over = total > least
+    if not over.any() or most <= least:
+        return 1.0, 1 / n.sum()
+    decay = float((over & (total < most)).sum() / np.minimum(total[over] - least, most - least).sum())
+    lo, hi = 1e-12, 1e6
+    for _ in range(200):
+        mid = math.sqrt(lo * hi)
+        lo, hi = (mid, hi) if -np.expm1(-mid * n * math.exp(-decay * least)).sum() < over.sum() else (lo, mid)
+    return decay, hi
+
+
+def _tables(scratch: Scratch, given: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """given: (y, fold, body). The table of all rows, and for each fold that of the others."""
+
+    def work(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(terms(words(t.as_py()))) for t in b.column(2)], pa.list_(pa.string()))], names=["y", "fold", "terms"])
+
+    parts = range(FOLDS)
+    both = lambda y: [F.sum(y).alias("all"), *[F.sum(F.when(F.col("fold") != k, y).otherwise(0)).alias(f"f{k}") for k in parts]]
+    counts = [c.alias(f"{side}_{name}") for side, y in (("t", F.col("y")), ("c", 1 - F.col("y"))) for c, name in zip(both(y), ("all", *parts))]
+    size = given.agg(*counts).first()
+    found = in_arrow(given.select("y", "fold", "body"), work, "y int, fold int, terms array<string>")
+    seen = scratch.save(found.select("y", "fold", F.explode("terms").alias("w")).groupBy("w").agg(*counts), "terms")
+    is_root = (F.length("w") == ROOT + 1) & F.col("w").endswith("*")
+    root = seen.where(is_root).select(F.col("w").alias("root"), *[F.col(c).alias(f"root_{c}") for c in seen.columns[1:]])
+    stem = F.when(F.length(F.rtrim("w", F.lit("*"))) > ROOT, F.concat(F.substring("w", 1, ROOT), F.lit("*")))
+    own = seen.where(~is_root).join(root, stem == F.col("root"), "left")
+
+    def value(k) -> Column:
+        t, c = size[f"t_{k}"] or 0, size[f"c_{k}"] or 0
+        base = (t + 1) / (t + c + 2)
+        rt, rc = F.col(f"root_t_{k}"), F.col(f"root_c_{k}")
+        share = F.coalesce((rt + PRIOR * base) / (rt + rc + PRIOR), F.lit(base))
+        x, y = F.col(f"t_{k}") + PRIOR * share, F.col(f"c_{k}") + PRIOR * (1 - share)
+        return F.ln(x / y) - math.log(base / (1 - base)) - Z * F.sqrt(1 / x + 1 / y)
+
+    values = [value(k).alias(f"s_{k}") for k in ("all", *parts)]
+    rows = own.select("w", *values).where(F.greatest(*[F.col(f"s_{k}") for k in ("all", *parts)]) > 0).collect()
+    table = lambda k: {r.w: r[f"s_{k}"] for r in rows if r[f"s_{k}"] > 0}
+    return table("all"), [table(k) for k in parts]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Segments:
@@ -113,29 +182,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, ident: str =
     scratch = Scratch(spark, "toxicity")
     some = labels.where(F.col(ident).isNotNull() & F.col(label).isNotNull()).select(F.col(ident).alias("id"), (F.col(label) > 0).cast("int").alias("y"))
     some = F.broadcast(some.orderBy(F.xxhash64("id"), "id", "y").limit(sample))  # at most `sample` rows of 12 bytes
-    given = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.lower(null_text(f"`{text}`")).alias("body")).join(some, "id")
-    given = given.select(F.sha2("body", 256).alias("same"), "y", F.regexp_extract_all("body", F.lit(r"(\p{L}+)"), F.lit(1)).alias("all")).select("same", "y", F.size("all").alias("n"), F.array_distinct("all").alias("words"))
-    given = scratch.save(given.dropDuplicates(["same", "y"]), "sample")
-    n = given.agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"), F.sum((1 - F.col("y")) * F.col("n")).alias("words")).first()
-    if not n.toxic or not n.other:
+    given = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), null_text(f"`{text}`").alias("body")).join(some, "id")
+    given = given.select("y", F.pmod(F.xxhash64("body"), F.lit(FOLDS)).cast("int").alias("fold"), "body", F.sha2("body", 256).alias("same"))
+    given = scratch.save(given.dropDuplicates(["same", "y"]).drop("same"), "sample")
+    kinds = given.agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other")).first()
+    if not kinds.toxic or not kinds.other:
         return Segments({}, 1.0, 1.0)
-    stem = lambda k: lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))
-    longer = lambda k: F.transform(F.filter("words", lambda w: F.length(w) > k), stem(k))
-    terms = given.select("y", F.explode(F.array_distinct(F.concat("words", *[longer(k) for k in (*STEMS, ROOT)]))).alias("w"))
-    terms = scratch.save(terms.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")), "terms")
-    base = (n.toxic + 1) / (n.toxic + n.other + 2)
-    root = terms.where((F.length("w") == ROOT + 1) & F.col("w").endswith("*")).select(F.col("w").alias("root"), ((F.col("t") + PRIOR * base) / (F.col("t") + F.col("c") + PRIOR)).alias("share"))
-    own = terms.where((F.length("w") != ROOT + 1) | ~F.col("w").endswith("*"))
-    own = own.join(root, F.when(F.length(F.rtrim("w", F.lit("*"))) > ROOT, stem(ROOT)(F.col("w"))) == F.col("root"), "left").withColumn("q", F.coalesce("share", F.lit(base)))
-    x, y = F.col("t") + PRIOR * F.col("q"), F.col("c") + PRIOR * (1 - F.col("q"))
-    own = own.withColumn("d", F.ln(x / y) - math.log(base / (1 - base))).withColumn("z", F.col("d") / F.sqrt(1 / x + 1 / y))
-    found = own.where((F.col("d") >= LEAST) & (F.col("z") >= Z)).orderBy(F.desc("z"), "w").limit(TABLE).select("w", "d", "c").collect()
-    table = {r.w: r.d for r in found}
-    # chances of the table's words among other documents' words; a word below a stem of the table counts there
-    low = lambda w: any(w != s and w.rstrip("*").startswith(s[:-1]) and s in table for s in (f"{w[:k]}*" for k in STEMS))
-    scores = [((r.c + 0.5) / max(n.words, 1), r.d) for r in found if not low(r.w)]
-    decay = _decay(scores, max(1 - sum(p for p, _ in scores), 0.01)) if scores else 1.0
-    return Segments(table, decay, 1 - math.exp(-decay * DRIFT))
+    table, others = _tables(scratch, given)
+
+    def work(batches):
+        folds = [Segments(t, 1.0, 1.0) for t in others]
+        for b in batches:
+            found = [folds[k].total(t) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["n", "s"])
+
+    background = in_arrow(given.where("y = 0").select("fold", "body"), work, "n long, s double").toArrow()  # two numbers for each of at most `sample` rows
+    return Segments(table, *law(background["n"].to_numpy(), background["s"].to_numpy()))
 
 
 def score(docs: DataFrame, model: Segments, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -145,14 +207,11 @@ def score(docs: DataFrame, model: Segments, text: str = "text", ident: str = "do
 
     def work(batches):
         m = Segments(table, decay, factor)
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64()), ("score", pa.float64()), ("chance", pa.float64())]))
         for b in batches:
-            scores, found = [], []
-            for t in b.column(1):
-                n, parts = m.passages(t.as_py())
-                scores.append(1 - m.chance(n, max((s for *_, s in parts), default=0.0)))
-                found.append([{"first": x, "after": y, "score": s, "chance": m.chance(n, s)} for x, y, s in parts])
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64()), ("score", pa.float64()), ("chance", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["doc_id", "score", "passages"])
+            found = [m.judged(t.as_py()) for t in b.column(1)]
+            parts = [[{"first": x, "after": y, "score": s, "chance": p} for x, y, s, p in some] for _, some in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(parts, kind)], names=["doc_id", "score", "passages"])
 
     part = StructType([StructField("first", LongType()), StructField("after", LongType()), StructField("score", DoubleType()), StructField("chance", DoubleType())])
     schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("passages", ArrayType(part))])
