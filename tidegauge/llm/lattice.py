@@ -8,12 +8,15 @@ counted in one cell each, the first of the two vectors' common ones, and every b
 forest of its links: pairs are never rows.
 
 Counts for each cell come first (combined before the shuffle), so rows of cells that nobody shares go no further. A
-cell's members are dealt by hash into blocks of at most about BLOCK, each pair of blocks is a group of its own, so
-no task holds a large cell. Recall against brute force is tested (over 0.95 for cosines just at the threshold).
+cell's members are dealt by hash into blocks of about BLOCK, each pair of blocks is a group of its own, so no task
+holds a large cell. Of n members each is sent n / BLOCK times, which is less work than comparing them with each other.
+Recall is tested against brute force, also in bands just above the threshold (over 0.99 at a cosine of 0.93).
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and vectors without a label, link with
-nothing, not even with equal ones; vectors of different lengths don't link. Ids aren't null; repeated rows count as
-vectors of their own. Other columns are not passed on. Empty tables give empty results.
+nothing, not even with equal ones; vectors of different lengths don't link. Classes have numbers of their own, so ids
+may be null or repeated: every row counts as a vector, a null id gives no component its name (one of null ids alone
+has the null one) and rows of a component's smallest id are all kept. Other columns are not passed on. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from .common import Scratch, components, in_arrow
 
 COSINE = 0.93
 TABLES, PARTS, PROBES, SCALE = 8, 2, 4, 0.5
-BLOCK = 512
+#: Vectors of a block, about: a pair of blocks is compared at a task's leisure, and each is sent to every other one of its cell.
+BLOCK = 2048
+#: Rows compared at once.
+STRIP = 256
 SEED = 20_240_117
 
 
@@ -86,7 +92,7 @@ def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 y = unit @ planes[t, p]
                 point = decode(y)
                 own[:, t] += (point * words[t, p]).sum(1)
-                near = np.argsort(-((y - point / 2) @ short.T), axis=1, kind="stable")[:, :PROBES]
+                near = np.argpartition((point / 2 - y) @ short.T, PROBES - 1, axis=1)[:, :PROBES]
                 steps.append((short * words[t, p]).sum(1)[near])
             probes[:, t] = own[:, t, None] + np.concatenate(steps, 1)
     return own, probes
@@ -129,50 +135,54 @@ def _first_common(own_a, probes_a, own_b, probes_b):
     return found, ~open_
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    up: dict[int, int] = {}
-
-    def root(x):
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+def _joined(label: np.ndarray, row: int, others: np.ndarray) -> list[tuple[int, int]]:
+    """Makes the classes of row and others one, in label; pairs of members that join the classes."""
+    classes = np.unique(label[np.append(others, row)])
+    if len(classes) > 1:
+        label[np.isin(label, classes[1:])] = classes[0]
+    return [(classes[0], c) for c in classes[1:]]
 
 
 def _verify(cosine: float):
     def group(cell: int, i: int, j: int, rep, block, own, many, unit):
-        """Links of one pair of blocks: (rep, partner, 0) of a forest and (rep, null, number of vectors linked to it)."""
+        """Links of one pair of blocks: (rep, partner, 0) of a forest and (rep, null, number of vectors linked to it).
+
+        A strip of rows is compared at a time, so memory doesn't grow with the number of links."""
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
         if not len(left) or not len(right):
             return []
-        hit = unit[left] @ unit[right].T >= cosine
-        hit &= own[left][:, None] | own[right][None]
-        x, y = np.nonzero(hit)
-        x, y = left[x], right[y]
-        if i == j:
-            x, y = x[x < y], y[x < y]
-        if not len(x):
+        strips = [left[at : at + STRIP] for at in range(0, len(left), STRIP)]
+
+        def hits(some: np.ndarray) -> np.ndarray:
+            hit = unit[some] @ unit[right].T >= cosine
+            hit &= own[some][:, None] | own[right][None]
+            return hit & (some[:, None] < right[None]) if i == j else hit
+
+        used = np.zeros(len(rep), bool)
+        for some in strips:
+            hit = hits(some)
+            used[some] |= hit.any(1)
+            used[right] |= hit.any(0)
+        if not used.any():
             return []
-        used = np.unique(np.concatenate([x, y]))
+        place = np.cumsum(used) - 1
         mine, probes = cells(unit[used])
-        ux, uy = np.searchsorted(used, x), np.searchsorted(used, y)
-        keep = np.zeros(len(x), bool)
-        for s in range(0, len(x), 20_000):
-            e = slice(s, s + 20_000)
-            first, ok = _first_common(mine[ux[e]], probes[ux[e]], mine[uy[e]], probes[uy[e]])
-            keep[e] = ok & (first == cell)
-        x, y = x[keep], y[keep]
-        out = [(a, b, 0) for a, b in _forest(rep[x], rep[y])]
-        count = np.bincount(x, many[y], len(rep)) + np.bincount(y, many[x], len(rep))
+        label, count, out = np.arange(len(rep)), np.zeros(len(rep), np.int64), []
+        for some in strips:
+            u, v = np.nonzero(hits(some))
+            x, y = some[u], right[v]
+            keep = np.zeros(len(x), bool)
+            for s in range(0, len(x), 20_000):
+                a, b = place[x[s : s + 20_000]], place[y[s : s + 20_000]]
+                first, ok = _first_common(mine[a], probes[a], mine[b], probes[b])
+                keep[s : s + 20_000] = ok & (first == cell)
+            x, y = x[keep], y[keep]
+            np.add.at(count, x, many[y])
+            np.add.at(count, y, many[x])
+            ends = np.flatnonzero(np.diff(x, append=-1)) + 1
+            for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                out += [(int(rep[a]), int(rep[b]), 0) for a, b in _joined(label, x[s], y[s:e])]
         return out + [(int(rep[k]), None, int(count[k])) for k in np.flatnonzero(count)]
 
     def rows(batches):
@@ -214,7 +224,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, ident: str = "vec_i
     rows = vectors.select(F.col(f"`{ident}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("embedding"))
     usable = F.coalesce(F.col("label").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    kinds = scratch.save(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "kinds")
+    kinds = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
+    kinds = scratch.save(kinds.withColumn("rep", F.monotonically_increasing_id()), "kinds")  # written, so a class keeps its number
     cells_ = scratch.save(in_arrow(kinds.select("rep", "embedding", "label"), _emit, "rep long, dim int, label long, cell long, own boolean"), "cells")
     shared = cells_.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("owned and size > 1")
     shared = shared.select("label", "dim", "cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -226,8 +237,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, ident: str = "vec_i
     links = scratch.save(in_arrow(dealt, _verify(cosine), "a long, b long, n long"), "links")
     roots = components(scratch, links.where("b is not null").select("a", "b"))
     counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    known = kinds.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    rooted = kinds.select("rep", "least", "many").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = rooted.join(named, "root").join(counts, "rep", "left").select("rep", (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
+    known = kinds.select("rep", "label", "embedding").join(known, "rep").drop("rep")
     found = rows.where("usable").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionAll(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
