@@ -33,7 +33,7 @@ from .common import Scratch, own
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a shard, about; levels of the tree and binary digits of a block's number, at least.
-SHARD_WORDS, LEVELS, BITS = 1 << 24, 4, 12
+SHARD_WORDS, LEVELS, BITS = 1 << 24, 6, 12
 SEED = "mix"
 
 
