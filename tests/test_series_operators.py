@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import warnings
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -126,7 +128,53 @@ def test_correlation(spark):
     z = s.correlation("u", "v", whole, zero_intercept=True).first()
     x, y = np.array(u), 2 * np.array(u) + 1
     assert (z.slope, z.r_squared) == pytest.approx(((x @ y) / (x @ x), (x @ y) ** 2 / ((x @ x) * (y @ y))))
-    assert stats.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
+    # fixed values: the published quantiles of Student's distribution
+    for df, t in {1: 12.7062, 2: 4.3027, 3: 3.1824, 4: 2.7764, 5: 2.5706, 10: 2.2281, 30: 2.0423, 60: 2.0003, 120: 1.9799}.items():
+        assert stats.t_quantile(0.975, df) == pytest.approx(t, abs=5e-5)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 12, 40])
+def test_prediction_interval(spark, n):
+    """Against the formula with published quantiles, from one degree of freedom on."""
+    t = {1: 12.7062, 2: 4.3027, 3: 3.1824, 10: 2.2281, 38: 2.0244}[n - 2]
+    x = [float(i) for i in range(n)]
+    y = [2 * v + (-1) ** i for i, v in enumerate(x)]
+    s = series(spark, y, u=x)
+    rows = sorted(s.prediction_interval("u", "v", (T0, T0 + timedelta(days=1))).collect(), key=lambda r: r.x)
+    slope, intercept = np.polyfit(x, y, 1)
+    rest = np.array(y) - (slope * np.array(x) + intercept)
+    half = t * np.sqrt((rest @ rest) / (n - 2)) * np.sqrt(1 + 1 / n + (np.array(x) - np.mean(x)) ** 2 / ((np.array(x) - np.mean(x)) ** 2).sum())
+    assert [r.upper - r.fit for r in rows] == pytest.approx(half, rel=1e-4) and [r.fit - r.lower for r in rows] == pytest.approx(half, rel=1e-4)
+
+
+def test_profile_of_original_points(spark):
+    """Added rows (!!) count no more than filtered ones."""
+    s = series(spark, [1, 2, 3, 4], 720).tag_extremes("v", limit=4, method="above")
+    extra = spark.createDataFrame([(0, T0 + timedelta(hours=h)) for h in (0, 12, 24, 36, 48)], "series_key int, time timestamp_ntz")
+    more = s.reindex_times(extra).add(v=F.coalesce("v", F.lit(99.0)))
+    got = {r.tod: r.avg for r in more.daily_profile("v", ("2024/1/1", "2024/1/3"), only_checked=True).collect()}
+    assert sorted(got.values()) == [2, 3]
+
+
+def test_quantiles_of_long_series(spark):
+    rng = random.Random(3)
+    values = [rng.choice([None, float(rng.randrange(20)), rng.random()]) for _ in range(300)]
+    known = pd.Series(values, dtype=float).dropna()
+    for p in (0, 0.1, 0.5, 0.9, 1):
+        plain, cut = (tagging.quantiles(series(spark, values, chunk_rows=k, partitions=3), "v", p).first().quantile for k in (None, 50))
+        assert plain == pytest.approx(known.quantile(p)) and cut == pytest.approx(plain)
+
+
+def test_chunked_by_input_size(spark, tmp_path, monkeypatch):
+    from tidegauge.plans import series as plans
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("time"), F.rand(1).alias("v"))
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert OnlineSeries.wrap(read).chunk_rows is None and 5_000 < plans.input_bytes(read) < 100_000
+    monkeypatch.setattr(plans, "AUTO_BYTES", 1000)
+    assert OnlineSeries.wrap(read).chunk_rows == plans.AUTO_ROWS and OnlineSeries.wrap(read, chunk_rows=None).chunk_rows is None
+    assert OnlineSeries.wrap(read).previous(p=(F.col("v"), False)).df.where("p is null").count() == 1
 
 
 def test_nearest(spark):
@@ -160,6 +208,54 @@ def test_filling_error(spark):
     assert zero.df.where("__gap and v != 0").count() == 0 and zero.df.count() == 10
 
 
+def test_filling_error_ranges_and_tags(spark):
+    """Gaps lie where the filler works, so one that is exact has no error; earlier tags don't matter."""
+    n = 60
+    s = series(spark, [float(10 + i % 7) for i in range(n)], u=[float(10 + i % 7) for i in range(n)])
+    whole, half = (T0, T0 + timedelta(minutes=5 * n)), (T0, T0 + timedelta(minutes=5 * n // 2))
+    exact = s.check_filling_error(8, "v", "fill_ratio", whole, 5, 6, seed=3, use="u", ratio=1.0, arange=half).first()
+    assert exact.imputation_error_pct == 0
+    gaps = reliability.random_gaps(s, 8, 50, 40, half, 3).collect()
+    assert all(1 <= g.start <= 30 and g.start + g.size <= 32 for g in gaps) and max(g.start + g.size for g in gaps) == 32
+    gap = spark.createDataFrame([(0, 20, 6)], "iteration int, start int, size int")
+    plain = s.filling_error("v", "fill_interpolation", gap, range_=10, arange=whole).first().error_pct
+    tagged = s.tag_extremes("v", limit=12).tag_nan("v", preserve_tags=True).fill_ratio("v", "u", 2.0, whole)
+    assert plain > 0 and tagged.filling_error("v", "fill_interpolation", gap, range_=10, arange=whole).first().error_pct == plain
+
+
+def test_filling_warnings(spark):
+    """Advice once for a series and its descendants; rain at every filler, unless switched off."""
+    whole = (T0, T0 + timedelta(hours=1))
+    s = series(spark, [1, None, 3, 4], u=[1.0, 2.0, 3.0, 4.0]).tag_nan("v")
+    with pytest.warns(UserWarning, match="small gaps first"):
+        t = s.fill_ratio("v", "u", 1.0, whole)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        t.fill_interpolation("v", 2, whole)
+    wet = t.get_highs("u", 1, whole, "value")
+    for _ in range(2):
+        with pytest.warns(UserWarning, match="rain"):
+            wet.fill_ratio("v", "u", 1.0, whole)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        replace(wet, rain_checks=False).fill_ratio("v", "u", 1.0, whole)
+        wet.check_filling_error(1, "v", "fill_ratio", whole, 1, 2, use="u", ratio=1.0, arange=whole).collect()
+    with pytest.raises(TypeError):
+        t.fill_standard("v", whole, {"tod": 1})
+
+
+def test_nearest_of_many_series(spark):
+    """One model for all series: each row takes the value nearest in time, whatever its series and slice."""
+    rng = random.Random(4)
+    rows = [(f"k{i % 3}", T0 + timedelta(minutes=rng.randrange(9 * 1440)), i, None) for i in range(60)]
+    model = sorted((T0 + timedelta(minutes=rng.randrange(9 * 1440)), float(i)) for i in range(12))
+    s = OnlineSeries.wrap(spark.createDataFrame(rows, "time_key string, time timestamp_ntz, seq long, v double"), key="time_key").tag_nan("v")
+    got = s.fill_model("v", spark.createDataFrame(model, "time timestamp_ntz, value double"), (T0, T0 + timedelta(days=10)))
+    for r in got.df.collect():
+        best = min(model, key=lambda m: (abs(m[0] - r.time), m[0]))
+        assert r[filled("v")] == best[1]
+
+
 def test_data_never_change(spark):
     s = series(spark, [1, None, 1.01, 50, 2, None])
     whole = (T0, T0 + timedelta(hours=1))

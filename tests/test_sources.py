@@ -25,6 +25,24 @@ def test_text_files(spark, tmp_path):
         sources.read_mat(spark, "x.mat")
 
 
+def test_widths_and_comments(spark, tmp_path):
+    """Short lines stay, longer ones go; comment lines are left out at a file's top alone."""
+    (tmp_path / "a.csv").write_text("# top\na,b,c\n1,2,3\n2,5\n\n# 4\n3,7,8,9\n4,\"x,y\",1\n")
+    got = sources.read_text(spark, str(tmp_path / "a.csv"), "csv").collect()
+    assert sorted(map(tuple, got), key=str) == [("# 4", None, None), ("1", "2", "3"), ("2", "5", None), ("4", "x,y", "1")]
+    (tmp_path / "b.csv").write_text("# another top\na,b,c\n7,8,9\n")
+    both = sources.join_files(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "csv")
+    assert both.where("source_file = 'b.csv'").select("a", "b", "c").collect() == [("7", "8", "9")] and both.count() == 5
+    (tmp_path / "l.csv").write_bytes("naïve;é\n1;2\n2\n1;2;3\n".encode("latin-1"))
+    latin = sources.read_text(spark, str(tmp_path / "l.csv"), "csv", ";", encoding="ISO-8859-1")
+    assert latin.columns == ["naïve", "é"] and sorted(map(tuple, latin.collect()), key=str) == [("1", "2"), ("2", None)]
+    (tmp_path / "n.csv").write_text("1,2\n3,4\n")
+    assert sources.read_text(spark, str(tmp_path / "n.csv"), "csv", header=False, schema="x int, y int").agg({"x": "sum"}).first()[0] == 4
+    (tmp_path / "e.txt").write_text("t\tv\n1\t2\n2\t\n")
+    sources.remove_empty_lines(str(tmp_path), "text", str(tmp_path / "out"), spark)
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out" / "e.txt")).count() == 1
+
+
 def test_model_output(spark, tmp_path):
     (tmp_path / "model.txt").write_text("#.t\t.sewer_1.COD\nd\tg/m3\n0.0\t1.5\n0.5\t2.5\n")
     got = sources.read_model_output(spark, str(tmp_path / "model.txt"))
@@ -36,9 +54,12 @@ def test_sinks(spark, tmp_path):
     s.write_series(str(tmp_path / "f"), "filtered", single_file=True)
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "f")).collect()
     assert [(r.time, r.v) for r in back] == [("0.0", None), ("1.0", "5.0"), ("2.0", None)]
-    s.write_west(str(tmp_path / "w"), ["g/m3"])
+    s.write_west(str(tmp_path / "w"), ["g/m3"], single_file=True)
     lines = [r.value for r in spark.read.text(str(tmp_path / "w")).collect()]
     assert lines == ["#.t\tv", "#d\tg/m3", "0.0\t0.0", "1.0\t5.0", "2.0\t90.0"]
+    s.write_west(str(tmp_path / "w2"), ["g/m3"])
+    parts = sorted(p for p in (tmp_path / "w2").iterdir() if p.name.startswith("part-"))
+    assert "".join(p.read_text() for p in parts).splitlines() == lines
     assert [tuple(r) for r in s.to_west({"v": ("Q", "m3")}).orderBy("ord", "#t").collect()][:2] == [(0, "#d", "m3"), (1, "0.0", None)]
     sources.log_removed(str(tmp_path / "log"), 5, 3, "filter")
     assert (tmp_path / "log").read_text() == "filter: 5 rows before, 3 after, 2 removed\n"

@@ -8,6 +8,7 @@ values start as the original points. Fillers build on each other through the pro
 from __future__ import annotations
 
 import warnings
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +43,19 @@ def add_fillmeta(s: SeriesFrame, c: str) -> SeriesFrame:
     return s.add(**{fillmeta(c): F.when(F.col(fillmeta(c)) == ORIGINAL, F.col(valid(c))).otherwise(F.col(fillmeta(c)))})
 
 
-def start(s: SeriesFrame, c: str, clear: bool | str = False) -> SeriesFrame:
+def filling_advice(s: SeriesFrame) -> SeriesFrame:
+    """Warns once for a series, and those made from it, that small gaps come first."""
+    if s.advised:
+        return s
+    warnings.warn("fill small gaps first and go on to larger ones: later fillers build on what earlier ones gave; this is said once", stacklevel=4)
+    return replace(s, advised=True)
+
+
+def start(s: SeriesFrame, c: str, clear: bool | str = False, arange=None) -> SeriesFrame:
+    """What fillers begin with: advice, a look for rain in the range, filled values and their provenance."""
+    s = filling_advice(s)
+    if arange is not None and s.rain_checks:
+        warn_of_rain(s, arange)
     if clear:
         s = add_valid(s, c)
         s = s.drop(filled(c)) if clear == "all" else s
@@ -67,7 +80,7 @@ def fill_interpolation(s: SeriesFrame, c: str, range_: int, arange, clear: bool
     neighbours in time. At most range_ missing values after a known one are filled, so longer gaps get as many values
     too, anywhere in the series, but keep their provenance (only_targets: they stay missing). Leading gaps have no
     value, trailing ones take the last. method: index (line in time), linear (in position), pad, nearest or bfill."""
-    s = runs(start(s, c, clear), F.col(valid(c)), arange, "__size")
+    s = runs(start(s, c, clear, arange), F.col(valid(c)), arange, "__size")
     target = _target(s, c, arange, True) & sure(F.col("__size") < range_)
     s = s.add(__target=target).add(**{filled(c): F.when(~F.col("__target"), F.col(filled(c)))}).positions()
     x = F.col(RN).cast("double") if method == "linear" else s.micros().cast("double")
@@ -97,14 +110,14 @@ def fill_interpolation(s: SeriesFrame, c: str, range_: int, arange, clear: bool
 
 def fill_ratio(s: SeriesFrame, c: str, use: str, ratio: float, arange, only_checked: bool = True, clear: bool | str = False, require_value: bool = False) -> SeriesFrame:
     """Another column's raw value times a ratio."""
-    s = start(s, c, clear)
+    s = start(s, c, clear, arange)
     return _write(s, c, _target(s, c, arange, only_checked), F.col(use) * F.lit(float(ratio)), "ratio", require_value)
 
 
 def fill_correlation(s: SeriesFrame, c: str, use: str, arange, corr_range, zero_intercept: bool = False, only_checked: bool = True, clear: bool | str = False, require_value: bool = False) -> SeriesFrame:
     """The least-squares line of this column on another, fitted on raw data of corr_range. Targets are the points
     tagged filtered, so what other fillers gave them is replaced."""
-    s = start(s, c, clear)
+    s = start(s, c, clear, arange)
     fit = correlation(s, use, c, corr_range, zero_intercept).select(F.col(s.key).alias("__k"), F.col("slope").alias("__slope"), F.col("intercept").alias("__icpt"))
     s = s.with_df(s.df.join(fit, F.col(s.key).eqNullSafe(F.col("__k")), "left"))
     inside = in_range(s, arange)
@@ -122,11 +135,13 @@ def check_keys(profile: DataFrame, wanted: DataFrame) -> None:
 def fill_standard(s: SeriesFrame, c: str, arange, profile: DataFrame | None = None, profile_range=None, only_checked: bool = True, clear: bool | str = False, require_value: bool = False, check: bool = False) -> SeriesFrame:
     """The average day: the profile's mean at the same time of day; on a numeric axis at the nearest one. profile: as
     daily_profile() gives it, else it is made over profile_range."""
-    s = start(s, c, clear)
+    s = start(s, c, clear, arange)
     if profile is None:
         if profile_range is None:
             raise ValueError("fill_standard needs a profile or a range to make one over")
         profile = daily_profile(s, c, profile_range)
+    if not isinstance(profile, DataFrame) or not {s.key, "tod", "avg"} <= set(profile.columns):
+        raise TypeError("a profile is a table as daily_profile() gives it")
     s = s.add(__tod=tod(s), __target=_target(s, c, arange, only_checked))
     some = profile.select(F.col(s.key).alias("__k"), F.col("tod").alias("__at"), F.col("avg").alias("__avg"))
     if s.is_datetime:
@@ -135,30 +150,26 @@ def fill_standard(s: SeriesFrame, c: str, arange, profile: DataFrame | None = No
         df = s.df.join(some, F.col(s.key).eqNullSafe(F.col("__k")) & (F.col("__tod") == F.col("__at")), "left")
         s = s.with_df(df.drop("__k", "__at"))
     else:
-        s = nearest(s, some, F.col("__tod"), "__k", "__at", "__avg")
+        s = nearest(s, some, F.col("__tod"), "__k", "__at", "__avg", 1.0)
     return _write(s, c, F.col("__target"), F.col("__avg"), "standard", require_value).drop("__tod", "__target", "__avg")
 
 
-def nearest(s: SeriesFrame, other: DataFrame, at: Column, other_key: str | None, other_at: str, value: str) -> SeriesFrame:
+def nearest(s: SeriesFrame, other: DataFrame, at: Column, other_key: str | None, other_at: str, value: str, width: float) -> SeriesFrame:
     """Adds to each row the value of the other table's row (of its series, or of all) nearest to `at`; of two equally
-    near ones the earlier. Both tables are sorted together once and each row looks back and ahead; with chunk_rows
-    rows are dealt over time slices, each of which is told the neighbours that lie before and after it."""
+    near ones the earlier. Both tables are sorted together once and each row looks back and ahead. If the other table
+    is for all series, or with chunk_rows, rows are dealt over slices of `width` (a day or a unit in the axis' units),
+    each of which is told the neighbours that lie before and after it."""
     names = s.df.columns
     row = F.struct(*[F.col(f"`{n}`") for n in names])
-    left = s.df.select(F.col(s.key).alias("k"), at.cast("double").alias("at"), F.lit(1).alias("side"), row.alias("row"), F.lit(None).cast("double").alias("v"))
+    left = s.df.select((F.col(s.key) if other_key else F.lit(0)).alias("k"), at.cast("double").alias("at"), F.lit(1).alias("side"), row.alias("row"), F.lit(None).cast("double").alias("v"))
     right = other.where(F.col(other_at).isNotNull() & F.col(value).isNotNull())
-    if other_key:
-        right = right.select(F.col(other_key).alias("k"), F.col(other_at).cast("double").alias("at"), F.col(value).cast("double").alias("v"))
-    else:
-        keys = s.df.select(F.col(s.key).alias("k")).distinct()
-        right = right.select(F.col(other_at).cast("double").alias("at"), F.col(value).cast("double").alias("v")).join(keys)  # one copy of the model for each series
+    right = right.select((F.col(other_key) if other_key else F.lit(0)).alias("k"), F.col(other_at).cast("double").alias("at"), F.col(value).cast("double").alias("v"))
     right = right.groupBy("k", "at").agg(F.min("v").alias("v")).withColumns({"side": F.lit(0), "row": F.lit(None).cast(left.schema["row"].dataType)})
     both = left.unionByName(right)
     point = F.when(F.col("side") == 0, F.struct("at", "v"))
-    if s.chunk_rows:
+    if s.chunk_rows or not other_key:
         # slices by a sample of time would move with the data; whole days (units) don't
-        width = 86_400e6 if s.is_datetime and at is not None else 1.0
-        both = both.withColumn("slice", F.floor(F.col("at") / F.when(F.abs(F.col("at")) > 1e9, F.lit(width)).otherwise(F.lit(1.0))))
+        both = both.withColumn("slice", F.floor(F.col("at") / width))
         ends = both.where("side = 0").groupBy("k", "slice").agg(F.max(F.struct("at", "v")).alias("hi"), F.min(F.struct("at", "v")).alias("lo"))
         ends = both.select("k", "slice").distinct().join(ends, ["k", "slice"], "left")
         w = Window.partitionBy("k").orderBy("slice")
@@ -177,19 +188,19 @@ def nearest(s: SeriesFrame, other: DataFrame, at: Column, other_key: str | None,
 def fill_model(s: SeriesFrame, c: str, model: DataFrame, arange, model_time: str = "time", model_value: str = "value", only_checked: bool = True, unit: str = "d", clear: bool | str = False, require_value: bool = False) -> SeriesFrame:
     """The value of an external model at its nearest time. If the axes differ in kind, a time stamp becomes the time
     since the first one of the data in `unit`, rounded to five places. Untouched rows don't go through the search."""
-    s = start(s, c, clear)
+    s = start(s, c, clear, arange)
     stamped = not str(model.schema[model_time].dataType).startswith(("Double", "Float", "Integer", "Long", "Short", "Decimal"))
     s = s.add(__target=_target(s, c, arange, only_checked))
     if s.is_datetime and not stamped:
         first = s.df.groupBy(F.col(s.key).alias("__k")).agg(F.min(s.time).alias("__first"))
         s = s.with_df(s.df.join(first, F.col(s.key).eqNullSafe(F.col("__k"))).drop("__k"))
-        at = F.bround((s.micros() - s.micros(F.col("__first"))) / (1e6 * per_unit(unit)), 5)
+        at, width = F.bround((s.micros() - s.micros(F.col("__first"))) / (1e6 * per_unit(unit)), 5), 86_400 / per_unit(unit)
         some = model.select(F.col(model_time).cast("double").alias("__at"), F.col(model_value).alias("__model"))
     else:
         s = s.add(__first=F.lit(None))
-        at = s.micros()
+        at, width = s.micros(), 86_400e6 if s.is_datetime else 1.0
         some = model.select((F.unix_micros(F.col(model_time).cast("timestamp")) if stamped else F.col(model_time)).alias("__at"), F.col(model_value).alias("__model"))
-    hit = nearest(s.where(F.col("__target")), some, at, None, "__at", "__model")
+    hit = nearest(s.where(F.col("__target")), some, at, None, "__at", "__model", width)
     hit = _write(hit, c, F.lit(True), F.col("__model"), "model", require_value)
     rest = s.where(~F.col("__target"))
     return s.with_df(rest.df.unionByName(hit.df.drop("__model"))).drop("__target", "__first")
@@ -199,7 +210,7 @@ def fill_daybefore(s: SeriesFrame, c: str, arange, range_to_replace=(1, 4), only
     """The filled value at the same time of the day before the range. Runs of filtered points are filled that are
     longer than range_to_replace[0] and shorter than range_to_replace[1] days, in rows of that day; if nothing in the
     range is tagged filtered, the length doesn't matter."""
-    s = start(s, c, clear)
+    s = start(s, c, clear, arange)
     lo = lower(s, arange)
     back = lo - timedelta(1) if isinstance(lo, datetime) else lo - 1
     day = s.df.where(in_range(s, (back, lo)))
@@ -228,4 +239,4 @@ def warn_of_rain(s: SeriesFrame, arange) -> bool:
 #: By name, for reliability checks.
 FILLERS = {"fill_interpolation": fill_interpolation, "fill_ratio": fill_ratio, "fill_correlation": fill_correlation, "fill_standard": fill_standard, "fill_model": fill_model, "fill_daybefore": fill_daybefore}
 
-__all__ = ["FILLERS", "TAGS", "add_filled", "add_fillmeta", "fill_correlation", "fill_daybefore", "fill_interpolation", "fill_model", "fill_ratio", "fill_standard", "nearest", "reset_fillmeta", "start", "warn_of_rain"]
+__all__ = ["FILLERS", "TAGS", "add_filled", "add_fillmeta", "fill_correlation", "fill_daybefore", "fill_interpolation", "fill_model", "fill_ratio", "fill_standard", "filling_advice", "nearest", "reset_fillmeta", "start", "warn_of_rain"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,34 +86,42 @@ def correlation(s: SeriesFrame, a: str, b: str, arange, zero_intercept: bool = F
     return rows.groupBy(s.key).agg(*fit, *common)
 
 
+@lru_cache(None)
 def t_quantile(p: float, df: int) -> float:
-    """Of Student's distribution, by bisection of its integral."""
-    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
-    density = lambda x: c * (1 + x * x / df) ** (-(df + 1) / 2)
-
-    def below(x: float, n: int = 2000) -> float:  # Simpson's rule from 0
-        h = x / n
-        return 0.5 + h / 3 * sum((1 if i in (0, n) else 4 if i % 2 else 2) * density(i * h) for i in range(n + 1))
-
-    lo, hi = 0.0, 1e3
-    for _ in range(60):
+    """Of Student's distribution, p over a half: by bisection over the angle whose tangent is t / sqrt(df), of which the
+    integral is a finite sum."""
+
+    def within(angle: float) -> float:
+        """The chance of less than t on either side."""
+        sin, cos = math.sin(angle), math.cos(angle)
+        term, total = (cos if df % 2 else 1.0), 0.0
+        for k in range(2 + df % 2, df + 1, 2):
+            total += term
+            term *= cos * cos * (k - 1) / k
+        return 2 / math.pi * (angle + sin * total) if df % 2 else sin * total
+
+    lo, hi = 0.0, math.pi / 2
+    for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
-    return hi
+        lo, hi = (mid, hi) if within(mid) < 2 * p - 1 else (lo, mid)
+    return math.sqrt(df) * math.tan(hi)
 
 
 def prediction_interval(s: SeriesFrame, a: str, b: str, arange, zero_intercept: bool = False, only_checked: bool = False, level: float = 0.95) -> DataFrame:
-    """Each row of the range with fit, lower and upper bound of b. The degrees of freedom differ between series, so
-    their quantile comes from an expansion in the normal one (exact to four digits from ten rows on)."""
+    """Each row of the range with fit, lower and upper bound of b; without degrees of freedom no bounds. These differ
+    between series: up to 30 of them their quantile is exact, above it comes from an expansion in the normal one."""
     fit = correlation(s, a, b, arange, zero_intercept, only_checked).withColumnRenamed(s.key, "__k")
     f = F.col("n") - (1 if zero_intercept else 2)
-    z = t_quantile((1 + level) / 2, 10**7)
+    p = (1 + level) / 2
+    z = NormalDist().inv_cdf(p)
     g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
-    t = F.lit(z) + g[0] / f + g[1] / (f * f) + g[2] / (f * f * f)
+    far = F.lit(z) + g[0] / f + g[1] / (f * f) + g[2] / (f * f * f)
+    few = F.array(*[F.lit(t_quantile(p, i)) for i in range(1, 31)])
+    t = F.when(f > 30, far).when(f > 0, F.element_at(few, F.greatest(F.least(f, F.lit(30)), F.lit(1)).cast("int")))
     x = F.col(a).cast("double")
-    spread = 1 + x * x / F.col("sum_xx") if zero_intercept else 1 + 1 / F.col("n") + (x - F.col("mean_x")) * (x - F.col("mean_x")) / F.col("sxx")
+    spread = 1 + F.try_divide(x * x, F.col("sum_xx")) if zero_intercept else 1 + 1 / F.col("n") + F.try_divide((x - F.col("mean_x")) * (x - F.col("mean_x")), F.col("sxx"))
     rows = _pairs(s, a, b, arange, only_checked).join(fit, F.col(s.key).eqNullSafe(F.col("__k")))
-    half = t * F.sqrt(F.col("sse") / f) * F.sqrt(spread)
+    half = t * F.sqrt(F.greatest(F.try_divide("sse", f), F.lit(0.0))) * F.sqrt(spread)
     mid = x * F.col("slope") + F.col("intercept")
     return rows.select(s.key, s.time, F.col(a).alias("x"), mid.alias("fit"), (mid - half).alias("lower"), (mid + half).alias("upper"))
 
@@ -124,7 +134,8 @@ def tod(s: SeriesFrame, c: Column | None = None) -> Column:
 
 def daily_profile(s: SeriesFrame, c: str, arange, quantile: float = 0.9, only_checked: bool = False, positional: bool = False) -> DataFrame:
     """For each series and time of day (tod): mean, sample std and the two quantiles over the days of the range, its
-    last day whole. positional: by position within the day, labelled with the times of the first day."""
+    last day whole. only_checked: of original points alone, so neither filtered nor added ones count. positional: by
+    position within the day, labelled with the times of the first day."""
     if s.is_datetime:
         lo, hi = days(s, arange)
         t = F.col(s.time)
@@ -133,7 +144,8 @@ def daily_profile(s: SeriesFrame, c: str, arange, quantile: float = 0.9, only_ch
     else:
         t = F.col(s.time)
         rows, day = s.df.where((t >= math.floor(arange[0])) & (t < math.floor(arange[1]) + 1)), F.floor(t)
-    rows = rows.select(s.key, s.time, s.seq, tod(s).alias("tod"), day.alias("__day"), (checked(s, c) if only_checked else F.col(c)).cast("double").alias("v"))
+    value = F.when(F.col(valid(c)) == ORIGINAL, F.col(c)) if only_checked and valid(c) in s.df.columns else F.col(c)
+    rows = rows.select(s.key, s.time, s.seq, tod(s).alias("tod"), day.alias("__day"), value.cast("double").alias("v"))
     if positional:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(s.key, "__day").orderBy(s.time, s.seq)))
         first = rows.groupBy(s.key).agg(F.min("__day").alias("__day")).join(rows.select(s.key, "__day", "__n", "tod"), [s.key, "__day"]).select(s.key, "__n", "tod")

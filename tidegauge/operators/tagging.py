@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranges import in_range, prior_in_range
@@ -130,11 +130,28 @@ def get_highs(s: SeriesFrame, c: str, bound_value: float, arange, method: str =
         return s.add(highs=(inside & sure(F.col(c) > bound_value)).cast("int"))
     if method != "percentile":
         raise ValueError(f"method is percentile or value, not {method!r}")
-    bound = s.df.where(inside).groupBy(s.key).agg(F.percentile(c, F.lit(bound_value)).alias("__bound")).withColumnRenamed(s.key, "__k")
+    bound = quantiles(s.where(inside), c, bound_value).withColumnsRenamed({s.key: "__k", "quantile": "__bound"})
     df = s.df.join(bound, F.col(s.key).eqNullSafe(F.col("__k")), "left")
     return s.with_df(df.withColumn("highs", (inside & sure(F.col(c) > F.col("__bound"))).cast("int")).drop("__k", "__bound"))
 
 
+def quantiles(s: SeriesFrame, c: str, p: float):
+    """For each series the exact quantile of a column, linear between ranks. Long series (chunk_rows) are sorted over
+    partitions by value, and their two values next to the rank are picked; others are gathered in a buffer each."""
+    if not s.chunk_rows:
+        return s.df.groupBy(s.key).agg(F.percentile(c, F.lit(p)).alias("quantile"))
+    ranged = s.df.select(F.col(s.key).alias("k"), F.col(c).cast("double").alias("v")).where("v is not null").repartitionByRange("k", "v").sortWithinPartitions("k", "v")
+    ranged = s.with_df(ranged.withColumns({"part": F.spark_partition_id(), "i": F.monotonically_increasing_id()})).cut().df
+    parts = ranged.groupBy("k", "part").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    by = Window.partitionBy("k")
+    before = F.coalesce(F.sum("n").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("k").alias("k2"), F.col("part").alias("part2"), (before - F.col("first")).alias("shift"), (F.lit(float(p)) * (F.sum("n").over(by) - 1)).alias("at"))
+    ranked = ranged.join(parts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("part") == F.col("part2"))).withColumn("rank", F.col("i") + F.col("shift"))
+    at, lo, hi = F.col("at"), F.floor("at"), F.ceil("at")
+    near = ranked.where((F.col("rank") == lo) | (F.col("rank") == hi)).groupBy("k").agg(F.max("at").alias("at"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return near.select(F.col("k").alias(s.key), F.when(lo == hi, F.col("a")).otherwise((hi - at) * F.col("a") + (at - lo) * F.col("b")).alias("quantile"))
+
+
 def percent_left(s: SeriesFrame, c: str):
     """For each series the percentage of tagged points that are original."""
     return s.df.groupBy(s.key).agg((F.count_if(F.col(valid(c)) == ORIGINAL) * 100 / F.count(valid(c))).alias("percent_left"))

@@ -6,19 +6,23 @@ is ever aligned by a join. All ordered operations of a table share one partition
 Long series: with chunk_rows set, a series is cut into chunks of that many rows. Positions come from counts by day
 (or whole time unit) and their running sums, and each ordered operation works within chunks, with what it needs from
 other chunks carried over from one summary row a chunk, or from copies of the neighbouring rows. So no task holds
-more than a chunk of one series; the summaries are as many rows as there are chunks. The rows are checkpointed before
-each such summary, so a chain's plan stays as long as one operator's.
+more than a chunk of one series; the summaries are as many rows as there are chunks. The rows are written before
+each such summary, so a chain's plan stays as long as one operator's. Unless told otherwise, a table is chunked if
+what it is read from is larger than AUTO_BYTES; results are the same.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
+
+#: Bytes of input from which series are chunked, and the rows of a chunk then.
+AUTO_BYTES, AUTO_ROWS = 256 << 20, 1_000_000
 ORIGINAL, FILTERED, ADDED = "original", "filtered", "!!"
 KEY, SEQ, RN, CHUNK = "series_key", "seq", "__rn", "__chunk"
 
@@ -35,12 +39,20 @@ def fillmeta(c: str) -> str:
     return f"{c}__fillmeta"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Of all files and ranges that the plan reads, by the optimizer's statistics; runs no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 @dataclass(frozen=True)
 class SeriesFrame:
     """Immutable; every operator returns a new one.
 
     time: a timestamp_ntz, timestamp or numeric column. key: what tells series apart; without one all rows are a
-    single series. seq: order of rows of equal time; without one a hash of the row.
+    single series. seq: order of rows of equal time; without one a hash of the row. chunk_rows: None for series that
+    fit a task each. advised: fillers have said that small gaps come first. rain_checks: fillers look whether the
+    range has more than one high, if highs were flagged; that runs a job each time.
     """
 
     df: DataFrame
@@ -52,9 +64,11 @@ class SeriesFrame:
     tag: str = "No tag given"
     time_unit: str | None = None
     units: dict = field(default_factory=dict)
+    advised: bool = False
+    rain_checks: bool = True
 
     @classmethod
-    def wrap(cls, df: DataFrame, time: str = "time", key: str | None = None, seq: str | None = None, chunk_rows: int | None = None, **meta) -> SeriesFrame:
+    def wrap(cls, df: DataFrame, time: str = "time", key: str | None = None, seq: str | None = None, chunk_rows: int | str | None = "auto", **meta) -> SeriesFrame:
         """NaN becomes NULL: the engine knows one kind of missing value."""
         if time not in df.columns:
             raise ValueError(f"no column {time}")
@@ -68,6 +82,8 @@ class SeriesFrame:
             out = out.withColumn(KEY, F.lit(0))
         if seq is None and SEQ not in df.columns:
             out = out.withColumn(SEQ, F.xxhash64(*df.columns))
+        if chunk_rows == "auto":
+            chunk_rows = AUTO_ROWS if input_bytes(df) > AUTO_BYTES else None
         return cls(out, time, key or KEY, seq or SEQ, chunk_rows, **meta)
 
     # -- small helpers
@@ -125,12 +141,9 @@ class SeriesFrame:
         return self.with_df(df.drop("__part", "__k", "__p", "__before"))
 
     def cut(self) -> SeriesFrame:
-        """Written to the checkpoint folder and read from there: for long chains, as operators that join a series with
-        a summary of itself have it in their plan twice."""
-        context = self.df.sparkSession.sparkContext
-        if context.getCheckpointDir() is None:  # set by spark.checkpoint.dir on a cluster
-            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegauge-"))
-        return self.with_df(self.df.checkpoint())
+        """Written to the shared folder and read from there: for long chains, as operators that join a series with a
+        summary of itself have it in their plan twice. The table goes when the driver's Python ends."""
+        return self.with_df(Scratch(self.df.sparkSession, "series").save(self.df, "rows"))
 
     def _inner(self):
         return Window.partitionBy(self.key, CHUNK).orderBy(RN)

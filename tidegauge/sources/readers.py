@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Which names belong to a kind of file (fixed values).
 KINDS = {"excel": ".xls", "text": ".txt", "csv": ".csv", "zrx": ".zrx"}
@@ -27,39 +30,66 @@ def list_files(spark: SparkSession, path: str, ext: str) -> list[str]:
     return sorted(n for n in names if hit(n.rpartition("/")[2]))
 
 
-def header_length(spark: SparkSession, path: str, comment: str = "#") -> int:
-    """Leading lines that begin with the comment character; reads no further."""
+def _top(spark: SparkSession, path: str, comment: str, encoding: str = "UTF-8") -> tuple[list[str], str | None]:
+    """A file's leading lines that begin with the comment character, and the line after them; reads no further. Of a
+    folder, its first file's."""
     fs, p = _fs(spark, path)
-    stream = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(fs.open(p)))
+    if fs.getFileStatus(p).isDirectory():
+        p = sorted((f.getPath() for f in fs.listStatus(p) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda x: x.toString())[0]
+    io = spark.sparkContext._jvm.java.io
+    stream = io.BufferedReader(io.InputStreamReader(fs.open(p), encoding))
     try:
-        n = 0
-        while (line := stream.readLine()) is not None and line.startswith(comment):
-            n += 1
-        return n
+        lines = []
+        while (line := stream.readLine()) is not None and comment and line.startswith(comment):
+            lines.append(line)
+        return lines, line
     finally:
         stream.close()
 
 
+def header_length(spark: SparkSession, path: str, comment: str = "#") -> int:
+    """Leading lines that begin with the comment character; reads no further."""
+    return len(_top(spark, path, comment)[0])
+
+
 def read_text(spark: SparkSession, paths: str | list[str], ext: str = "text", sep: str = ",", comment: str = "#", encoding: str = "UTF-8", decimal: str = ".", schema: str | None = None, header: bool = True) -> DataFrame:
-    """Text files are tab-separated whatever sep says; lines of another width are left out of CSV files. Without a
-    schema all columns are text: give one, or cast, rather than pay for a second reading. A decimal comma becomes a
-    point."""
+    """Text files are tab-separated whatever sep says. Short lines are filled up with nulls; lines with more values
+    than the header are left out of CSV files, and cut off in text files. Leading lines that begin with the comment
+    character are skipped, later ones are data (in encodings other than UTF-8, or with values over several lines, give
+    no comment or none but leading ones: there all are skipped). Without a schema all columns are text: give one, or
+    cast, rather than pay for a second reading. A decimal comma becomes a point. All paths have the first one's header."""
     if ext not in ("text", "csv", "zrx"):
         raise ValueError(f"text, csv or zrx, not {ext!r}")
-    reader = spark.read.option("sep", "\t" if ext in ("text", "zrx") else sep).option("header", header).option("comment", comment[:1]).option("encoding", encoding).option("mode", "DROPMALFORMED" if ext == "csv" else "PERMISSIVE")
-    if schema and decimal == ".":
-        return reader.schema(schema).csv(paths)
-    df = reader.csv(paths)
+    some = [paths] if isinstance(paths, str) else list(paths)
+    sep = "\t" if ext in ("text", "zrx") else sep
+    tops = [_top(spark, p, comment[:1], encoding) for p in some]
+    lead, line = sorted({x for lines, _ in tops for x in lines}), tops[0][1]
+    first = next(csv.reader([line or ""], delimiter=sep))
+    names = _unlike([n or f"_c{i}" for i, n in enumerate(first)] if header else [f"_c{i}" for i in range(len(first))])
+    fields = StructType([StructField(n, StringType()) for n in (*names, "__more")])
+    options = {"sep": sep, "mode": "PERMISSIVE"}
+    if encoding.upper().replace("_", "-") == "UTF-8":
+        skipped = [line] * header + lead
+        at_top = F.col("_metadata.file_block_start") == 0  # a header is the top of its file
+        lines = spark.read.text(some).where((F.col("value") != "") & ~(at_top & F.col("value").isin(skipped)) if skipped else F.col("value") != "")
+        df = lines.select(F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` STRING" for n in fields.names), options).alias("v")).select("v.*")
+    else:
+        df = spark.read.options(**options, encoding=encoding, header=header, **({"comment": comment[:1]} if lead else {})).schema(fields).csv(some)
+    df = (df.where(F.col("__more").isNull()) if ext == "csv" else df).drop("__more")
     if decimal != ".":
-        df = df.withColumns({c: F.when(F.col(c).rlike(rf"^\s*[-+]?\d*{decimal}?\d+\s*$"), F.replace(F.col(c), F.lit(decimal), F.lit("."))).otherwise(F.col(c)) for c in df.columns})
+        df = df.withColumns({c: F.when(F.col(f"`{c}`").rlike(rf"^\s*[-+]?\d*{re.escape(decimal)}?\d+\s*$"), F.replace(F.col(f"`{c}`"), F.lit(decimal), F.lit("."))).otherwise(F.col(f"`{c}`")) for c in df.columns})
     if schema:
-        from pyspark.sql.types import StructType
-
         want = StructType.fromDDL(schema)
-        df = df.select(*[F.col(have).try_cast(f.dataType).alias(f.name) for have, f in zip(df.columns, want)])
+        df = df.select(*[F.col(f"`{have}`").try_cast(f.dataType).alias(f.name) for have, f in zip(df.columns, want)])
     return df
 
 
+def _unlike(names: list[str]) -> list[str]:
+    """Names that stand twice get their place after them, as do those that differ in case alone."""
+    low = [n.lower() for n in names]
+    return [n if low.count(x) == 1 else f"{n}{i}" for i, (n, x) in enumerate(zip(names, low))]
+
+
 def read_excel(spark: SparkSession, path: str, **options) -> DataFrame:
     """The first sheet, read on the driver by pandas; needs openpyxl or xlrd."""
     import pandas as pd
@@ -76,17 +106,26 @@ def read_mat(spark: SparkSession, path: str) -> DataFrame:
 
 def join_files(spark: SparkSession, paths: list[str], ext: str = "text", sep: str = ",", comment: str = "#", encoding: str = "UTF-8", decimal: str = ".") -> DataFrame:
     """All files under each other in order of their names; columns by name, those a file lacks are null. Files of
-    one header are read together. source_file and source_line keep the order."""
-    heads: dict[tuple, list[str]] = {}
+    one header are read together, and the driver reads no more than the header of each. source_file and source_line
+    keep the order."""
+    heads: dict[str | None, list[str]] = {}
     for p in sorted(paths):
-        heads.setdefault(tuple(read_text(spark, p, ext, sep, comment, encoding).columns), []).append(p)
+        heads.setdefault(_top(spark, p, comment[:1], encoding)[1], []).append(p)
     parts = [read_text(spark, some, ext, sep, comment, encoding, decimal).withColumns({"source_file": F.element_at(F.split(F.input_file_name(), "/"), -1), "source_line": F.monotonically_increasing_id()}) for some in heads.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def remove_empty_lines(df: DataFrame) -> DataFrame:
-    """Without rows that miss any value."""
-    return df.na.drop(how="any")
+def remove_empty_lines(source: DataFrame | str, ext: str | None = None, to: str | None = None, spark: SparkSession | None = None) -> DataFrame | None:
+    """Without rows that miss any value: of a table, or of all tab-separated files of a kind in folder `source`, each
+    written to a folder of its name below `to`."""
+    if isinstance(source, DataFrame):
+        return source.na.drop(how="any")
+    if not (ext and to and spark):
+        raise ValueError("files need a kind, a folder to write to and a session")
+    for path in list_files(spark, source, ext):
+        whole = read_text(spark, path, "text").na.drop(how="any")
+        whole.write.option("sep", "\t").option("header", True).csv(f"{to.rstrip('/')}/{path.rpartition('/')[2]}")
+    return None
 
 
 def find_and_replace(spark: SparkSession, path: str, to: str, replace: tuple[str, str]) -> None:

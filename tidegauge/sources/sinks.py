@@ -33,16 +33,25 @@ def to_west(s: SeriesFrame, names: dict[str, tuple[str, str]], time: str | None
     return units.unionByName(data)
 
 
-def write_west(s: SeriesFrame, path: str, units: list[str], columns: list[str] | None = None, fillna: bool = True) -> None:
-    """A text file whose first line is the header with #.t for the time and whose second line has the units."""
+def west_lines(s: SeriesFrame, units: list[str], columns: list[str] | None = None, fillna: bool = True) -> DataFrame:
+    """(ord, time, value): the lines of a simulation input file. The first is the header with #.t for the time (ord 0),
+    the second has the units (1), then the data follow (2)."""
     columns = columns or s.columns
     if len(units) != len(columns):
         raise ValueError("as many units as columns are needed")
     value = lambda c: F.coalesce(F.col(c), F.lit(0)) if fillna else F.col(c)
-    body = s.df.select(F.col(s.time).alias("__t"), F.concat_ws("\t", F.col(s.time).cast("string"), *[F.coalesce(value(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    body = s.df.select(F.lit(2).alias("ord"), F.col(s.time).alias("time"), F.concat_ws("\t", F.col(s.time).cast("string"), *[F.coalesce(value(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
     lines = ["\t".join(["#.t", *columns]), "\t".join(["#d", *units])]
-    top = s.df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(lines)], "ord int, value string").select("ord", F.lit(None).cast(s.df.schema[s.time].dataType).alias("__t"), "value")
-    body.select(F.lit(2).alias("ord"), "__t", "value").unionByName(top).coalesce(1).sortWithinPartitions("ord", "__t").select("value").write.text(path)
+    top = s.df.sparkSession.createDataFrame(list(enumerate(lines)), "ord int, value string").select("ord", F.lit(None).cast(s.df.schema[s.time].dataType).alias("time"), "value")
+    return top.unionByName(body)
+
+
+def write_west(s: SeriesFrame, path: str, units: list[str], columns: list[str] | None = None, fillna: bool = True, single_file: bool = False) -> None:
+    """Text whose first line is the header and whose second line has the units, in order of time over the part files,
+    or in a single one (small exports only)."""
+    lines = west_lines(s, units, columns, fillna)
+    lines = lines.coalesce(1).sortWithinPartitions("ord", "time") if single_file else lines.orderBy("ord", "time")
+    lines.select("value").write.text(path)
 
 
 def log_removed(log_file: str, before: int, after: int, what: str) -> None:
