@@ -19,7 +19,8 @@ def random_gaps(s: SeriesFrame, iterations: int, number: int, max_size: int, ara
     ranked = s.done().positions()
     inside = ranked.where(in_range(s, arange)).df.groupBy(F.col(s.key).alias("gap_key")).agg(F.min(RN).alias("first"), F.max(RN).alias("last"))
     draws = inside.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations * number - 1).cast("long"))))
-    unit = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "id", "gap_key"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = lambda what: F.md5(F.concat_ws("|", F.lit(f"{seed}|{what}"), F.col("id").cast("string"), F.col("gap_key").cast("string")))
+    unit = lambda what: F.conv(F.substring(drawn(what), 1, 8), 16, 10).cast("double") / float(1 << 32)
     start = F.col("first") + F.floor(unit("start") * F.greatest(F.col("last") - F.col("first"), F.lit(1)))
     size = F.least(F.floor(unit("size") * max_size), F.col("last") - start + 1)
     return draws.select("gap_key", F.floor(F.col("id") / number).alias("iteration"), start.cast("long").alias("start"), size.cast("long").alias("size"))

@@ -114,8 +114,8 @@ def prediction_interval(s: SeriesFrame, a: str, b: str, arange, zero_intercept:
     f = F.col("n") - (1 if zero_intercept else 2)
     p = (1 + level) / 2
     z = NormalDist().inv_cdf(p)
-    g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
-    far = F.lit(z) + g[0] / f + g[1] / (f * f) + g[2] / (f * f * f)
+    g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92_160]
+    far = F.lit(z) + g[0] / f + g[1] / (f * f) + g[2] / (f * f * f) + g[3] / (f * f * f * f)
     few = F.array(*[F.lit(t_quantile(p, i)) for i in range(1, 31)])
     t = F.when(f > 30, far).when(f > 0, F.element_at(few, F.greatest(F.least(f, F.lit(30)), F.lit(1)).cast("int")))
     x = F.col(a).cast("double")

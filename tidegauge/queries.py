@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import LabExperiment, OnlineSeries
+from . import sources
+from .api import LabExperiment, LabSeries, OnlineSeries
 from .functions import timeconv
-from .operators import formatting, smoothing, stats
+from .operators import formatting, report, smoothing, stats
 from .operators.reliability import check_filling_error, filling_error
+from .plans.scratch import Scratch
 from .plans.series import SeriesFrame, filled, fillmeta, valid
 from .sources import sinks
 
@@ -262,8 +265,10 @@ def moving_average_filter_range(spark, sf):
     return _tagged(hourly(spark, sf).moving_average_filter("click", 12, 0.4, RANGE, strict_range=True), "click")
 
 
-_HAT = smoothing.weights(7, 2)
-_W = lambda i: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in _HAT[i]) + "]"
+# Published weights of the quadratic polynomial over seven points, at its first three places and its middle.
+_HAT = {0: ([32, 15, 3, -4, -6, -3, 5], 42), 1: ([5, 4, 3, 2, 1, 0, -1], 14), 2: ([1, 3, 4, 4, 3, 1, -2], 14), 3: ([-2, 3, 6, 7, 6, 3, -2], 21)}
+_HAT |= {6 - i: (w[::-1], d) for i, (w, d) in list(_HAT.items())[:3]}
+_W = lambda i: "[" + ", ".join(f"{w}::DOUBLE / {_HAT[i][1]}" for w in _HAT[i][0]) + "]"
 _SAVGOL = f"""WITH {HOURLY}, {_line_sql('view')},
 f AS (SELECT time, rn, count(*) OVER () AS n, list(i) OVER (ORDER BY time ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS l, first_value(rn) OVER (ORDER BY time) AS one FROM line),
 ends AS (SELECT list(i ORDER BY rn) FILTER (rn <= 7) AS head, list(i ORDER BY rn) FILTER (rn > n - 7) AS tail FROM (SELECT *, count(*) OVER () AS n FROM line)),
@@ -345,13 +350,16 @@ def correlation_zero_intercept(spark, sf):
     return hourly(spark, sf).correlation("click", "view", RANGE, zero_intercept=True).select(*[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r_squared")], "n")
 
 
-_Z = stats.t_quantile(0.975, 10**7)
-_T = f"({_Z!r} + {(_Z**3 + _Z) / 4!r} / f + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (f * f) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / (f * f * f))"
-
+# Student's quantile by Simpson's rule over its density in steps of 1e-4, and the rest of a step by the density half way.
+_DENSITY = lambda x: f"pow(1 + ({x}) * ({x}) / f, -(f + 1) / 2)"
+_T = f"""area AS (SELECT i, f, sum({_DENSITY('i * 1e-4')} + 4 * {_DENSITY('(i + 0.5) * 1e-4')} + {_DENSITY('(i + 1) * 1e-4')}) OVER (ORDER BY i) * (1e-4 / 6) AS upto FROM g, range(400000) AS r(i)),
+goal AS (SELECT 0.95::DOUBLE * max(upto) AS goal FROM area),
+cell AS (SELECT max(f) AS f, (max(i) + 1) * 1e-4::DOUBLE AS x, max(goal) - max(upto) AS rest FROM area, goal WHERE upto <= goal),
+t AS (SELECT x + rest / {_DENSITY(f"x + rest / (2 * {_DENSITY('x')})")} AS t FROM cell)"""
 
 @query(f"""WITH {HOURLY}, p AS (SELECT time, click AS x, view AS y FROM hourly WHERE {R}),
-g AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_count(y, x)::DOUBLE AS n, (regr_count(y, x) - 2)::DOUBLE AS f, regr_avgx(y, x) AS m, regr_sxx(y, x) AS sxx, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS sse FROM p)
-SELECT time, round(a * x + b, 5) AS fit, round(a * x + b - {_T} * sqrt(sse / f) * sqrt(1 + 1 / n + (x - m) ** 2 / sxx), 5) AS lower, round(a * x + b + {_T} * sqrt(sse / f) * sqrt(1 + 1 / n + (x - m) ** 2 / sxx), 5) AS upper FROM p, g""")
+g AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_count(y, x)::DOUBLE AS n, (regr_count(y, x) - 2)::DOUBLE AS f, regr_avgx(y, x) AS m, regr_sxx(y, x) AS sxx, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS sse FROM p), {_T}
+SELECT time, round(a * x + b, 5) AS fit, round(a * x + b - t * sqrt(sse / f) * sqrt(1 + 1 / n + (x - m) ** 2 / sxx), 5) AS lower, round(a * x + b + t * sqrt(sse / f) * sqrt(1 + 1 / n + (x - m) ** 2 / sxx), 5) AS upper FROM p, g, t""")
 def prediction_interval(spark, sf):
     return hourly(spark, sf).prediction_interval("click", "view", RANGE).select("time", *[F.round(c, 5).alias(c) for c in ("fit", "lower", "upper")])
 
@@ -730,9 +738,210 @@ def parse_short_dates(spark, sf):
     return _table(spark, sf, "events").select("event_id", timeconv.parse_short(F.date_format("ts", "dd-MM-yy HH:mm:ss")).alias("t"))
 
 
+# -- files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return Scratch(spark, "files").path(name)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def read_csv(spark, sf):
+    path = _folder(spark, "orders")
+    _table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").write.option("header", True).option("sep", ";").csv(path)
+    kinds = {f.name: f.dataType for f in _table(spark, sf, "orders").schema}
+    return sources.read_text(spark, path, "csv", ";", schema=", ".join(f"{c} {kinds[c].simpleString()}" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+
+
+@query("SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS kind, count(*) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY ALL")
+def read_csv_widths(spark, sf):
+    """Every fifth line is short and stays, every seventh has a value too many and goes."""
+    path, i = _folder(spark, "events"), F.col("event_id")
+    rest = F.when(i % 7 == 0, F.concat(F.col("event_type"), F.lit(",x"))).otherwise(F.when(i % 5 != 0, F.col("event_type")))
+    line = F.when(rest.isNull(), i.cast("string")).otherwise(F.concat_ws(",", i.cast("string"), rest))
+    lines = spark.createDataFrame([(-2, "# a comment"), (-1, "id,kind")], "n long, value string").unionByName(_table(spark, sf, "events").select(i.cast("long").alias("n"), line.alias("value")))
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return sources.read_text(spark, sources.list_files(spark, path, "text")[0], "csv").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'part' AS name, 2 AS files, 3 AS header UNION ALL SELECT 'csv', 0, NULL")
+def files_of_a_kind(spark, sf):
+    path = _folder(spark, "texts")
+    lines = spark.createDataFrame([(0, "# one"), (1, "# two"), (2, "# three"), (3, "t\tv")], "n long, value string")
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("append").text(path)
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("append").text(path)
+    found = sources.list_files(spark, path, "text")
+    return spark.createDataFrame([("part", len(found), sources.header_length(spark, found[0])), ("csv", len(sources.list_files(spark, path, "csv")), None)], "name string, files int, header int")
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey::VARCHAR END AS n_regionkey FROM nation")
+def join_files(spark, sf):
+    """Two files, one of which lacks a column."""
+    n = _table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    paths = []
+    for k, some in enumerate((n.where("n_regionkey % 2 = 0"), n.where("n_regionkey % 2 = 1").drop("n_regionkey"))):
+        path = _folder(spark, f"n{k}")
+        some.coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
+        paths.append(path)
+    return sources.join_files(spark, paths, "text").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query(f"WITH {HOURLY} SELECT time, round(click, 6) AS click FROM hourly WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in KINDS))
+def remove_empty_lines(spark, sf):
+    return sources.remove_empty_lines(hourly(spark, sf).df).select("time", F.round("click", 6).alias("click"))
+
+
+@query("SELECT replace(event_type, 'i', 'I.') AS value, count(*) AS n FROM events GROUP BY ALL")
+def find_and_replace(spark, sf):
+    path, to = _folder(spark, "in"), _folder(spark, "out")
+    _table(spark, sf, "events").select("event_type").write.text(path)
+    sources.find_and_replace(spark, path, to, ("i", "I."))
+    return spark.read.text(to).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LAB} SELECT time AS \"#.t\", n AS \".sewer.N\" FROM lab")
+def read_model_output(spark, sf):
+    path = _folder(spark, "model")
+    rows = experiment(spark, sf).df.select(F.concat_ws("\t", "time", "n").alias("value"), F.lit(2).alias("ord"))
+    top = spark.createDataFrame([("#.t\t.sewer.N", 0), ("d\tg/m3", 1)], "value string, ord int")
+    top.unionByName(rows).coalesce(1).sortWithinPartitions("ord").select("value").write.text(path)
+    return sources.read_model_output(spark, path)
+
+
+@query(f"WITH {HOURLY} SELECT time, click, error, purchase, signup, view FROM hourly")
+def export_all(spark, sf):
+    return sinks.written(hourly(spark, sf).tag_nan("click"), "all")
+
+
+@query(f"WITH {HOURLY} SELECT time, round(CASE WHEN click <= 60 THEN click END, 9) AS click FROM hourly")
+def export_filled(spark, sf):
+    return sinks.written(hourly(spark, sf).tag_extremes("click", limit=60, method="above").add_filled("click"), "filled").select("time", F.round("click", 9).alias("click"))
+
+
+@query(f"WITH {LAB} SELECT 0 AS ord, '#.t' || chr(9) || 'n' AS value UNION ALL SELECT 1, '#d' || chr(9) || 'g/m3' UNION ALL SELECT 2, time::BIGINT::VARCHAR || chr(9) || n::BIGINT::VARCHAR FROM lab")
+def west_file(spark, sf):
+    """Written, and read back by the order of part files."""
+    s, path = experiment(spark, sf), _folder(spark, "west")
+    s = s.with_df(s.df.select("series_key", "seq", F.col("time").cast("long").alias("time"), F.col("n").cast("long").alias("n")))
+    sinks.write_west(s, path, ["g/m3"], ["n"])
+    kind = F.when(F.col("value").startswith("#.t"), 0).when(F.col("value").startswith("#d"), 1).otherwise(2)
+    return spark.read.text(path).select(kind.alias("ord"), "value")
+
+
+@query(f"WITH {EV} SELECT 'extremes: ' || count(*) || ' rows before, ' || count(*) FILTER (v >= 1.5) || ' after, ' || count(*) FILTER (v < 1.5) || ' removed' AS line FROM ev")
+def removed_rows(spark, sf):
+    s = events(spark, sf).tag_extremes("v", limit=1.5)
+    n = s.df.agg(F.count("*").alias("before"), F.count_if(F.col(valid("v")) == "original").alias("after")).first()
+    return spark.createDataFrame([(report.removed_line(n.before, n.after, "extremes"),)], "line string")
+
+
+# -- axes, metadata and flags
+
+
+@query(f"WITH {LAB} SELECT n, time AS prev_index, total FROM lab")
+def set_index(spark, sf):
+    return experiment(spark, sf).set_index("n").df.select("n", "prev_index", "total")
+
+
+@query("SELECT ts AS time, round_even((epoch_us(ts) - 1704067200000000) / 3600e6::DOUBLE, 5) AS time_rel FROM events")
+def relative_time_from_start(spark, sf):
+    ev = _table(spark, sf, "events").select(F.col("ts").alias("time"), "value")
+    return OnlineSeries.wrap(ev, "time").relative_time("hr", inplace=False, start="2024-01-01 00:00:00").df.select("time", "time_rel")
+
+
+@query(f"WITH {LAB}, k AS (SELECT count(*) AS k FROM lab WHERE time < (SELECT min(time) FROM lab) + 1) SELECT time, total FROM lab WHERE time < 10 OR time > 20 UNION ALL SELECT 10 + i * (10.0::DOUBLE / k), NULL FROM k, range(1000) AS r(i) WHERE i < k")
+def fill_index_numeric(spark, sf):
+    return experiment(spark, sf).fill_index((10, 20)).df.select("time", "total")
+
+
+@query("SELECT o_orderkey, make_timestamp((o_orderkey % 40000) * 86400000000) AS t FROM orders")
+def to_datetime_numeric(spark, sf):
+    df = _table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 40_000).alias("t"))
+    return formatting.to_datetime(df, "t", unit="D")
+
+
+@query(f"""WITH {LAB}, t AS (SELECT time - min(time) OVER () AS x, time, total FROM lab), d AS (SELECT unnest(range(0, greatest(floor(max(x)), 1)::BIGINT)) AS d FROM t)
+SELECT d + (SELECT min(time) FROM lab) AS day, round(avg(total), 3) AS mean, round(stddev_samp(total), 3) AS std FROM d JOIN t ON x >= d AND x <= d + 1 GROUP BY d""")
+def daily_average_numeric(spark, sf):
+    return stats.daily_average(experiment(spark, sf), "total").select("day", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+
+
+@query(f"""WITH {LAB}, t AS (SELECT time - min(time) OVER () AS x, total / n AS r FROM lab), w AS (SELECT unnest(range(0, (max(x) - 30)::BIGINT + 1)) AS "window" FROM t),
+e AS (SELECT "window", avg(r) AS mean, stddev_samp(r) AS std FROM w JOIN t ON x >= "window" AND x <= "window" + 30 GROUP BY ALL)
+SELECT "window"::BIGINT AS "window", round(mean, 6) AS mean, round(std, 6) AS std FROM e ORDER BY std / mean, "window" LIMIT 1""")
+def best_ratio_window_numeric(spark, sf):
+    return experiment(spark, sf).compare_ratio("total", "n", 30).select("window", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"WITH {HOURLY} SELECT time, 'original' AS tag FROM hourly")
+def reset_tags(spark, sf):
+    return hourly(spark, sf).tag_nan("click").reset_valid("click").df.select("time", F.col(valid("click")).alias("tag"))
+
+
+@query(f"WITH {HOURLY} SELECT time, round(CASE WHEN {_GAP} THEN view * 1.1 ELSE click END, 6) AS value, {_NAN} AS origin FROM hourly")
+def reset_provenance(spark, sf):
+    return _filled(hourly(spark, sf).tag_nan("click").fill_ratio("click", "view", 1.1, RANGE).reset_fillmeta("click"), "click")
+
+
+@query(f"WITH {HOURLY} SELECT count(*) FILTER ({R} AND view > 80) > 1 AS rain FROM hourly")
+def rain_in_range(spark, sf):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        rain = hourly(spark, sf).get_highs("view", 80, RANGE, "value").warn_of_rain(RANGE)
+    return spark.createDataFrame([(bool(rain),)], "rain boolean")
+
+
+@query(f"WITH {HOURLY} SELECT time, round((coalesce(click, view * 1.1) * error) / nullif(purchase, 0), 6) AS value FROM hourly")
+def total_proportional_filled(spark, sf):
+    s = hourly(spark, sf).tag_nan("click").fill_ratio("click", "view", 1.1, ("2024/1/1", "2024/1/31")).add_filled("error", "purchase")
+    return s.total_proportional("purchase", ["click"], ["error"], "conc", use_filled=True).df.select("time", F.round(filled("conc"), 6).alias("value"))
+
+
+@query(f"WITH {LAB} SELECT time, total, n FROM lab")
+def lab_lines(spark, sf):
+    return LabSeries.wrap(experiment(spark, sf).df, "time").wide("total", "n").select("time", "total", "n")
+
+
+@query(f"WITH {LAB} SELECT time, total FROM lab WHERE abs(total) <= 700000")
+def lab_sensor_peaks(spark, sf):
+    return LabSeries.wrap(experiment(spark, sf).df, "time").drop_peaks("total", 700_000).df.select("time", "total")
+
+
+# -- reliability with ranges, tags and random gaps
+
+_HALF = ("2024/1/3", "2024/1/15")
+
+
+@query("SELECT 'click' AS \"column\", 0.0::DOUBLE AS imputation_error_pct")
+def filling_error_of_an_exact_filler(spark, sf):
+    """The filler works in half of the test range and is exact there."""
+    s = hourly(spark, sf)
+    s = s.add(twin=F.col("click"))
+    return check_filling_error(s, 5, "click", "fill_ratio", ("2024/1/2", "2024/1/30"), 10, 5, 2, 30, seed=3, use="twin", ratio=1.0, arange=_HALF)
+
+
+@query(ORACLES["filling_error_fixed_gaps"])
+def filling_error_after_tags(spark, sf):
+    """Earlier tags and fills don't matter."""
+    s = hourly(spark, sf).tag_nan("click").tag_extremes("click", limit=60, method="above").fill_ratio("click", "view", 9.0, RANGE)
+    gaps = spark.createDataFrame(_FIXED, "iteration int, start int, size int")
+    return filling_error(s, "click", "fill_ratio", gaps, use="view", ratio=1.1, arange=("2024/1/1", "2024/1/30")).select("iteration", F.round("error_pct", 6).alias("error_pct"))
+
+
+@query(f"""WITH {HOURLY}, part AS (SELECT *, row_number() OVER (ORDER BY time) AS rn FROM hourly WHERE time >= TIMESTAMP '2024-01-02' AND time < TIMESTAMP '2024-01-31'),
+ends AS (SELECT min(rn) AS a, max(rn) AS z FROM part WHERE time >= TIMESTAMP '2024-01-03' AND time < TIMESTAMP '2024-01-16'),
+draws AS (SELECT seed, id, id // number AS it, most, ('0x' || substr(md5(seed || '|start|' || id || '|0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, ('0x' || substr(md5(seed || '|size|' || id || '|0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS v
+  FROM (VALUES (10, 6, 5), (11, 2, 30)) AS k(seed, number, most), range(60) AS r(id) WHERE id < 5 * number),
+gaps AS (SELECT it, a + floor(u * greatest(z - a, 1)) AS s, floor(v * most) AS n, z FROM draws, ends),
+spots AS (SELECT DISTINCT it, unnest(range(s::BIGINT, least(s + n, z + 1)::BIGINT)) AS rn FROM gaps),
+each AS (SELECT it, avg(abs(click - view * 1.1) / nullif(click, 0)) * 100 AS e FROM spots JOIN part USING (rn) GROUP BY it)
+SELECT 'click' AS "column", round(avg(e), 6) AS imputation_error_pct FROM each""")
+def filling_error_random_ratio(spark, sf):
+    found = check_filling_error(hourly(spark, sf), 5, "click", "fill_ratio", ("2024/1/2", "2024/1/30"), 6, 5, 2, 30, seed=5, use="view", ratio=1.1, arange=_HALF)
+    return found.select("column", F.round("imputation_error_pct", 6).alias("imputation_error_pct"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags, then fills, a month of one sensor: time, value, tag, filled value and its origin."""
     s = hourly(spark, sf_dir).tag_nan("click").tag_doubles("click", 0.05).tag_extremes("click", limit=200, method="above").fill_interpolation("click", 4, ("2024/1/1", "2024/1/30"))
     return s.df.select("time", "click", F.col(valid("click")).alias("tag"), F.col(filled("click")).alias("filled"), F.col(fillmeta("click")).alias("origin"))
-
-
