@@ -34,7 +34,7 @@ from .common import Scratch, components, in_arrow
 COSINE = 0.93
 TABLES, PARTS, PROBES, SCALE = 8, 2, 4, 0.5
 #: Vectors of a block, about: a pair of blocks is compared at a task's leisure, and each is sent to every other one of its cell.
-BLOCK = 2048
+BLOCK = 1024
 #: Rows compared at once.
 STRIP = 256
 SEED = 20_240_117
