@@ -123,6 +123,7 @@ def urls():
     rng = random.Random(1)
     out = [None, "", "no scheme", "://", "http://", "HTTP://COM/en/", "x://Example.COM/en/7?q", "http://a.example.com/en/79#t", "https://example.net/de/8x", "http://net/de/", "http://xnet/de/", "http://org/es", "http://é.org/es/Ä", "a://b://c/d"]
     out += [f"https://{rng.choice(['www', 'm', 'spam-farm', 'blog'])}.{rng.choice(['tide', 'flood'])}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(999)}" for _ in range(400)]
+    out += ["https://www.tide.example.org/fr/" + "long/" * 4_000, "x://" + "a" * 10_000 + ".com/en/"]
     return [(i, u, "h", "x") for i, u in enumerate(out)] + [(3, out[3], None, "x"), (None, "http://example.com/en/1", None, None)]
 
 
@@ -138,6 +139,19 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.verdicts(spark, pages.where("page_id = 10")).collect()} == {"allow"}
 
 
+def test_url_threshold_is_held_out(spark):
+    """Held-out urls don't teach the models: their words give no ratio."""
+    pages = spark.createDataFrame([(i, f"http://net/de/{i}") for i in range(40)], "page_id long, url string")
+    urls = url_filter.judged(pages, url_filter.RULES)
+    held = {r.page_id for r in urls.where("held").collect()}
+    assert 0 < len(held) < 20 and urls.where("said != 'allow'").count() == 0
+    odd = next(i for i in held)
+    rows = [(i, f"http://net/de/{i}") for i in range(40) if i not in held] + [(odd, f"http://net/de/{odd}")]
+    got = {r.page_id: r for r in url_filter.verdicts(spark, spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    rest = {r.page_id: r for r in url_filter.verdicts(spark, spark.createDataFrame(rows[:-1], "page_id long, url string")).collect()}
+    assert all(got[i].ratio == rest[i].ratio for i in rest)
+
+
 def test_mix(spark, docs, none):
     got = mix.taken(spark, docs)
     same(got, duck(mix.ORACLE, documents=docs.select("doc_id", "text", "source")))
@@ -584,6 +598,59 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.round_trip(spark, none).count() == 0
 
 
+def test_token_file_layout(spark, tmp_path, monkeypatch):
+    """Files have stripes, row indexes and Bloom filters on the ids alone, and a filter on an id reads few rows."""
+    monkeypatch.setattr(token_files, "STRIPE_BYTES", 1 << 16)
+    monkeypatch.setattr(token_files, "INDEX_STRIDE", 1000)
+    rng = random.Random(8)
+    rows = [(2 * i, " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(12))) for i in range(30_000)]
+    path = str(tmp_path / "ids")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    jvm, kinds, stripes, strides = spark._jvm, set(), 0, set()
+    for f in sorted((tmp_path / "ids").glob("part-*.orc")):
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows_, found = reader.rows(), reader.getStripes()
+        stripes += found.size()
+        strides.add(reader.getRowIndexStride())
+        for i in range(found.size()):
+            streams = rows_.readStripeFooter(found.get(i)).getStreamsList()
+            kinds |= {(str(streams.get(j).getKind()), streams.get(j).getColumn()) for j in range(streams.size())}
+    assert stripes > len(list((tmp_path / "ids").glob("part-*.orc"))) and strides == {1000} and ("ROW_INDEX", 1) in kinds
+    assert {c for k, c in kinds if k.startswith("BLOOM_FILTER")} == {1}
+
+    def scanned(ident):
+        q = token_files.read(spark, path).where(F.col("doc_id") == ident).select("ids")
+        n = len(q.collect())
+        leaves = q._jdf.queryExecution().executedPlan().collectLeaves()
+        return n, sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+    n, read = scanned(8000)
+    assert n == 1 and read <= 1000
+    assert scanned(8001) == (0, 0)  # within the statistics' range, but not in the Bloom filters
+
+
+def test_token_settings(tmp_path):
+    """Other steps than the known ones mean whole texts."""
+    import json
+
+    d = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    assert token_files.settings(public_tokenizers.path("word_bpe_49k.json")) == (True, True)
+    assert token_files.settings(public_tokenizers.path("byte_bpe_50k.json"))[0] is False
+    d["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    (tmp_path / "a.json").write_text(json.dumps(d), encoding="utf-8")
+    assert token_files.settings(str(tmp_path / "a.json")) == (False, True)
+    words = token_files.Words(str(tmp_path / "a.json"))
+    assert np.frombuffer(next(words.encode(["Été tide"])), "<u4").tolist() == words.model.encode("Été tide", add_special_tokens=False).ids
+
+
+def test_token_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "TABLE_BYTES", 20 * token_files.ENTRY)
+    words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
+    some = [t or "" for _, t, *_ in texts()][:70] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(some)] == [words.model.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_token_words():
     from tokenizers import Tokenizer
 

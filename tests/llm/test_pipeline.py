@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import mix, quality, simhash
+from test_near_copies import brute
+from tidegauge.llm import mix, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,20 +25,8 @@ def test_pipeline(spark):
         if r.text not in last or last[r.text].doc_id < r.doc_id:
             last[r.text] = r
     rows = sorted(last.values(), key=lambda r: r.doc_id)
-    prints = [simhash.sketch(r.text) & (2**64 - 1) for r in rows]
-    up = list(range(len(rows)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
-    rows = [r for i, r in enumerate(rows) if root(i) == i]
+    near, _ = brute([(r.doc_id, r.text) for r in rows])  # the smallest ids of the groups, by similarity over five-word shingles
+    rows = [r for r in rows if r.doc_id in near]
     taken = mix.taken(spark, spark.createDataFrame(rows, docs.schema)).collect()
     want = Counter({r.doc_id: r.taken // r.size for r in taken if r.size})
     got = corpus_pipeline.run(spark, SF).collect()

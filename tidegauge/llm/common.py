@@ -1,33 +1,16 @@
-"""What the operators of this subpackage share: scratch tables and connected components."""
+"""What the operators of this subpackage share: scratch tables, bounded Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
 #: Bytes of an Arrow batch that goes to a Python worker, at most (but for one longer row).
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one (tests) a
-    temporary one."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tidegauge-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def in_arrow(df: DataFrame, work, schema) -> DataFrame:
     """df.mapInArrow(), with the session's batches bounded to BATCH_BYTES, as rows can hold very long texts: a batch is
     in the JVM's direct memory, in the worker's and, as strings, in the worker's once more."""
@@ -37,36 +20,6 @@ def in_arrow(df: DataFrame, work, schema) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
-class Scratch:
-    """Parquet tables in the shared folder, which cut lineage and survive lost executors.
-
-    drop() deletes a table that no later plan reads; what is left goes when the driver's Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.top}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def path(self, name: str) -> str:
-        return f"{self.top}/{name}"
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}" if name else self.top)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _end(self) -> None:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            if self.spark.sparkContext._jsc is not None:
-                self.drop()
-
-
 def components(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
@@ -112,3 +65,6 @@ def own(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+__all__ = ["BATCH_BYTES", "Scratch", "components", "in_arrow", "null_text", "own"]

@@ -6,8 +6,9 @@ take stripes in parallel, skip those whose statistics or Bloom filter exclude an
 hold: one number for each shard.
 
 Words are cut at ASCII blanks, which every token of these tokenizers ends at, and each distinct word is encoded once
-for a table of bounded size that a Python worker keeps; letters A-Z of words without <| count as lower-case, as the
-tokenizer's own first step has it. A tokenizer that keeps blanks, or case, is given whole texts instead.
+for a table that a Python worker keeps, bounded in bytes; letters A-Z of words without <| count as lower-case, as the
+tokenizer's own first step has it. Both are read from the tokenizer's settings: one with other steps is given whole
+texts instead.
 
 Null texts count as empty: the end id alone. Null ids come first, equal ids in order of their texts. Repeated rows
 are written as often as they come. Texts of any length are encoded whole. An empty table gives an empty folder.
@@ -15,6 +16,7 @@ are written as often as they come. Texts of any length are encoded whole. An emp
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -30,8 +32,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from .common import Scratch, in_arrow, null_text
 
 END = 1
-#: Entries of a worker's table; it keeps two of them.
-TABLE_ENTRIES = 500_000
+#: Bytes of a worker's table, at most (but for the words of one GROUP); it keeps two of them. An entry takes about ENTRY
+#: besides its word and ids.
+TABLE_BYTES, ENTRY = 64 << 20, 170
+#: Fixed value: the pattern of tokens, none of which has a blank in it.
+TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts whose new words are encoded in one call.
 GROUP = 64
 STRIPE_BYTES, INDEX_STRIDE = 64 << 20, 10_000
@@ -46,6 +51,21 @@ def _plain(word: bytes) -> bool:
     return word.isalpha() or bool(word) and (text := word.decode()).isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
+def settings(path: str) -> tuple[bool, bool]:
+    """Whether texts can be cut at blanks, and whether case is dropped, by the tokenizer's steps."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    first, second = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+    steps = first.get("normalizers", [first] if first else [])
+    parts = second.get("pretokenizers", [second] if second else [])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(x["type"] in ("NFC", "Lowercase") or x == blanks for x in steps)
+    split = {"type": "Split", "pattern": {"Regex": TOKENS}, "behavior": "Removed", "invert": True}
+    within = bool(parts) and parts[0] == split and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in parts[1:])
+    added = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in d["added_tokens"])
+    return plain and within and added and not d.get("post_processor"), {"type": "Lowercase"} in steps
+
+
 class Words:
     """A tokenizer and its table: word -> ids as little-endian 32-bit integers."""
 
@@ -56,10 +76,9 @@ class Words:
         self.model = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what a full table held: words still met move back
-        whole, parts = " Ab,c \t\n DÉ éx<|endoftext|>.", ("Ab,c", "DÉ", "éx<|endoftext|>.")
-        self.cut = self._encode([whole])[0] == sum((self._encode([p])[0] for p in parts), []) and self._encode([" \n"])[0] == []
+        self.held = 0
+        self.cut, self.low = settings(path)
         self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size())])
-        self.low = self._encode(["AbÉ"]) == self._encode(["abÉ"])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,6 +109,7 @@ class Words:
             else:
                 self.ids.update(zip(some, map(self._bytes, self._encode([a.decode() for a in some]))))
         self.ids.update((w, self.ids[a] + self.ids[b] if b else self.ids[a]) for w, a, b in parts if a)
+        self.held += sum(ENTRY + len(x) + len(self.ids[x]) for some in (new, letters) for x in some)
 
     def encode(self, texts: list[str]):
         for at in range(0, len(texts), GROUP):
@@ -98,11 +118,12 @@ class Words:
                 yield from map(self._bytes, self._encode(some))
                 continue
             cut = [self.words(t) for t in some]
-            if len(self.ids) > TABLE_ENTRIES:
-                self.older, self.ids = self.ids, {}
+            if self.held > TABLE_BYTES:
+                self.older, self.ids, self.held = self.ids, {}, 0
             new = {w for words in cut for w in words if w not in self.ids}
             known = new & self.older.keys()
             self.ids.update((w, self.older[w]) for w in known)
+            self.held += sum(ENTRY + len(w) + len(self.ids[w]) for w in known)
             self.learn(list(new - known))
             for words in cut:
                 yield b"".join(map(self.ids.__getitem__, words))

@@ -1,20 +1,21 @@
 """URL filters by a character language-model ratio, in DataFrame operations only.
 
 Rules judge the urls they fit (a rule fits its host and all subdomains, if the path starts with the rule's; the
-longest wins). All urls that a rule judges teach two variable-order Markov models over the characters of host and
-path, one for allowed urls and one for blocked ones: contexts of up to three characters, interpolated with shorter
-ones by Witten-Bell smoothing, so a context counts for as much as it was seen. Every other url is judged by the
-difference of its log-likelihoods divided by its length, against the threshold that separates the judged urls best
-(the mean of the two error rates is least).
+longest wins). Of the urls that a rule judges, one in HELD is held out, by a hash of host and path; all others teach
+two variable-order Markov models over the characters of host and path, one for allowed urls and one for blocked ones:
+contexts of up to three characters, interpolated with shorter ones by Witten-Bell smoothing, so a context counts for
+as much as it was seen. Every other url is judged by the difference of its log-likelihoods divided by its length,
+against the threshold that separates the held-out urls best (the mean of the two error rates is least).
 
 The symbols are a-z, 0-9, five marks, the start and one for all else, so there are at most 43**4 sequences of four,
 whatever the input: counts are combined before the shuffle, and the table of log ratios is written and joined by
-Spark's own choice, a broadcast only if its size allows. A url's sequences come together again within their task.
+Spark's own choice, a broadcast only if its size allows. Sequences carry no more than the number of their row; their
+sums are joined back.
 
 Log ratios are whole millionths, so sums are exact and don't depend on order. Null urls and those without :// have
 an empty host and path; these have no rule and no likelihood and are blocked. Repeated rows are judged alike.
-Other columns are not passed on. Empty tables give empty results; without judged urls all ratios are zero and every
-url with a host or path is allowed.
+Urls of any length are judged whole. Other columns are not passed on. Empty tables give empty results; without judged
+urls all ratios are zero and every url with a host or path is allowed; without held-out ones the threshold is zero.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import Scratch
 #: Host and path of a rule, and what becomes of its urls.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 ORDER = 3
+#: One judged url in so many is held out for the threshold.
+HELD = 5
 MARKS = "./-_~"
 SYMBOLS = 26 + 10 + len(MARKS) + 1
 START = "^"
@@ -60,13 +63,14 @@ def judged(pages: DataFrame, rules: dict[str, str], ident: str = "page_id", url:
     out = pages.select(F.col(f"`{ident}`").alias("page_id"), host.alias("host"), path.alias("path"))
     out = out.withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
     said = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
-    return out.withColumn("said", said)
+    held = F.conv(F.substring(F.md5(F.concat("host", "path")), 1, 4), 16, 10).cast("int") % HELD == 0
+    return out.withColumns({"said": said, "held": held})
 
 
 def grams() -> Column:
     """All sequences of ORDER + 1 symbols of host and path, the first ones with start symbols."""
     line = F.concat(F.lit(START * ORDER), F.regexp_replace(F.translate(F.concat("host", "path"), UPPER, LOWER), r"[^a-z0-9./\-_~]", "?"))
-    return F.explode(F.transform(F.sequence(F.lit(1), F.length(line) - ORDER), lambda i: F.substr(line, i, F.lit(ORDER + 1))))
+    return F.explode(F.regexp_extract_all(line, F.lit("(?=(.{%d}))" % (ORDER + 1)), F.lit(1)))  # at each place, in one go
 
 
 def ratios(seen: DataFrame) -> DataFrame:
@@ -88,19 +92,15 @@ def ratios(seen: DataFrame) -> DataFrame:
 
 
 def scored(urls: DataFrame, table: DataFrame) -> DataFrame:
-    """urls with total (of the ratios) and n_grams. A url's sequences are summed in the task that made them."""
-    keys = ["row", "page_id", "host", "path", "rule", "said"]
-    rows = urls.withColumn("row", F.monotonically_increasing_id())
-    some = rows.where("host != '' or path != ''").select(*keys, grams().alias("gram")).join(table, "gram")
-    some = some.groupBy(*keys).agg(F.sum("ratio").alias("total"), F.count("*").alias("n_grams"))
-    none = rows.where("host = '' and path = ''").select(*keys, F.lit(None).cast("long").alias("total"), F.lit(0).cast("long").alias("n_grams"))
-    return some.unionAll(none).drop("row")
+    """urls, with their row numbers, and total (of the ratios) and n_grams instead of these."""
+    sums = urls.where("host != '' or path != ''").select("row", grams().alias("gram")).join(table, "gram").groupBy("row").agg(F.sum("ratio").alias("total"), F.count("*").alias("n_grams"))
+    return urls.join(sums, "row", "left").drop("row").withColumn("n_grams", F.coalesce("n_grams", F.lit(0)))
 
 
 def threshold(scored: DataFrame) -> int:
     """In millionths a symbol. At most 2 * BINS + 1 counts are summed up in order; one number reaches the driver."""
     at = F.greatest(F.least(F.floor(F.col("total") / F.col("n_grams") / BIN), F.lit(BINS)), F.lit(-BINS))
-    bins = scored.where("said is not null and n_grams > 0").groupBy(at.alias("bin")).agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
+    bins = scored.where("said is not null and held and n_grams > 0").groupBy(at.alias("bin")).agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy()
     wrong = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(total), F.lit(1)) + (F.sum("b").over(total) - F.coalesce(F.sum("b").over(below), F.lit(0))) / F.greatest(F.sum("b").over(total), F.lit(1))
@@ -111,8 +111,9 @@ def threshold(scored: DataFrame) -> int:
 def verdicts(spark: SparkSession, pages: DataFrame, rules: dict[str, str] = RULES, ident: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, ratio, n_grams) for every row; ratio: the sum, in millionths."""
     scratch = Scratch(spark, "urls")
-    urls = judged(pages, rules, ident, url)
-    seen = urls.where("host != '' or path != ''").select("said", grams().alias("gram")).groupBy("gram").agg(F.count_if(F.col("said") == "allow").alias("n_allow"), F.count_if(F.col("said") == "block").alias("n_block"))
+    urls = scratch.save(judged(pages, rules, ident, url).withColumn("row", F.monotonically_increasing_id()), "urls")
+    said = F.when(~F.col("held"), F.col("said"))
+    seen = urls.where("host != '' or path != ''").select(said.alias("said"), grams().alias("gram")).groupBy("gram").agg(F.count_if(F.col("said") == "allow").alias("n_allow"), F.count_if(F.col("said") == "block").alias("n_block"))
     table = scratch.save(ratios(scratch.save(seen, "seen")), "ratios")
     found = scratch.save(scored(urls, table), "scored")
     fair = F.when((F.col("n_grams") > 0) & (F.col("total") >= threshold(found) * F.col("n_grams")), "allow").otherwise("block")
@@ -138,14 +139,14 @@ parsed AS (SELECT page_id, row_number() OVER () AS row, translate(raw, '{UPPER}'
 ruled AS (SELECT *, CASE
 {fits}
     END AS rule FROM parsed),
-urls AS (SELECT *, CASE rule {said} END AS said, '{START * ORDER}' || regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[^a-z0-9./\-_~]', '?', 'g') AS line FROM ruled),
-grams AS (SELECT row, said, substr(line, i::INT, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(line) - {ORDER} + 1)) AS i FROM urls)),
+urls AS (SELECT *, CASE rule {said} END AS said, ('0x' || substr(md5(host || path), 1, 4))::INT % {HELD} = 0 AS held, '{START * ORDER}' || regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[^a-z0-9./\-_~]', '?', 'g') AS line FROM ruled),
+grams AS (SELECT row, CASE WHEN NOT held THEN said END AS said, substr(line, i::INT, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(line) - {ORDER} + 1)) AS i FROM urls)),
 seen AS (SELECT gram, count(*) FILTER (said = 'allow') AS na, count(*) FILTER (said = 'block') AS nb FROM grams GROUP BY ALL),{levels}
 ratios AS (SELECT gram, floor(1e6::DOUBLE * (ln(pa) - ln(pb)) + 0.5)::BIGINT AS r FROM p{ORDER}),
 sums AS (SELECT row, sum(r)::BIGINT AS total, count(*) AS n FROM grams JOIN ratios USING (gram) GROUP BY ALL),
-scored AS (SELECT u.page_id, u.host, u.path, u.rule, u.said, s.total, coalesce(s.n, 0) AS n FROM urls u LEFT JOIN sums s USING (row)),
+scored AS (SELECT u.page_id, u.host, u.path, u.rule, u.said, u.held, s.total, coalesce(s.n, 0) AS n FROM urls u LEFT JOIN sums s USING (row)),
 bins AS (SELECT greatest(least(floor((total::DOUBLE / n) / {BIN}), {BINS}), -{BINS})::BIGINT AS bin, count(*) FILTER (said = 'allow')::DOUBLE AS a, count(*) FILTER (said = 'block')::DOUBLE AS b
-  FROM scored WHERE said IS NOT NULL AND n > 0 GROUP BY ALL),
+  FROM scored WHERE said IS NOT NULL AND held AND n > 0 GROUP BY ALL),
 wrong AS (SELECT bin, coalesce(sum(a) OVER w, 0) / greatest(sum(a) OVER (), 1) + (sum(b) OVER () - coalesce(sum(b) OVER w, 0)) / greatest(sum(b) OVER (), 1) AS wrong
   FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 best AS (SELECT coalesce((SELECT bin * {BIN} FROM wrong WHERE wrong < 2 ORDER BY wrong, abs(bin), bin LIMIT 1), 0) AS least)
