@@ -218,7 +218,7 @@ def test_hypergeometric(spark):
                 return x
 
     given = spark.createDataFrame(rows, "n long, k long, d long, u double")
-    got = given.select("*", mix.hypergeometric(F.col("n"), F.col("k"), F.col("d"), F.col("u")).alias("x")).collect()
+    got = given.select("*", F.expr(mix.hypergeometric("n", "k", "d", "u")).alias("x")).collect()
     assert all(r.x == exact(r.n, r.k, r.d, r.u) for r in got)
 
 

@@ -93,58 +93,40 @@ def quotas(sized: DataFrame, bits: int) -> DataFrame:
     return goal.select("source", "source_size", "target", (F.col("passes").cast("long") * (1 << bits) + F.col("cutoff")).alias("quota"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
+def _log_factorial(n: str) -> str:
+    """Exact up to 19, by Stirling's series above. This and the next ones make SQL, as one text is parsed faster than
+    hundreds of columns are built."""
+    small, x = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(20)), f"CAST(greatest({n}, 20) AS DOUBLE)"
+    series = f"({x} + 0.5D) * ln({x}) - {x} + {0.5 * math.log(2 * math.pi)!r}D + 1 / (12 * {x}) - 1 / (360 * pow({x}, 3)) + 1 / (1260 * pow({x}, 5))"
+    return f"CASE WHEN {n} < 20 THEN element_at(array({small}), CAST({n} + 1 AS INT)) ELSE {series} END"
 
 
-def _log_factorial(n: Column) -> Column:
-    """Exact up to 19, by Stirling's series above."""
-    small, x = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)]), F.greatest(n, F.lit(20)).cast("double")
-    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n < 20, F.element_at(small, (n + 1).cast("int"))).otherwise(series)
+def _log_choose(n: str, k: str) -> str:
+    return f"({_log_factorial(n)}) - ({_log_factorial(k)}) - ({_log_factorial(f'({n} - {k})')})"
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
-
-
-def hypergeometric(total: Column, good: Column, drawn: Column, unit: Column) -> Column:
+def hypergeometric(total: str, good: str, drawn: str, unit: str) -> str:
     """How many of `drawn` things, taken from `total` of which `good` are good, are good: the quantile at `unit`.
 
-    The search starts ten standard deviations and ten below the mean; what lies beyond has a chance under 1e-20."""
-    lo, hi = F.greatest(F.lit(0), drawn - (total - good)), F.least(drawn, good)
-    share = good / F.greatest(total, F.lit(1))
-    mean = drawn * share
-    far = 10 * F.sqrt(mean * (1 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1))) + 10
-    ends = F.struct(F.greatest(lo, F.floor(mean - far)).alias("a"), F.least(hi, F.ceil(mean + far)).alias("b"))
-
-    def search(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        first = F.exp(_log_choose(good, a) + _log_choose(total - good, drawn - a) - _log_choose(total, drawn))
-        start = F.struct(a.alias("x"), unit.alias("left"), first.alias("p"))
-
-        def step(s: Column, _: Column) -> Column:
-            x, left, p = s["x"], s["left"], s["p"]
-            ratio = (good - x).cast("double") * (drawn - x) / ((x + 1).cast("double") * (total - good - drawn + x + 1))
-            return F.when(left >= p, F.struct((x + 1).alias("x"), (left - p).alias("left"), (p * ratio).alias("p"))).otherwise(s)
-
-        return F.when(b > a, F.aggregate(F.sequence(a + 1, b), start, step)["x"]).otherwise(a)
-
-    return _let(ends, search)
+    The search starts ten standard deviations and ten below the mean; what lies beyond has a chance under 1e-20. All
+    four are SQL, as is the result."""
+    given = f"struct({total} AS t, {good} AS g, {drawn} AS d, {unit} AS u)"
+    share = "(i.g / greatest(i.t, 1))"
+    mean = f"(i.d * {share})"
+    far = f"(10 * sqrt({mean} * (1 - {share}) * (i.t - i.d) / greatest(i.t - 1, 1)) + 10)"
+    ends = f"struct(greatest(greatest(0, i.d - (i.t - i.g)), floor({mean} - {far})) AS a, least(least(i.d, i.g), ceil({mean} + {far})) AS b)"
+    first = f"exp({_log_choose('i.g', 'e.a')} + {_log_choose('(i.t - i.g)', '(i.d - e.a)')} - ({_log_choose('i.t', 'i.d')}))"
+    ratio = "CAST(i.g - s.x AS DOUBLE) * (i.d - s.x) / (CAST(s.x + 1 AS DOUBLE) * (i.t - i.g - i.d + s.x + 1))"
+    search = f"aggregate(sequence(e.a + 1, e.b), struct(e.a AS x, i.u AS left, {first} AS p), (s, z) -> CASE WHEN s.left >= s.p THEN struct(s.x + 1 AS x, s.left - s.p AS left, s.p * {ratio} AS p) ELSE s END).x"
+    return f"transform(array({given}), i -> transform(array({ends}), e -> CASE WHEN e.b > e.a THEN {search} ELSE e.a END)[0])[0]"
 
 
-def _split(node: Column, held: Column) -> Column:
+def _split(node: str, held: str) -> str:
     """held: (source, quota) of a node; the left child's quotas in the same order, half of all blocks."""
-    nothing = F.lit(0).cast("long")
-    total = F.aggregate(held, nothing, lambda t, q: t + q["quota"])
-    start = F.struct(total.alias("rest"), F.floor(total / 2).alias("want"), F.array().cast("array<bigint>").alias("left"))
-
-    def draw(s: Column, q: Column) -> Column:
-        unit = F.pmod(F.xxhash64(F.lit(SEED), node, q["source"], q["source"].isNull()), F.lit(1 << 52)) / float(1 << 52)
-        return _let(hypergeometric(s["rest"], q["quota"], s["want"], unit), lambda x: F.struct((s["rest"] - q["quota"]).alias("rest"), (s["want"] - x).alias("want"), F.concat(s["left"], F.array(x)).alias("left")))
-
-    return F.aggregate(held, start, draw)["left"]
+    unit = f"pmod(xxhash64('{SEED}', {node}, q.source, q.source IS NULL), {1 << 52}) / {float(1 << 52)!r}D"
+    draw = hypergeometric("r.rest", "q.quota", "r.want", unit)
+    start = f"transform(array(aggregate({held}, 0L, (t, q) -> t + q.quota)), t -> struct(t AS rest, t div 2 AS want, CAST(array() AS ARRAY<BIGINT>) AS taken))[0]"
+    return f"aggregate({held}, {start}, (r, q) -> transform(array({draw}), x -> struct(r.rest - q.quota AS rest, r.want - x AS want, concat(r.taken, array(x)) AS taken))[0]).taken"
 
 
 def tree(goal: DataFrame, levels: int) -> DataFrame:
@@ -152,13 +134,15 @@ def tree(goal: DataFrame, levels: int) -> DataFrame:
 
     A node is a row, and splitting it is an expression of that row: no shuffle, but rows are dealt out anew by and by."""
     nodes = goal.agg(F.sort_array(F.collect_list(F.struct("source", "quota"))).alias("held")).select(F.lit(1).cast("long").alias("node"), "held")
+    node, held = F.col("node"), F.col("held")
+    half = F.expr(_split("node", "held"))
+    pick = lambda f: F.zip_with("held", "left", lambda q, x: F.struct(q["source"].alias("source"), f(q["quota"], x).alias("quota")))
+    here, left, right = (F.struct(n.alias("node"), h.alias("held")) for n, h in ((node, held), (node * 2, pick(lambda q, x: x)), (node * 2 + 1, pick(lambda q, x: q - x))))
     for level in range(levels):
         nodes = nodes.repartition("node") if level and level % 6 == 0 else nodes
-        now = F.col("node") >= 1 << level  # nodes above this level have been split
-        nodes = nodes.withColumn("left", F.when(now, _split(F.col("node"), F.col("held"))))
-        pick = lambda f: F.zip_with("held", "left", lambda q, x: F.struct(q["source"].alias("source"), f(q["quota"], x).alias("quota")))
-        own_, left, right = (F.struct(n.alias("node"), h.alias("held")) for n, h in ((F.col("node"), F.col("held")), (F.col("node") * 2, pick(lambda q, x: x)), (F.col("node") * 2 + 1, pick(lambda q, x: q - x))))
-        nodes = nodes.select(F.explode(F.when(now, F.array(own_, left, right)).otherwise(F.array(own_))).alias("n")).select("n.*")
+        now = node >= 1 << level  # nodes above this level have been split
+        nodes = nodes.withColumn("left", F.when(now, half))
+        nodes = nodes.select(F.explode(F.when(now, F.array(here, left, right)).otherwise(F.array(here))).alias("n")).select("n.*")
     return nodes
 
 
@@ -172,18 +156,14 @@ def plan(scratch: Scratch, sized: DataFrame, shard_words: int = SHARD_WORDS) ->
     return scratch.save(goal.join(held, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan"), levels, bits
 
 
-def leaves(held: Column, at: Column, levels: int, bits: int) -> Column:
-    """The shards that hold a block of its source: one for each pass that takes it, found from the root down."""
-
-    def down(s: Column, _: Column) -> Column:
-        left = F.element_at(held, s["node"] * 2)
-        return F.when(s["at"] < left, F.struct((s["node"] * 2).alias("node"), s["at"].alias("at"))).otherwise(F.struct((s["node"] * 2 + 1).alias("node"), (s["at"] - left).alias("at")))
-
-    def leaf(position: Column) -> Column:
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.struct(F.lit(1).alias("node"), position.alias("at")), down)
-        return _let(end, lambda e: F.when(e["at"] < F.element_at(held, e["node"]), e["node"] - (1 << levels)))
-
-    return F.array_compact(F.array(*[leaf(at.cast("long") + F.lit(i << bits)) for i in range(MOST)]))
+def leaves(held: str, at: str, levels: int, bits: int) -> Column:
+    """The shards that hold a block of its source: one for each pass that takes it, found from the root down. held and
+    at are names of columns."""
+    left = f"element_at({held}, s.node * 2)"
+    down = f"CASE WHEN s.at < {left} THEN struct(s.node * 2 AS node, s.at AS at) ELSE struct(s.node * 2 + 1 AS node, s.at - {left} AS at) END"
+    end = f"aggregate(sequence(1, {levels}), struct(1 AS node, p AS at), (s, z) -> {down})"
+    leaf = f"transform(array({end}), e -> CASE WHEN e.at < element_at({held}, e.node) THEN e.node - {1 << levels} END)[0]"
+    return F.expr(f"array_compact(transform(sequence(0, {MOST - 1}), i -> transform(array({at} + i * {1 << bits}L), p -> {leaf})[0]))")
 
 
 def sizes(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -195,8 +175,8 @@ def taken(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: s
     scratch = Scratch(spark, "mix")
     sized = scratch.save(sizes(docs, ident, source, text), "sized")
     goal, levels, bits = plan(scratch, sized, shard_words)
-    joined = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.size(leaves(F.col("held"), block(F.col("spot"), bits), levels, bits))
+    joined = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block(F.col("spot"), bits))
+    copies = F.size(leaves("held", "block", levels, bits))
     return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
@@ -204,9 +184,9 @@ def mix(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: str
     """docs, each row as often as the mix takes it, with its shard and, to sort the shard by, its place (None: without)."""
     scratch = Scratch(spark, "mix")
     goal, levels, bits = plan(scratch, scratch.save(sizes(docs, ident, source, text), "sized"), shard_words)
-    s, held, found, to, n = (own(docs, x) for x in ("source", "held", "shards", "shard", "pass"))
+    s, held, at, found, to, n = (own(docs, x) for x in ("source", "held", "block", "shards", "shard", "pass"))
     joined = docs.join(goal.select(F.col("source").alias(s), F.col("held").alias(held)), F.col(f"`{source}`").eqNullSafe(F.col(s)))
-    placed = joined.withColumn(found, leaves(F.col(held), block(spot(F.col(f"`{ident}`")), bits), levels, bits))
+    placed = joined.withColumn(at, block(spot(F.col(f"`{ident}`")), bits)).withColumn(found, leaves(held, at, levels, bits))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in (shard, place)]
     new = [c.alias(name) for c, name in ((F.col(to), shard), (_hash(F.col(f"`{ident}`"), F.col(n)), place)) if name]
     return placed.select("*", F.posexplode(found).alias(n, to)).select(*columns, *new)
