@@ -256,6 +256,21 @@ def test_nearest_of_many_series(spark):
         assert r[filled("v")] == best[1]
 
 
+def test_scratch_tables_are_released(spark):
+    import os
+
+    from tidegauge.plans.scratch import Scratch, released
+
+    outer = Scratch(spark, "outer")
+    kept = outer.save(spark.range(3).toDF("a"), "t")
+    with released():
+        inner = Scratch(spark, "inner")
+        inner.save(kept, "t")
+        path = inner.top.removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 def test_data_never_change(spark):
     s = series(spark, [1, None, 1.01, 50, 2, None])
     whole = (T0, T0 + timedelta(hours=1))

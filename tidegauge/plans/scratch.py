@@ -23,16 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_all: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def released():
+    """Drops the tables that are made within, at the end: for a result that has been written by then."""
+    first = len(_all)
+    try:
+        yield
+    finally:
+        while len(_all) > first:
+            _all.pop().drop()
+
+
 class Scratch:
     """Parquet tables in the shared folder.
 
-    drop() deletes a table that no later plan reads; what is left goes when the driver's Python ends.
+    drop() deletes a table that no later plan reads, released() all those of a block; what is left goes when the
+    driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
+        _all.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
