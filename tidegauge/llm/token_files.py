@@ -33,8 +33,8 @@ from .common import Scratch, in_arrow, null_text
 
 END = 1
 #: Bytes of a worker's table, at most (but for the words of one GROUP); it keeps two of them. An entry takes about ENTRY
-#: besides its word and ids.
-TABLE_BYTES, ENTRY = 64 << 20, 170
+#: besides its word and ids, and these about WIDTH a byte of the word.
+TABLE_BYTES, ENTRY, WIDTH = 112 << 20, 170, 3
 #: Fixed value: the pattern of tokens, none of which has a blank in it.
 TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts whose new words are encoded in one call.
@@ -109,7 +109,11 @@ class Words:
             else:
                 self.ids.update(zip(some, map(self._bytes, self._encode([a.decode() for a in some]))))
         self.ids.update((w, self.ids[a] + self.ids[b] if b else self.ids[a]) for w, a, b in parts if a)
-        self.held += sum(ENTRY + len(x) + len(self.ids[x]) for some in (new, letters) for x in some)
+        self._hold(new)
+        self._hold(letters)
+
+    def _hold(self, words: list[bytes] | set[bytes]) -> None:
+        self.held += ENTRY * len(words) + WIDTH * sum(map(len, words))
 
     def encode(self, texts: list[str]):
         for at in range(0, len(texts), GROUP):
@@ -123,7 +127,7 @@ class Words:
             new = {w for words in cut for w in words if w not in self.ids}
             known = new & self.older.keys()
             self.ids.update((w, self.older[w]) for w in known)
-            self.held += sum(ENTRY + len(w) + len(self.ids[w]) for w in known)
+            self._hold(known)
             self.learn(list(new - known))
             for words in cut:
                 yield b"".join(map(self.ids.__getitem__, words))
