@@ -1,11 +1,11 @@
-"""The queries of this subpackage, op1_ to op10_, and the SQL of those that SQL can express."""
+"""The queries of this subpackage, op1_ to op13_, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, licences, mix, pieces, quality, simhash, token_files, toxicity, url_filter
+from . import conversations, exact_dedup, lattice, licences, mix, pieces, quality, simhash, token_files, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,7 +64,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_mix_sources, op4_simhash, op5_quality, op6_toxicity, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_token_files)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = conversations.given(_read(spark, sf_dir, "conversations"))
+    return conversations.digests(spark, conversations.damaged(talks), talks)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_mix_sources, op4_simhash, op5_quality, op6_toxicity, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_token_files, op13_conversation_repair)}
 
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
