@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, exact_dedup, lattice, licences, mix, pieces, quality, rules, simhash, token_files, toxicity, url_filter
+from . import alignment, conversations, exact_dedup, lattice, licences, mix, pieces, quality, rules, simhash, token_files, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, _read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.counted(spark, _read(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(spark, _read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,7 +78,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(spark, conversations.damaged(talks), talks)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_mix_sources, op4_simhash, op5_quality, op6_toxicity, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_token_files, op12_quality_rules, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_mix_sources, op4_simhash, op5_quality, op6_toxicity, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_token_files, op11_alignment, op12_quality_rules, op13_conversation_repair)}
 
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
