@@ -176,11 +176,18 @@ def test_mix_tree(spark):
     """Quotas are exact at every node, halves are even, shards hold disjoint blocks in the sources' proportions, and
     what the leaves hold is what op3 takes."""
     docs = _many(spark)
-    goal, levels, bits = mix.plan(Scratch(spark, "test"), mix.sizes(docs), shard_words=2000)
+    sized = mix.sizes(docs)
+    levels, bits = mix.shape(sized.agg(F.sum("size")).first()[0], 2000)
     assert levels == 7 and bits == 12
-    rows, leaf = {r.source: r.held for r in goal.collect()}, 1 << levels
+    leaf, rows, nodes = 1 << levels, {}, mix.tree(mix.quotas(sized, bits), levels)
+    for node, held in sorted(map(tuple, nodes.collect())):
+        for q in held:
+            rows.setdefault(q.source, []).append(q.quota)
     for held in rows.values():
         assert len(held) == 2 * leaf - 1 and all(held[n - 1] == held[2 * n - 1] + held[2 * n] for n in range(1, leaf))
+    table = mix.dealt(nodes, levels, bits).collect()
+    taken = Counter((r.source, shard) for r in table for shard in r.shards)
+    assert all(taken[s, n] == held[leaf - 1 + n] for s, held in rows.items() for n in range(leaf))
     total = [sum(h[n] for h in rows.values()) for n in range(2 * leaf - 1)]
     assert all(total[2 * n - 1] == total[n - 1] // 2 for n in range(1, leaf))
     mixed = mix.mix(spark, docs, shard_words=2000).withColumn("block", mix.block(mix.spot(F.col("doc_id")), bits))
@@ -193,6 +200,18 @@ def test_mix_tree(spark):
     assert got.agg(F.sum("taken")).first()[0] == mixed.agg(F.sum(mix.words(F.col("text")))).first()[0]
 
 
+def test_mix_table_is_joined(spark, monkeypatch):
+    """However many shards there are, a document's row carries its own alone; large tables are merged, not broadcast."""
+    docs = _many(spark, rows=800)
+    few, many = (mix.mix(spark, docs, shard_words=n)._jdf.queryExecution().optimizedPlan().toString().lower() for n in (100_000, 100))
+    assert few.count("array") == many.count("array") and "held" not in many and "quota" not in many
+    want = sorted(map(str, mix.mix(spark, docs, shard_words=100).collect()))
+    monkeypatch.setattr(mix, "BROADCAST_ROWS", 0)
+    merged = mix.mix(spark, docs, shard_words=100)
+    assert "strategy=merge" in merged._jdf.queryExecution().optimizedPlan().toString() and sorted(map(str, merged.collect())) == want
+    assert mix.taken(spark, docs).agg(F.sum("taken")).first()[0] > 0
+
+
 def test_mix_takes_through_the_tree(spark, monkeypatch):
     """Without the tree's leaves nothing is taken."""
     docs = _many(spark, rows=500)

@@ -8,13 +8,13 @@ The root of the tree has all sources' quotas. A node gives half of its blocks to
 source is one draw from the multivariate hypergeometric distribution, made source by source from the conditional
 distributions, by inversion from a hash of node and source. What is left is the right child's, so quotas are exact at
 every node. Leaves are the output shards; a leaf holds the next blocks of each source's permutation, as many as its
-quota, so blocks are disjoint. A document's place is found by going down the tree with the position of its block.
-Within a shard a hash of document and pass gives the order.
+quota, so blocks are disjoint. Within a shard a hash of document and pass gives the order.
 
-Shards and blocks grow with the words of the table: see shape(). The plan has one row for each source, with the
-quotas of all nodes; it is written first, so Spark sees its size and broadcasts it only if that is small (else the
-join is shuffled, and the hot source split by adaptive execution). Counts are kept for each source and block and
-combined before any shuffle: no task holds a source's documents.
+Shards and blocks grow with the words of the table: see shape(). The leaves are resolved to a table of the shards that
+take each block of a source, which documents are joined with by source and block: a document's row carries its own
+shards alone, however many there are. The table is broadcast up to BROADCAST_ROWS rows, by a count; beyond, the join is
+a merge join by source and block, so a hot source is spread over its blocks. Counts are kept for each source and block
+and combined before any shuffle: no task holds a source's documents.
 
 Sizes are numbers of words, [^\\x20\\x09-\\x0D]+; null texts have none. Null sources are one source, last in order.
 Null ids count as the empty id. Repeated rows are taken alike. Documents without words belong to no partial pass.
@@ -34,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a shard, about; levels of the tree and binary digits of a block's number, at least.
 SHARD_WORDS, LEVELS, BITS = 1 << 24, 6, 12
+#: Rows of a table that is broadcast, at most: a source, a block's number and up to three shards each, under 40 MB.
+BROADCAST_ROWS = 1 << 18
 SEED = "mix"
 
 
@@ -146,24 +148,25 @@ def tree(goal: DataFrame, levels: int) -> DataFrame:
     return nodes
 
 
-def plan(scratch: Scratch, sized: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int, int]:
-    """A row for each source: source_size, target and held, its quotas by node; levels and bits."""
+def dealt(nodes: DataFrame, levels: int, bits: int) -> DataFrame:
+    """(source, block, shards): the shards that take a block, one for each pass, in order of the passes. nodes: tree().
+
+    The leaves take a source's blocks, pass after pass, in their own order: what the leaves before take is where a leaf
+    begins."""
+    leaves = nodes.where(F.col("node") >= 1 << levels).select((F.col("node") - (1 << levels)).alias("shard"), F.explode("held").alias("h")).select("shard", "h.source", "h.quota").where("quota > 0")
+    before = F.sum("quota").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    each = leaves.withColumn("first", F.coalesce(before, F.lit(0))).select("source", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("at"))
+    by = each.groupBy("source", F.col("at").bitwiseAND((1 << bits) - 1).cast("int").alias("block"))
+    return by.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.shiftright("at", bits).alias("pass"), "shard"))), lambda x: x["shard"]).alias("shards"))
+
+
+def plan(scratch: Scratch, sized: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, int]:
+    """A row for each source (source_size, target); dealt(), to be joined; bits."""
     total = sized.agg(F.sum("size")).first()[0] or 0
     levels, bits = shape(total, shard_words)
     goal = scratch.save(quotas(sized, bits), "quotas")
-    held = tree(goal, levels).select("node", F.explode("held").alias("h")).groupBy(F.col("h.source").alias("s"))
-    held = held.agg(F.transform(F.sort_array(F.collect_list(F.struct("node", F.col("h.quota").alias("quota")))), lambda x: x["quota"]).alias("held"))
-    return scratch.save(goal.join(held, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan"), levels, bits
-
-
-def leaves(held: str, at: str, levels: int, bits: int) -> Column:
-    """The shards that hold a block of its source: one for each pass that takes it, found from the root down. held and
-    at are names of columns."""
-    left = f"element_at({held}, s.node * 2)"
-    down = f"CASE WHEN s.at < {left} THEN struct(s.node * 2 AS node, s.at AS at) ELSE struct(s.node * 2 + 1 AS node, s.at - {left} AS at) END"
-    end = f"aggregate(sequence(1, {levels}), struct(1 AS node, p AS at), (s, z) -> {down})"
-    leaf = f"transform(array({end}), e -> CASE WHEN e.at < element_at({held}, e.node) THEN e.node - {1 << levels} END)[0]"
-    return F.expr(f"array_compact(transform(sequence(0, {MOST - 1}), i -> transform(array({at} + i * {1 << bits}L), p -> {leaf})[0]))")
+    table = scratch.save(dealt(tree(goal, levels), levels, bits), "dealt")
+    return goal.drop("quota"), table.hint("broadcast" if table.count() <= BROADCAST_ROWS else "merge"), bits
 
 
 def sizes(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -174,19 +177,20 @@ def taken(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: s
     """(doc_id, size, source_size, target, taken) for every row of docs; taken: the words that the tree's leaves take."""
     scratch = Scratch(spark, "mix")
     sized = scratch.save(sizes(docs, ident, source, text), "sized")
-    goal, levels, bits = plan(scratch, sized, shard_words)
-    joined = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block(F.col("spot"), bits))
-    copies = F.size(leaves("held", "block", levels, bits))
-    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    goal, table, bits = plan(scratch, sized, shard_words)
+    rows = sized.withColumn("block", block(F.col("spot"), bits)).join(table.toDF("s", "b", "shards"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s")
+    rows = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    copies = F.coalesce(F.size("shards"), F.lit(0))
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", shard: str | None = "shard", place: str | None = "place", shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs, each row as often as the mix takes it, with its shard and, to sort the shard by, its place (None: without)."""
     scratch = Scratch(spark, "mix")
-    goal, levels, bits = plan(scratch, scratch.save(sizes(docs, ident, source, text), "sized"), shard_words)
-    s, held, at, found, to, n = (own(docs, x) for x in ("source", "held", "block", "shards", "shard", "pass"))
-    joined = docs.join(goal.select(F.col("source").alias(s), F.col("held").alias(held)), F.col(f"`{source}`").eqNullSafe(F.col(s)))
-    placed = joined.withColumn(at, block(spot(F.col(f"`{ident}`")), bits)).withColumn(found, leaves(held, at, levels, bits))
+    _, table, bits = plan(scratch, scratch.save(sizes(docs, ident, source, text), "sized"), shard_words)
+    s, b, at, found, to, n = (own(docs, x) for x in ("source", "of", "block", "shards", "shard", "pass"))
+    given = docs.withColumn(at, block(spot(F.col(f"`{ident}`")), bits))
+    placed = given.join(table.toDF(s, b, found), F.col(f"`{source}`").eqNullSafe(F.col(s)) & (F.col(at) == F.col(b)))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in (shard, place)]
     new = [c.alias(name) for c, name in ((F.col(to), shard), (_hash(F.col(f"`{ident}`"), F.col(n)), place)) if name]
     return placed.select("*", F.posexplode(found).alias(n, to)).select(*columns, *new)

@@ -29,7 +29,8 @@ COMMON = 16
 #: Base rules: fewer words, or a greater share of words in repeated windows of three, fail.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Classes of characters; what is left is the last class.
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", "[#*$%&|<>]", r"[^\x00-\x7F]")
+BLANK_CLASS, SYMBOL_CLASS = r"[\x20\x09-\x0D]", "[#*$%&|<>]"
+CLASSES = ("[a-z]", "[A-Z]", "[0-9]", BLANK_CLASS, r"[.,;:!?'\"()-]", SYMBOL_CLASS, r"[^\x00-\x7F]")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: Limits of the divergence in bits: a constant, and what is added over the number of words. The expected divergence of n
@@ -40,7 +41,8 @@ WORDS_FROM, LEAST_DOCS = 80, 20
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
 def _let(value: Column, body) -> Column:
@@ -49,18 +51,19 @@ def _let(value: Column, body) -> Column:
 
 
 def repeated(w: Column) -> Column:
-    """Words of array w that are in a window of three which is there twice or more. Windows are put in order with their
-    places, so that equal ones are neighbours."""
-
-    def covered(windows: Column) -> Column:
-        placed = F.sort_array(F.transform(windows, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-        near = lambda s, x, j: F.coalesce(F.get(s, j)["g"] == x["g"], F.lit(False))
-        at = _let(placed, lambda s: F.array_compact(F.transform(s, lambda x, j: F.when(near(s, x, j - 1) | near(s, x, j + 1), x["i"]))))
+    """Words of array w that are in a window of three which is there twice or more. If no hash of a window is there twice,
+    nothing is; else windows are put in order of their hashes, so that equal ones are neighbours, and their words compared."""
+    same = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+    def covered(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        near = lambda x, y: F.coalesce((x["h"] == y["h"]) & same(x["i"], y["i"]), F.lit(False))
+        at = _let(placed, lambda s: F.array_compact(F.transform(s, lambda x, j: F.when(near(x, F.get(s, j - 1)) | near(x, F.get(s, j + 1)), x["i"]))))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(F.sort_array(at), start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    found = _let(windows, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
     return F.when(F.size(w) > 3, found).otherwise(0)
 
 
@@ -70,10 +73,15 @@ def repeated_lines(text: Column) -> Column:
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def classes(text: Column) -> Column:
-    """Numbers of characters by class."""
-    counts = [F.regexp_count(text, F.lit(c)) for c in CLASSES]
-    return _let(F.array(*counts), lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+def characters(text: Column) -> Column:
+    """Numbers of characters by class. The first class, most of a text, is taken out in runs, and the others are counted in
+    what is left."""
+
+    def counts(rest: Column) -> Column:
+        one = F.array(F.length(text) - F.length(rest), *(F.length(rest) - F.length(F.regexp_replace(rest, f"{c}+", "")) for c in CLASSES[1:]))
+        return _let(one, lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+
+    return _let(F.regexp_replace(text, f"{CLASSES[0]}+", ""), counts)
 
 
 def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = COMMON) -> DataFrame:
@@ -87,17 +95,18 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", n: int
 def measure(docs: DataFrame, common: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang) with the base rules' numbers and the two histograms, chars and picks."""
     given = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), null_text(f"`{text}`").alias("body"))
-    given = given.join(common.toDF("l", "common"), F.col("lang").eqNullSafe(F.col("l")), "left")
+    longest = F.aggregate("common", F.lit(0), lambda a, x: F.greatest(a, F.octet_length(x))).alias("longest")  # longer words needn't be looked for
+    given = given.join(common.select(F.col("lang").alias("l"), "common", longest), F.col("lang").eqNullSafe(F.col("l")), "left")
     body, listed = F.col("body"), F.coalesce("common", F.array().cast("array<string>"))
 
     def counts(w: Column) -> Column:
-        places = F.filter(F.transform(w, lambda x: F.array_position(listed, x)), lambda p: p > 0)
+        places = F.filter(F.transform(F.filter(w, lambda x: F.octet_length(x) <= F.col("longest")), lambda x: F.array_position(listed, x)), lambda p: p > 0)
         picks = _let(places, lambda p: F.concat(F.transform(F.sequence(F.lit(1), F.lit(COMMON)), lambda k: F.size(F.filter(p, lambda x: x == k))), F.array(F.size(w) - F.size(p))))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated(w).cast("long").alias("n_repeat_words"), picks.alias("picks"))
 
-    bare = lambda marks: F.length(F.translate(body, marks, ""))
-    found = given.select("doc_id", "lang", _let(words(body), counts).alias("w"), bare(BLANKS).cast("long").alias("word_chars"), (F.length(body) - bare(SYMBOLS)).cast("long").alias("n_symbols"), repeated_lines(body).cast("long").alias("n_dup_lines"), classes(body).alias("chars"))
-    return found.select("doc_id", "lang", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "chars", "w.picks")
+    blank, symbol = (F.get("chars", F.lit(CLASSES.index(c))) for c in (BLANK_CLASS, SYMBOL_CLASS))
+    found = given.select("doc_id", "lang", _let(words(body), counts).alias("w"), characters(body).alias("chars"), F.length(body).alias("n"), repeated_lines(body).cast("long").alias("n_dup_lines"))
+    return found.select("doc_id", "lang", "w.n_words", (F.col("n") - blank).cast("long").alias("word_chars"), symbol.cast("long").alias("n_symbols"), "n_dup_lines", "w.n_repeat_words", "chars", "w.picks")
 
 
 def base_failed() -> Column:
