@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import csv
+import random
+
 import pytest
 
 from tidegauge import sources
 from tidegauge.api import OnlineSeries
 from tidegauge.functions import timeconv
+from tidegauge.sources import readers
 
 
 def test_text_files(spark, tmp_path):
@@ -43,6 +47,55 @@ def test_widths_and_comments(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out" / "e.txt")).count() == 1
 
 
+def test_headers_and_comments_by_place(spark, tmp_path):
+    """A line like the header or a leading comment is data unless it is in their place."""
+    (tmp_path / "a.csv").write_text("a,b\n1,2\na,b\n3,4\n")
+    (tmp_path / "b.csv").write_text("# c\n\n#d\na,b\n# c\n3,4\n# c\n")
+    read = lambda *names: sorted(map(tuple, sources.read_text(spark, [str(tmp_path / n) for n in names], "csv").collect()), key=str)
+    assert read("a.csv") == [("1", "2"), ("3", "4"), ("a", "b")]
+    assert read("b.csv") == [("# c", None), ("# c", None), ("3", "4")]
+    assert read("a.csv", "b.csv") == sorted(read("a.csv") + read("b.csv"), key=str)
+
+
+def test_quotes_and_byte_order_mark(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes('\ufeff"a\nx",b\n1,"x\ny"\r\n"p ""q"", r",4\n5" pipe,6\n"",7\n'.encode())
+    got = sources.read_text(spark, str(tmp_path / "q.csv"), "csv")
+    assert got.columns == ["a\nx", "b"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("1", "x\ny"), ('5" pipe', "6"), ('p "q", r', "4"), (None, "7")]
+    (tmp_path / "w.csv").write_bytes("k;v\n1;é\n".encode("utf-16"))
+    assert sources.read_text(spark, str(tmp_path / "w.csv"), "csv", ";", encoding="UTF-16").first() == ("1", "é")
+    (tmp_path / "none.csv").write_text("")
+    assert sources.read_text(spark, str(tmp_path / "none.csv"), "csv").count() == 0
+
+
+def test_records_over_splits(spark, tmp_path):
+    """Files in many splits that cut quoted values anywhere, one value over several of them."""
+    rng, rows = random.Random(1), []
+    for i in range(300):
+        rows.append((str(i), "".join(rng.choice(["a", "b", "\n", " ", '"', ",", "\n\n", 'x"y']) for _ in range(rng.randrange(60)))))
+    rows += [("k", "v"), ("long", "\n".join(f"line {i}" for i in range(100)))]
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        with open(tmp_path / name, "w", newline="") as f:
+            csv.writer(f, lineterminator=end).writerows([("k", "v"), *rows])
+    conf = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "50"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        files = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
+        assert readers.records(spark, files).rdd.getNumPartitions() > 50
+        got = sources.read_text(spark, files, "csv").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = [(k, v or None) for k, v in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want * 2, key=str)
+
+
+def test_ends_inside():
+    assert not readers.ends_inside('a,"b",c', ",") and readers.ends_inside('a,"b', ",") and not readers.ends_inside('a,b"c', ",")
+    assert readers.ends_inside('"a""', ",") and not readers.ends_inside('"a"b"', ",") and not readers.ends_inside('x",y', ",", True) and readers.ends_inside('x","y', ",", True)
+
+
 def test_model_output(spark, tmp_path):
     (tmp_path / "model.txt").write_text("#.t\t.sewer_1.COD\nd\tg/m3\n0.0\t1.5\n0.5\t2.5\n")
     got = sources.read_model_output(spark, str(tmp_path / "model.txt"))

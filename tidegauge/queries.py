@@ -764,14 +764,26 @@ def read_csv_widths(spark, sf):
     return sources.read_text(spark, sources.list_files(spark, path, "text")[0], "csv").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'part' AS name, 2 AS files, 3 AS header UNION ALL SELECT 'csv', 0, NULL")
+@query("SELECT c_custkey::VARCHAR AS id, c_name || chr(10) || '\"' || c_mktsegment || '\", ' AS note FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'id', 'note' FROM customer WHERE c_custkey % 5 = 0")
+def read_csv_quoted(spark, sf):
+    """Values with line ends, quotes and separators, after a byte-order mark; every fifth line is like the header."""
+    path, i = _folder(spark, "quoted"), F.col("c_custkey")
+    record = F.concat(i.cast("string"), F.lit(',"'), "c_name", F.lit('\n""'), "c_mktsegment", F.lit('"", "'))
+    lines = _table(spark, sf, "customer").select(i.alias("n"), F.when(i % 5 == 0, F.lit("id,note")).otherwise(record).alias("value"))
+    top = spark.createDataFrame([(-2, "\ufeff# by place"), (-1, "id,note")], "n long, value string")
+    top.unionByName(lines).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return sources.read_text(spark, path, "csv")
+
+
+@query("SELECT n_regionkey, 1 AS files, count(*)::INT AS header FROM nation GROUP BY ALL")
 def files_of_a_kind(spark, sf):
+    """A folder for each region, with a file that has a comment line for each nation and then one more line."""
     path = _folder(spark, "texts")
-    lines = spark.createDataFrame([(0, "# one"), (1, "# two"), (2, "# three"), (3, "t\tv")], "n long, value string")
-    lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("append").text(path)
-    lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("append").text(path)
-    found = sources.list_files(spark, path, "text")
-    return spark.createDataFrame([("part", len(found), sources.header_length(spark, found[0])), ("csv", len(sources.list_files(spark, path, "csv")), None)], "name string, files int, header int")
+    names = _table(spark, sf, "nation").select("n_regionkey", F.concat(F.lit("# "), "n_name").alias("value"))
+    names.unionAll(names.select("n_regionkey", F.lit("t\tv")).distinct()).coalesce(1).sortWithinPartitions("n_regionkey", "value").write.partitionBy("n_regionkey").text(path)
+    keys = [r[0] for r in _table(spark, sf, "region").select("r_regionkey").orderBy("r_regionkey").collect()]
+    found = {k: sources.list_files(spark, f"{path}/n_regionkey={k}", "text") for k in keys}
+    return spark.createDataFrame([(k, len(f), sources.header_length(spark, f[0])) for k, f in found.items()], "n_regionkey int, files int, header int")
 
 
 @query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey::VARCHAR END AS n_regionkey FROM nation")
