@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import warnings
 from dataclasses import replace
@@ -364,3 +365,78 @@ def test_rain(spark):
     s = series(spark, [1, 2, 3, 4]).get_highs("v", 1, (T0, T0 + timedelta(hours=1)), "value")
     with pytest.warns(UserWarning):
         assert filling.warn_of_rain(s, (T0, T0 + timedelta(hours=1)))
+
+
+def _polynomials(values, window, order):
+    """Savitzky-Golay by a least-squares fit of each window."""
+    half, n = window // 2, len(values)
+    if n < window:
+        return [None] * n
+    out = []
+    for i in range(n):
+        centre = min(max(i, half), n - half - 1)
+        some = values[centre - half : centre + half + 1]
+        if None in some:
+            out.append(None)
+            continue
+        x = (np.arange(window) - half) / max(half, 1)
+        out.append(float(np.polyval(np.polyfit(x, some, order), (i - centre) / max(half, 1))))
+    return out
+
+
+@pytest.mark.parametrize("chunk, window, order", [(None, 7, 2), (40, 7, 3), (None, 101, 2), (40, 101, 4), (40, 5, 0)])
+def test_savgol_by_moments(spark, chunk, window, order):
+    """Series with null and other keys, missing values, and fewer rows than a window."""
+    rng = random.Random(window)
+    long = [1e3 + 50 * math.sin(i / 9) + rng.random() for i in range(260)]
+    long[150] = None
+    given = {None: long, "b": [float(i * i) for i in range(window)], "c": [1.0, 2.0, 3.0], "d": [5.0] * 130}
+    rows = [(k, float(i), v) for k, values in given.items() for i, v in enumerate(values)]
+    s = OnlineSeries.wrap(spark.createDataFrame(rows, "k string, t double, v double").repartition(3), time="t", key="k", chunk_rows=chunk)
+    got = {(r.k, r.t): r.m for r in s.savgol("v", window, order, to="m").df.collect()}
+    want = {(k, float(i)): m for k, values in given.items() for i, m in enumerate(_polynomials(values, window, order))}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(m, rel=1e-9, abs=1e-7) if m is not None else got[k] is None for k, m in want.items())
+
+
+@pytest.mark.parametrize("window", [5, 33, 64, 90])
+def test_frames_of_any_length(spark, window):
+    """A frame may be longer than a chunk; chunks and running sums change nothing."""
+    rng = random.Random(window)
+    values = [rng.choice([None, 5.0, 1e6, rng.random()]) if 100 < i < 140 else rng.random() * 1e3 for i in range(200)]
+    plain = pd.Series(values, dtype=float)
+    lead = plain.rolling(window).mean().shift(-((window - 1) // 2))
+    for chunk in (None, 16, 64):
+        s = series(spark, values, chunk_rows=chunk, partitions=3)
+        got = [r.m for r in s.moving_average("v", window, to="m", interpolate=False).df.orderBy("time").collect()]
+        assert [x is None for x in got] == lead.isna().tolist() and np.allclose([x for x in got if x is not None], lead.dropna(), rtol=1e-11)
+        tops = s.framed(window - 1, 0, top=lambda frame: F.max("v").over(frame)).df.orderBy("time").collect()
+        assert [r.top for r in tops] == [max((v for v in values[max(0, i - window + 1) : i + 1] if v is not None), default=None) for i in range(200)]
+
+
+def test_positions_of_one_moment(spark):
+    """All rows in one day, even at one time, are dealt over partitions and still numbered in order."""
+    rows = [("a", datetime(2024, 1, 1), i, float(i)) for i in range(3_000)] + [(None, datetime(2024, 1, 1, 0, i % 7), i, 1.0) for i in range(100)]
+    s = OnlineSeries.wrap(spark.createDataFrame(rows, "k string, time timestamp_ntz, seq long, v double").repartition(5), key="k", seq="seq", chunk_rows=100)
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        got = s.positions().df
+        assert [r["__rn"] for r in got.where("k = 'a'").orderBy("seq").collect()] == list(range(1, 3_001))
+        assert [r["__rn"] for r in got.where("k IS NULL").orderBy("time", "seq").collect()] == list(range(1, 101))
+        assert got.where("__chunk <> floor((__rn - 1) / 100)").count() == 0
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_null_keys_stay(spark):
+    """A series with a null key is a series: no operator that joins loses its rows."""
+    rows = [(k, datetime(2024, 1, 1) + timedelta(hours=h), float(h % 24)) for k in (None, "b") for h in range(72)]
+    s = OnlineSeries.wrap(spark.createDataFrame(rows, "k string, time timestamp_ntz, v double"), key="k")
+    for chunk in (None, 10):
+        t = replace(s, chunk_rows=chunk)
+        for out in (t.savgol("v", 5), t.moving_average("v", 3), t.moving_average("v", 40), t.tag_nan("v").tag_doubles("v", 0.5), t.moving_average_filter("v", 4, 0.5, ("2024/1/1", "2024/1/3"))):
+            assert out.df.groupBy("k").count().where("count = 72").count() == 2
+    for positional in (False, True):
+        got = s.daily_profile("v", ("2024/1/1", "2024/1/3"), positional=positional)
+        assert got.groupBy("k").count().where("count = 24").count() == 2 and got.where("avg <> tod / 3600e6").count() == 0

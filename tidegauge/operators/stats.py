@@ -148,8 +148,9 @@ def daily_profile(s: SeriesFrame, c: str, arange, quantile: float = 0.9, only_ch
     rows = rows.select(s.key, s.time, s.seq, tod(s).alias("tod"), day.alias("__day"), value.cast("double").alias("v"))
     if positional:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(s.key, "__day").orderBy(s.time, s.seq)))
-        first = rows.groupBy(s.key).agg(F.min("__day").alias("__day")).join(rows.select(s.key, "__day", "__n", "tod"), [s.key, "__day"]).select(s.key, "__n", "tod")
-        rows = rows.drop("tod").join(first, [s.key, "__n"])
+        one = rows.groupBy(F.col(s.key).alias("__k")).agg(F.min("__day").alias("__one"))
+        label = F.max(F.when(F.col("__day") == F.col("__one"), F.col("tod"))).over(Window.partitionBy(s.key, "__n"))
+        rows = rows.join(one, F.col(s.key).eqNullSafe(F.col("__k"))).withColumn("tod", label).where("tod IS NOT NULL")  # positions that the first day lacks go
     q = lambda p: F.percentile("v", F.lit(p))
     return rows.groupBy(s.key, "tod").agg(F.avg("v").alias("avg"), F.stddev_samp("v").alias("std"), q(quantile).alias("q_upper"), q(1 - quantile).alias("q_lower"))
 

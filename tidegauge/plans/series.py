@@ -3,16 +3,18 @@
 Tags and fills are companion columns of the row they belong to (<c>__valid, <c>__filled, <c>__fillmeta), so nothing
 is ever aligned by a join. All ordered operations of a table share one partitioning and one sort.
 
-Long series: with chunk_rows set, a series is cut into chunks of that many rows. Positions come from counts by day
-(or whole time unit) and their running sums, and each ordered operation works within chunks, with what it needs from
-other chunks carried over from one summary row a chunk, or from copies of the neighbouring rows. So no task holds
-more than a chunk of one series; the summaries are as many rows as there are chunks. The rows are written before
-each such summary, so a chain's plan stays as long as one operator's. Unless told otherwise, a table is chunked if
+Long series: with chunk_rows set, a series is cut into chunks of that many rows. For positions the rows are dealt by
+ranges of (series, time, order) from a sample and sorted, and a row's place in its partition is added to what the
+partitions before hold of its series: neither a series nor a day need fit a task. Each ordered operation works within
+chunks, with what it needs from other chunks carried over from one summary row a chunk, joined by position, or from
+copies of the neighbouring rows. So no task holds more than a chunk of one series; the summaries are as many rows as
+there are chunks. The rows are written before each such summary, so a chain's plan stays as long as one operator's. Unless told otherwise, a table is chunked if
 what it is read from is larger than AUTO_BYTES; results are the same.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,15 +132,16 @@ class SeriesFrame:
             return self
         if not self.chunk_rows:
             return self.add(**{RN: F.row_number().over(self.window())})
-        part = F.date_trunc("day", self.time).cast("timestamp_ntz") if self.is_datetime else F.floor(self.time)
-        df = self.cut().df.withColumn("__part", part)
-        counts = df.groupBy(self.key, "__part").agg(F.count("*").alias("__n"))
+        scratch, order = Scratch(self.df.sparkSession, "series"), [self.key, self.time, self.seq]
+        rows = scratch.save(self.df, "rows")  # the sample is a reading of its own
+        at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+        df = scratch.save(at, "dealt").withColumn("__part", F.shiftright("__at", 33))
+        scratch.drop("rows")
+        counts = df.groupBy(self.key, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
         before = F.coalesce(F.sum("__n").over(Window.partitionBy(self.key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select(F.col(self.key).alias("__k"), F.col("__part").alias("__p"), before.alias("__before"))
-        df = df.join(counts, F.col(self.key).eqNullSafe(F.col("__k")) & F.col("__part").eqNullSafe(F.col("__p")))
-        rn = F.col("__before") + F.row_number().over(Window.partitionBy(self.key, "__part").orderBy(self.time, self.seq))
-        df = df.withColumn(RN, rn).withColumn(CHUNK, F.floor((F.col(RN) - 1) / self.chunk_rows))
-        return self.with_df(df.drop("__part", "__k", "__p", "__before"))
+        counts = counts.select(F.col(self.key).alias("__k"), F.col("__part").alias("__p"), (before - F.col("__first") + 1).alias("__add"))
+        df = df.join(counts, F.col(self.key).eqNullSafe(F.col("__k")) & (F.col("__part") == F.col("__p"))).withColumn(RN, F.col("__at") + F.col("__add"))
+        return self.with_df(df.withColumn(CHUNK, F.floor((F.col(RN) - 1) / self.chunk_rows)).drop("__at", "__part", "__k", "__p", "__add"))
 
     def cut(self) -> SeriesFrame:
         """Written to the shared folder and read from there: for long chains, as operators that join a series with a
@@ -193,19 +196,56 @@ class SeriesFrame:
         return s.with_df(df.withColumn(name, F.col("__s") + F.coalesce(inner, F.lit(0))).drop("__v", "__s"))
 
     def framed(self, before: int, after: int, **new) -> SeriesFrame:
-        """For each name a function from a row frame (a WindowSpec) to a column, over `before` rows back to `after` on."""
+        """For each name a function from a row frame (a WindowSpec) to a column, over `before` rows back to `after` on.
+        Chunks have copies of the bordering rows that their frames reach, from as many chunks as these span."""
         if not self.chunk_rows:
             frame = self.window().rowsBetween(-before, after)
             return self.add(**{n: f(frame) for n, f in new.items()})
-        if max(before, after) > self.chunk_rows:
-            raise ValueError(f"a chunk of {self.chunk_rows} rows is smaller than the frame")
         s, size = self.positions(), self.chunk_rows
-        home, at = F.col(CHUNK), F.pmod(F.col(RN) - 1, F.lit(size))
-        copies = F.array_compact(F.array(home, F.when(at >= size - before, home + 1), F.when(at < after, home - 1)))
-        df = s.df.withColumn("__to", F.explode(copies))
+        home, reach = F.col(CHUNK), lambda n: F.floor((F.col(RN) - 1 + n) / size)
+        df = s.df.withColumn("__to", F.explode(F.sequence(F.greatest(reach(-after), F.lit(0)), reach(before))))
         frame = Window.partitionBy(s.key, "__to").orderBy(RN).rowsBetween(-before, after)
         return s.with_df(df.withColumns({n: f(frame) for n, f in new.items()}).where(F.col("__to") == home).drop("__to"))
 
+    def shifted(self, **new: tuple[Column, int]) -> SeriesFrame:
+        """For each name (value, n): the value of the row n rows on, or with a negative n back. Chunks are joined by position."""
+        if not self.chunk_rows:
+            return self.add(**{name: F.lead(v, n).over(self.window()) if n >= 0 else F.lag(v, -n).over(self.window()) for name, (v, n) in new.items()})
+        s = self.positions().add(**{f"__v{i}": v for i, (v, _) in enumerate(new.values())}).cut()
+        df = s.df.drop(*[f"__v{i}" for i in range(len(new))])
+        for i, (name, (_, n)) in enumerate(new.items()):
+            far = s.df.select(F.col(s.key).alias("__k"), (F.col(RN) - n).alias("__r"), F.col(f"__v{i}").alias(name))
+            df = df.join(far, F.col(s.key).eqNullSafe(F.col("__k")) & (F.col(RN) == F.col("__r")), "left").drop("__k", "__r")
+        return s.with_df(df)
+
+    def frame_moments(self, name: str, value: Column, before: int, after: int, order: int = 0) -> SeriesFrame:
+        """Adds name, a struct for the frame from `before` rows back to `after` on, where the series has all of these: n,
+        its values, and m, for each k to the order the sum of x ** k * value, x being rows from here over the longer side.
+
+        The work for a row doesn't grow with the frame: rows are in blocks of the frame's length, so a frame is the end of
+        a block and the beginning of the next, and of both there are running sums, with x from the block's start. So
+        sums are of a frame's size, and as exact as if each frame were summed. A task holds a block's rows."""
+        size, scale = before + after + 1, float(max(before, after, 1))
+        s = self.positions()
+        at, v = F.col(RN) - 1, F.col("__v")
+        s = s.add(__v=value.cast("double"), __b=F.floor(at / size))
+        x = (at - F.col("__b") * size) / scale
+        sums = lambda w: F.struct(F.count("__v").over(w).alias("n"), F.array(*[F.coalesce(F.sum(v if not k else F.pow(x, F.lit(k)) * v).over(w), F.lit(0.0)) for k in range(order + 1)]).alias("m"))
+        up, down = (Window.partitionBy(s.key, "__b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(RN), F.desc(RN)))
+        s = s.add(__up=sums(up), __down=sums(down)).drop("__v", "__b").shifted(__e=(F.col("__up"), after), __s=(F.col("__down"), -before))
+        first = at - before  # of the frame; it is a block's first, or else the end of that block and the start of the next
+        origin = first - F.pmod(first, F.lit(size))
+        one = F.pmod(first, F.lit(size)) == 0
+
+        def from_here(m: Column, start: Column) -> list[Column]:
+            d = (start - at) / scale
+            return [sum((m[j] * (math.comb(k, j) * (F.lit(1.0) if k == j else F.pow(d, F.lit(k - j)))) for j in range(k + 1)), F.lit(0.0)) for k in range(order + 1)]
+
+        e, b = F.col("__e"), F.col("__s")
+        whole, end, start = from_here(e["m"], origin), from_here(b["m"], origin), from_here(e["m"], origin + size)
+        both = F.struct(F.when(one, e["n"]).otherwise(b["n"] + e["n"]).alias("n"), F.array(*[F.when(one, w).otherwise(x + y) for w, x, y in zip(whole, end, start)]).alias("m"))
+        return s.add(**{name: F.when(e.isNotNull() & b.isNotNull(), both)}).drop("__up", "__down", "__e", "__s")
+
     def done(self) -> SeriesFrame:
         """Without the positions."""
         return self.drop(RN, CHUNK)
