@@ -586,10 +586,10 @@ def test_lattice_recall(cosine):
 def test_licences(spark, docs, none):
     rows = [
         (1, "Some text.\nReleased under the MIT License.\nMore"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, "x. Licensed under the Apache License, Version 2.0; and"),
-        (6, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that:\nRedistributions of source code must retain the above copyright notice.\nRedistributions in binary form must reproduce the above copyright notice."),
-        (7, "Redistributions in binary form must reproduce the above copyright notice.\nRedistribution and use in source and binary forms, with or without modification, are permitted.\nRedistributions of source code must retain the above copyright notice."),
+        (6, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+        (7, "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
         (8, "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.\nlicensed under cc by 4.0"), (9, "the mit license is named in passing"), (None, "Released under the MIT License."),
-        (10, "This program is free software. " + "word. " * 9 + "either version 3 of the License, or (at your option) any later version."), (11, "This program is free software. Filler here. Either version 3 of the License, or (at your option) any later version."),
+        (10, "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation. " + "word. " * 9 + "either version 3 of the License, or (at your option) any later version."), (11, "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; filler here. Either version 3 of the License, or (at your option) any later version."),
     ]
     given = spark.createDataFrame(rows, "doc_id long, text string")
     got = licences.scan(given)
