@@ -1,7 +1,7 @@
 """Token ids in ORC files: stripes with run-length encoded integers, row indexes and Bloom filters on document ids.
 
-Documents are range-partitioned by id from a sample of ids and sorted, so the files, in order of their shard, hold
-them in ascending order; each worker tokenises its own rows and adds up where they start within the shard. Readers
+Documents are range-partitioned by id and a hash of the text, from a sample, and sorted, so the files, in order of
+their shard, hold them in ascending order, and rows of one id, or of none, may be in several shards; each worker tokenises its own rows and adds up where they start within the shard. Readers
 take stripes in parallel, skip those whose statistics or Bloom filter exclude an id, and add what the shards before
 hold: one number for each shard.
 
@@ -10,8 +10,9 @@ for a table that a Python worker keeps, bounded in bytes; letters A-Z of words w
 tokenizer's own first step has it. Both are read from the tokenizer's settings: one with other steps is given whole
 texts instead.
 
-Null texts count as empty: the end id alone. Null ids come first, equal ids in order of their texts. Repeated rows
-are written as often as they come. Texts of any length are encoded whole. An empty table gives an empty folder.
+Null texts count as empty: the end id alone. Null ids come first, rows of equal ids in order of their texts' hash.
+Repeated rows, which alone must share a shard, are written as often as they come. Texts of any length are encoded
+whole. An empty table gives an empty folder.
 """
 
 from __future__ import annotations
@@ -159,7 +160,8 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", end: int
             start += int(ends[-1])
 
     given = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), null_text(f"`{text}`").alias("body"))
-    return in_arrow(given.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "body"), work, SCHEMA)
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("body")]
+    return in_arrow(given.repartitionByRange(*order).sortWithinPartitions(*order, "body"), work, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", end: int = END, tokenizer: str | None = None) -> None:
