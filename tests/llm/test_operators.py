@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from datetime import date
 from fractions import Fraction
 
 import duckdb
@@ -561,6 +562,15 @@ def test_lattice_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_lattice_labels(spark):
+    """Labels of any type: texts, and fractions that aren't the same whole number."""
+    v = [1.0] * 16
+    for kind, some in {"string": ["a", "b", "a", None], "double": [1.2, 1.7, 1.2, None], "date": [date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 1), None]}.items():
+        near = [v, v, [*v[:-1], 1.01], v]
+        got = lattice.near_duplicates(spark, spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(near, some))], f"vec_id long, embedding array<double>, label {kind}")).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 0, 1), (2, 1, 0), (3, 0, 3)], kind
+
+
 def test_lattice_blocks(spark, monkeypatch):
     """Many small blocks and strips give what one block gives."""
     rows = [r for r in vectors() if r[2] == 7][:300]
@@ -599,12 +609,36 @@ def test_licences(spark, docs, none):
     assert licences.scan(none).count() == 0
 
 
+def signed_hash(text):
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) * (h >> 63)
+
+
+def test_token_files_of_one_id(spark):
+    """Rows of one id, and of none, are dealt over shards; starts go on from one to the next."""
+    rows = [(None, f"no id {i}") for i in range(1500)] + [(7, f"one id {i} {'word ' * (i % 9)}") for i in range(1500)] + [(9, "last")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        shards = token_files.encode(given).groupBy("doc_id").agg(F.countDistinct("shard").alias("n"), F.min("shard").alias("a"), F.max("shard").alias("b")).collect()
+        got = token_files.round_trip(spark, given).orderBy("start").collect()
+    finally:
+        spark.conf.unset(conf)
+    by = {r.doc_id: r for r in shards}
+    assert by[None].n > 1 and by[7].n > 1 and by[None].b <= by[7].a and by[7].b <= by[9].a
+    assert [r.doc_id for r in got] == [None] * 1500 + [7] * 1500 + [9]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:])) and got[0].start == 0
+
+
 def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = token_files.round_trip(spark, docs).collect()
-    rows = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1])))
     at, want = 0, []
     for i, t, *_ in rows:
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]

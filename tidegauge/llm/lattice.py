@@ -13,7 +13,8 @@ holds a large cell. Of n members each is sent n / BLOCK times, which is less wor
 Recall is tested against brute force, also in bands just above the threshold (over 0.99 at a cosine of 0.93).
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and vectors without a label, link with
-nothing, not even with equal ones; vectors of different lengths don't link. Classes have numbers of their own, so ids
+nothing, not even with equal ones; vectors of different lengths don't link. Labels are equal as their own type has it,
+be they numbers or texts. Classes have numbers of their own, so ids
 may be null or repeated: every row counts as a vector, a null id gives no component its name (one of null ids alone
 has the null one) and rows of a component's smallest id are all kept. Other columns are not passed on. Empty tables
 give empty results.
@@ -221,11 +222,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, ident: str = "vec_i
     """(vec_id, n_links, component_id, kept) for every row."""
     scratch = Scratch(spark, "lattice")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select(F.col(f"`{ident}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("embedding"))
-    usable = F.coalesce(F.col("label").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    rows = vectors.select(F.col(f"`{ident}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("given"), F.col(f"`{vector}`").cast("array<double>").alias("embedding"))
+    usable = F.coalesce(F.col("given").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    kinds = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
+    kinds = rows.where("usable").groupBy("given", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
     kinds = scratch.save(kinds.withColumn("rep", F.monotonically_increasing_id()), "kinds")  # written, so a class keeps its number
+    labels = scratch.save(kinds.select("given").distinct().withColumn("label", F.monotonically_increasing_id()), "labels")
+    kinds = kinds.join(labels, "given")
     cells_ = scratch.save(in_arrow(kinds.select("rep", "embedding", "label"), _emit, "rep long, dim int, label long, cell long, own boolean"), "cells")
     shared = cells_.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("owned and size > 1")
     shared = shared.select("label", "dim", "cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -240,7 +243,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, ident: str = "vec_i
     rooted = kinds.select("rep", "least", "many").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(named, "root").join(counts, "rep", "left").select("rep", (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
-    known = kinds.select("rep", "label", "embedding").join(known, "rep").drop("rep")
-    found = rows.where("usable").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = kinds.select("rep", "given", "embedding").join(known, "rep").drop("rep")
+    found = rows.where("usable").join(known, ["given", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
