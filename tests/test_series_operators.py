@@ -440,3 +440,23 @@ def test_null_keys_stay(spark):
     for positional in (False, True):
         got = s.daily_profile("v", ("2024/1/1", "2024/1/3"), positional=positional)
         assert got.groupBy("k").count().where("count = 24").count() == 2 and got.where("avg <> tod / 3600e6").count() == 0
+
+
+def test_axis_in_blocks(spark, monkeypatch):
+    """A spine of many steps is made in blocks; equal first times don't make a step of zero."""
+    rows = [(k, T0 + timedelta(seconds=s), i, 1.0) for k in (None, "b") for i, s in enumerate((0, 0, 10, 25))] + [("one", T0, 0, 1.0)]
+    s = OnlineSeries.wrap(spark.createDataFrame(rows, "k string, time timestamp_ntz, seq long, v double"), key="k", seq="seq")
+    plain = s.fill_index(("2024/1/2", "2024/1/3")).df.where("time >= '2024-01-02'")
+    assert plain.groupBy("k").count().where("count = 8640").count() == 2 and plain.where("k = 'one'").count() == 0
+    monkeypatch.setattr(formatting, "SPINE_ROWS", 1000)
+    cut = s.fill_index(("2024/1/2", "2024/1/3")).df.where("time >= '2024-01-02'")
+    assert cut.exceptAll(plain).count() == 0 and plain.exceptAll(cut).count() == 0
+
+
+def test_exports_of_several_series(spark, tmp_path):
+    """The key is written, and rows of equal time are in order of seq within their series."""
+    rows = [(k, T0 + timedelta(hours=h // 2), h, float(h)) for k in ("b", "a") for h in range(6)]
+    s = OnlineSeries.wrap(spark.createDataFrame(rows, "k string, time timestamp_ntz, seq long, v double").repartition(4), key="k", seq="seq")
+    s.write_series(str(tmp_path / "one"), single_file=True)
+    got = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "one")).collect()
+    assert got[0].asDict().keys() == {"k", "time", "v"} and [(r.k, float(r.v)) for r in got] == [(k, float(h)) for k in "ab" for h in range(6)]

@@ -132,11 +132,13 @@ def check_keys(profile: DataFrame, wanted: DataFrame) -> None:
         raise KeyError("the daily profile lacks times of day of the points to fill")
 
 
-def fill_standard(s: SeriesFrame, c: str, arange, profile: DataFrame | None = None, profile_range=None, only_checked: bool = True, clear: bool | str = False, require_value: bool = False, check: bool = False) -> SeriesFrame:
+def fill_standard(s: SeriesFrame, c: str, arange, profile: DataFrame | None = None, profile_range=None, only_checked: bool = True, clear: bool | str = False, require_value: bool = False, check: bool = True) -> SeriesFrame:
     """The average day: the profile's mean at the same time of day; on a numeric axis at the nearest one. profile: as
-    daily_profile() gives it, else it is made over profile_range."""
+    daily_profile() gives it, else it is made over profile_range. A given one is checked for the times of day of all points
+    to fill, which runs a job, unless check is False."""
     s = start(s, c, clear, arange)
     if profile is None:
+        check = False
         if profile_range is None:
             raise ValueError("fill_standard needs a profile or a range to make one over")
         profile = daily_profile(s, c, profile_range)

@@ -72,22 +72,34 @@ def relative_time(s: SeriesFrame, unit: str = "d", decimals: int = 5, inplace: b
     return replace(s, df=df.withColumnRenamed("time_rel", s.time), time_unit=unit)
 
 
+#: Steps of a regular axis that one row makes, at most.
+SPINE_ROWS = 10_000
+
+
+def _steps(ends: DataFrame, n: Column) -> DataFrame:
+    """ends with a row for each of n steps (__i from 0), made in blocks that are dealt over tasks."""
+    blocks = ends.withColumn("__n", n.cast("long")).where("__n > 0").withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / SPINE_ROWS))))
+    first = F.col("__b") * SPINE_ROWS
+    return blocks.repartition("__k", "__b").withColumn("__i", F.explode(F.sequence(first, F.least(first + SPINE_ROWS, F.col("__n")) - 1))).drop("__b", "__n")
+
+
 def fill_index(s: SeriesFrame, arange, keep_existing: bool = False) -> SeriesFrame:
-    """A regular axis on [lo, hi) with the step between the first two rows; on a numeric axis the range over the
-    rows of its first unit. Rows inside lose their values unless keep_existing; the row at hi itself goes too."""
+    """A regular axis on [lo, hi) with the step from the first time to the next one; on a numeric axis the range over the
+    rows of its first unit. Rows inside lose their values unless keep_existing; the row at hi itself goes too. A series of
+    one moment has no step, and no rows in the range then."""
     from ..functions.ranges import _bound, _literal
 
     lo, hi = (_literal(s, _bound(b, s.is_datetime, False)[0]) for b in arange)
-    t, ranked = F.col(s.time), s.positions()
+    t = F.col(s.time)
+    first = s.df.groupBy(F.col(s.key).alias("__k")).agg(F.min(s.time).alias("__t0"))
+    joined = s.df.select(s.key, s.time).join(first, F.col(s.key).eqNullSafe(F.col("__k")))
     if s.is_datetime:
-        step = ranked.df.groupBy(F.col(s.key).alias("__k")).agg((F.max(F.when(F.col(RN) == 2, s.micros())) - F.max(F.when(F.col(RN) == 1, s.micros()))).alias("__step"))
+        step = joined.where(t > F.col("__t0")).groupBy("__k").agg((F.min(s.micros()) - F.min(s.micros(F.col("__t0")))).alias("__step"))
         lo_n, hi_n = (F.unix_micros(x.cast("timestamp")) for x in (lo, hi))
-        spine = step.withColumn("__at", F.explode(F.sequence(lo_n, hi_n - 1, F.col("__step")))).select("__k", F.timestamp_micros("__at").cast(s.df.schema[s.time].dataType).alias("__t"))
+        spine = _steps(step, F.ceil((hi_n - lo_n) / F.col("__step"))).select("__k", F.timestamp_micros(lo_n + F.col("__i") * F.col("__step")).cast(s.df.schema[s.time].dataType).alias("__t"))
     else:
-        first = ranked.df.groupBy(s.key).agg(F.min(s.time).alias("__t0")).withColumnRenamed(s.key, "__k")
-        n = s.df.join(first, F.col(s.key).eqNullSafe(F.col("__k"))).where(t < F.col("__t0") + 1).groupBy("__k").agg(F.count("*").alias("__n"))
-        step = n.withColumn("__step", (hi - lo) / F.col("__n"))
-        spine = step.withColumn("__i", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int")))).select("__k", (lo + F.col("__i") * F.col("__step")).alias("__t"))
+        n = joined.where(t < F.col("__t0") + 1).groupBy("__k").agg(F.count("*").alias("__rows"))
+        spine = _steps(n, F.col("__rows")).select("__k", (lo + F.col("__i") * ((hi - lo) / F.col("__rows"))).alias("__t"))
     outer = s.df.where((t < lo) | (t > hi))
     names = [c for c in s.df.columns if c not in (s.key, s.time)]
     if keep_existing:

@@ -54,7 +54,8 @@ class SeriesFrame:
     time: a timestamp_ntz, timestamp or numeric column. key: what tells series apart; without one all rows are a
     single series. seq: order of rows of equal time; without one a hash of the row. chunk_rows: None for series that
     fit a task each. advised: fillers have said that small gaps come first. rain_checks: fillers look whether the
-    range has more than one high, if highs were flagged; that runs a job each time.
+    range has more than one high, if highs were flagged; that runs a job each time. single: the key is wrap()'s own, as all
+    rows are one series.
     """
 
     df: DataFrame
@@ -68,6 +69,7 @@ class SeriesFrame:
     units: dict = field(default_factory=dict)
     advised: bool = False
     rain_checks: bool = True
+    single: bool = False
 
     @classmethod
     def wrap(cls, df: DataFrame, time: str = "time", key: str | None = None, seq: str | None = None, chunk_rows: int | str | None = "auto", **meta) -> SeriesFrame:
@@ -80,13 +82,14 @@ class SeriesFrame:
         if clash:
             raise ValueError(f"these names are kept for tags and fills: {clash}")
         out = df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
-        if key is None and KEY not in df.columns:
+        single = key is None and KEY not in df.columns
+        if single:
             out = out.withColumn(KEY, F.lit(0))
         if seq is None and SEQ not in df.columns:
             out = out.withColumn(SEQ, F.xxhash64(*df.columns))
         if chunk_rows == "auto":
             chunk_rows = AUTO_ROWS if input_bytes(df) > AUTO_BYTES else None
-        return cls(out, time, key or KEY, seq or SEQ, chunk_rows, **meta)
+        return cls(out, time, key or KEY, seq or SEQ, chunk_rows, single=single, **meta)
 
     # -- small helpers
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import warnings
 from collections.abc import Callable
 
@@ -728,9 +729,12 @@ def timedelta_units(spark, sf):
     return ev.select("event_id", *[timeconv.elapsed(micros, u).alias(u) for u in ("sec", "min", "hr", "d")], timeconv.total_seconds(micros).alias("total"))
 
 
-@query("SELECT i AS n, month(DATE '2023-01-01' + i::INT)::INT AS month, day(DATE '2023-01-01' + i::INT)::INT AS day FROM range(365) AS r(i)")
+@query("SELECT DISTINCT dayofyear(o_orderdate)::BIGINT - 1 AS n, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS day FROM orders WHERE year(o_orderdate) = 1995")
 def month_days(spark, sf):
-    return timeconv.month_days(spark)
+    """The days of the year that orders were made on, 1995 being a common year."""
+    days = timeconv.month_days(spark)
+    made = _table(spark, sf, "orders").where(F.year("o_orderdate") == 1995).select((F.dayofyear("o_orderdate") - 1).cast("long").alias("n")).distinct()
+    return days.join(made, "n")
 
 
 @query("SELECT event_id, date_trunc('minute', ts) AS t FROM events")
@@ -825,6 +829,54 @@ def export_all(spark, sf):
     return sinks.written(hourly(spark, sf).tag_nan("click"), "all")
 
 
+@query(f"WITH {EV} SELECT series_key, time, CASE WHEN v >= 1.5 THEN v END AS v FROM ev")
+def export_series(spark, sf):
+    """Several series: the key is written beside the time."""
+    return sinks.written(events(spark, sf).tag_extremes("v", limit=1.5), "filtered")
+
+
+@query(f"WITH {EV} SELECT 'extremes: ' || count(*) || ' rows before, ' || count(*) FILTER (v >= 1.5) || ' after, ' || count(*) FILTER (v < 1.5) || ' removed' AS line FROM ev WHERE v IS NOT NULL")
+def log_removed(spark, sf):
+    """The line that a log on the driver gets."""
+    s = events(spark, sf)
+    s = s.where(F.col("v").isNotNull()).tag_extremes("v", limit=1.5)
+    n = s.df.agg(F.count("*").alias("before"), F.count_if(F.col(valid("v")) == "original").alias("after")).first()
+    with tempfile.NamedTemporaryFile("r", encoding="utf-8") as log:
+        sinks.log_removed(log.name, n.before, n.after, "extremes")
+        return spark.createDataFrame([(line.rstrip("\n"),) for line in log], "line string")
+
+
+@query(f"WITH {EV} SELECT series_key, 'plant 7' AS tag, 'min' AS time_unit, 'm3/h' AS unit, count(*) AS n FROM ev GROUP BY ALL")
+def set_metadata(spark, sf):
+    """Tag and units go with the series through its operators."""
+    s = events(spark, sf).set_tag("plant 7").set_time_unit("min").set_units({"v": "m3/h"}).tag_nan("v").drop_duplicates()
+    return s.df.groupBy("series_key").agg(F.count("*").alias("n")).select("series_key", F.lit(s.tag).alias("tag"), F.lit(s.time_unit).alias("time_unit"), F.lit(s.units["v"]).alias("unit"), "n")
+
+
+@query(f"WITH {HOURLY} SELECT count(*) FILTER (click IS NULL) AS missing, 1 AS warnings FROM hourly")
+def filling_warning(spark, sf):
+    """Two fillers of a series, one piece of advice."""
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        s = hourly(spark, sf).tag_nan("click")
+        s.fill_interpolation("click", 4, RANGE).fill_ratio("click", "view", 1.0, RANGE)
+    return s.df.agg(F.count_if(F.col("click").isNull()).alias("missing")).withColumn("warnings", F.lit(sum("small gaps" in str(w.message) for w in said)))
+
+
+@query(f"WITH {HOURLY} SELECT hour(time)::INT AS hour, true AS refused FROM hourly WHERE hour(time) < 3 GROUP BY ALL")
+def check_daily_profile(spark, sf):
+    """A profile that lacks an hour of the points to fill is refused."""
+    s, out = hourly(spark, sf).tag_nan("click"), []
+    profile = s.daily_profile("click", RANGE)
+    for hour in range(3):
+        try:
+            s.fill_standard("click", RANGE, profile.where(F.col("tod") != hour * 3_600_000_000), only_checked=False)
+            out.append((hour, False))
+        except KeyError:
+            out.append((hour, True))
+    return spark.createDataFrame(out, "hour int, refused boolean")
+
+
 @query(f"WITH {HOURLY} SELECT time, round(CASE WHEN click <= 60 THEN click END, 9) AS click FROM hourly")
 def export_filled(spark, sf):
     return sinks.written(hourly(spark, sf).tag_extremes("click", limit=60, method="above").add_filled("click"), "filled").select("time", F.round("click", 9).alias("click"))

@@ -9,19 +9,22 @@ from ..plans.series import ORIGINAL, SeriesFrame, filled, valid
 
 
 def written(s: SeriesFrame, method: str = "all") -> DataFrame:
-    """What write_series() writes: all data, `filtered` data (only original points keep their value) or filled values."""
+    """What write_series() writes: all data, `filtered` data (only original points keep their value) or filled values, with
+    the key if there is one."""
     if method not in ("all", "filtered", "filled"):
         raise ValueError(f"method is all, filtered or filled, not {method!r}")
+    axis = [s.time] if s.single else [s.key, s.time]
     if method == "filled":
-        return s.df.select(s.time, *[F.col(filled(c)).alias(c) for c in s.columns if filled(c) in s.df.columns])
+        return s.df.select(*axis, *[F.col(filled(c)).alias(c) for c in s.columns if filled(c) in s.df.columns])
     keep = lambda c: F.when(F.col(valid(c)) == ORIGINAL, F.col(c)).alias(c) if method == "filtered" and valid(c) in s.df.columns else F.col(c)
-    return s.df.select(s.time, *map(keep, s.columns))
+    return s.df.select(*axis, *map(keep, s.columns))
 
 
 def write_series(s: SeriesFrame, path: str, method: str = "all", single_file: bool = False) -> None:
-    """Tab-separated, in order of time over the part files, or in a single one (small exports only)."""
-    df = written(s, method)
-    df = df.coalesce(1).sortWithinPartitions(s.time) if single_file else df.orderBy(s.time)
+    """Tab-separated, by series and in order of time over the part files, or in a single one (small exports only)."""
+    order = [s.key, s.time, s.seq]
+    df = s.df.coalesce(1).sortWithinPartitions(*order) if single_file else s.df.orderBy(*order)
+    df = written(s.with_df(df), method)
     df.write.option("sep", "\t").option("header", True).csv(path)
 
 
@@ -34,15 +37,15 @@ def to_west(s: SeriesFrame, names: dict[str, tuple[str, str]], time: str | None
 
 
 def west_lines(s: SeriesFrame, units: list[str], columns: list[str] | None = None, fillna: bool = True) -> DataFrame:
-    """(ord, time, value): the lines of a simulation input file. The first is the header with #.t for the time (ord 0),
+    """(ord, time, seq, value): the lines of a simulation input file. The first is the header with #.t for the time (ord 0),
     the second has the units (1), then the data follow (2)."""
     columns = columns or s.columns
     if len(units) != len(columns):
         raise ValueError("as many units as columns are needed")
     value = lambda c: F.coalesce(F.col(c), F.lit(0)) if fillna else F.col(c)
-    body = s.df.select(F.lit(2).alias("ord"), F.col(s.time).alias("time"), F.concat_ws("\t", F.col(s.time).cast("string"), *[F.coalesce(value(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    body = s.df.select(F.lit(2).alias("ord"), F.col(s.time).alias("time"), F.col(s.seq).alias("seq"), F.concat_ws("\t", F.col(s.time).cast("string"), *[F.coalesce(value(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
     lines = ["\t".join(["#.t", *columns]), "\t".join(["#d", *units])]
-    top = s.df.sparkSession.createDataFrame(list(enumerate(lines)), "ord int, value string").select("ord", F.lit(None).cast(s.df.schema[s.time].dataType).alias("time"), "value")
+    top = s.df.sparkSession.createDataFrame(list(enumerate(lines)), "ord int, value string").select("ord", F.lit(None).cast(s.df.schema[s.time].dataType).alias("time"), F.lit(None).cast(s.df.schema[s.seq].dataType).alias("seq"), "value")
     return top.unionByName(body)
 
 
@@ -50,7 +53,7 @@ def write_west(s: SeriesFrame, path: str, units: list[str], columns: list[str] |
     """Text whose first line is the header and whose second line has the units, in order of time over the part files,
     or in a single one (small exports only)."""
     lines = west_lines(s, units, columns, fillna)
-    lines = lines.coalesce(1).sortWithinPartitions("ord", "time") if single_file else lines.orderBy("ord", "time")
+    lines = lines.coalesce(1).sortWithinPartitions("ord", "time", "seq") if single_file else lines.orderBy("ord", "time", "seq")
     lines.select("value").write.text(path)
 
 
