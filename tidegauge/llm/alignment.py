@@ -42,6 +42,8 @@ from .pieces import MARK, marked
 TABLE_BYTES, ENTRY, WIDTH = 96 << 20, 330, 10
 #: Texts whose new segments are tokenised in one call, segments that are composed at once, and pairs of a block, about.
 GROUP, COMPOSED, BLOCK = 64, 400_000, 4_000_000
+#: Segments tokenised in one line.
+LINE = 300
 #: Whitespace that a cut may come before, if the vocabularies allow it.
 BREAKS = " \n"
 
@@ -71,6 +73,8 @@ class Aligner:
         self.bytes_a = [bytes(values[c] for c in entries.get(i, "")) for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.word = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.mark = self.b.piece_to_id(MARK)
         self.breaks = self._breaks(path_a, path_b, pieces)
         self.odd = re.compile(rf"[^\S{self.breaks}]|[\u180e\u200b\ufeff]")  # whitespace, by some definition, that is no break
@@ -116,35 +120,53 @@ class Aligner:
         return zip(new, a, (y if s[0] == " " else y[1:] if y[:1] == [self.mark] else [] for s, y in zip(new, b)))
 
     def learn(self, new: list[str]) -> None:
-        for s, a, b in self._tokens(new):
-            whole, at = s.encode(), len(self.at)
-            self.at[s] = at
-            if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                self.off.add(at)
+        """Segments that end in a visible character are tokenised in lines of many, which are cut where segments end."""
+        whole = [s[0] in self.breaks and not s[-1].isspace() and not self.odd.match(s[-1]) for s in new]
+        lines, rest = [s for s, x in zip(new, whole) if x], [s for s, x in zip(new, whole) if not x]
+        lines.sort(key=lambda s: s[0] != " ")  # B puts a space before a line
+        for at in range(0, len(lines), LINE):
+            if not self._line(some := lines[at : at + LINE]):
+                rest += some
+        for s, a, b in self._tokens(rest):
+            given = s.encode()
+            if b"".join(map(self.bytes_a.__getitem__, a)) != given or b"".join(map(self.bytes_b.__getitem__, b)) != given:
+                self.off.add(len(self.at))
                 a, b = [], []
-            groups, links = self._align(a, b)
-            text = ";".join(groups).encode()
-            for kept, n in zip(self.numbers, (len(a), len(b), len(groups), len(links))):
-                kept.append(n)
-            self.groups.append(text)
-            self.links.extend(links)
-            self.ends.append(len(self.links))
+            self._keep([s], np.array(a, np.int64), np.array(b, np.int64), [len(given)] if a else [0])
+
+    def _line(self, some: list[str]) -> bool:
+        """False if the line's tokens don't give its bytes, or don't end where its segments do."""
+        whole, raw = "".join(some), [s.encode() for s in some]
+        if whole[0] != " ":
+            return False
+        a, b = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode(whole[1:], num_threads=1)
+        given = b"".join(raw)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != given or b"".join(map(self.bytes_b.__getitem__, b)) != given:
+            return False
+        return self._keep(some, np.array(a, np.int64), np.array(b, np.int64), list(map(len, raw)))
+
+    def _keep(self, some: list[str], a: np.ndarray, b: np.ndarray, sizes: list[int]) -> bool:
+        """Puts segments, whose tokens follow each other, into the table. Every stretch of bytes between two ends of tokens,
+        of A or of B, is common to one token of each: a link."""
+        ends_a, ends_b, ends = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), np.cumsum(sizes)
+        common, every = np.intersect1d(ends_a, ends_b), np.union1d(ends_a, ends_b)
+        if len(a) and not np.isin(ends, common).all():
+            return False
+        links = a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)] if len(a) else np.empty(0, np.int64)
+        upto = [np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, common, every)]
+        for kept, n in zip(self.numbers, upto):
+            kept.extend(np.diff(n, prepend=0).tolist())
+        self.ends.extend((len(self.links) + upto[3]).tolist())
+        self.links.frombytes(links.astype(np.int64).tobytes())
+        words_a, words_b = list(map(self.word.__getitem__, a.tolist())), list(map(self.word.__getitem__, b.tolist()))
+        cut_a, cut_b = ([0, *np.searchsorted(x, common, "right").tolist()] for x in (ends_a, ends_b))
+        groups = [",".join(words_a[i:j]) + "|" + ",".join(words_b[k:n]) for i, j, k, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        cut = [0, *upto[2].tolist()]
+        for n, s in enumerate(some):
+            self.at[s] = len(self.at)
+            self.groups.append(";".join(groups[cut[n] : cut[n + 1]]).encode())
             self.held += ENTRY + WIDTH * len(s)
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
-        """Groups as text, and links as A id << 32 | B id."""
-        groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
-        end_a = end_b = 0
-        while i < len(a):
-            end_a, end_b = end_a or len(self.bytes_a[a[i]]), end_b or len(self.bytes_b[b[j]])
-            links.append(a[i] << 32 | b[j])
-            step = min(end_a, end_b)
-            end_a, end_b = end_a - step, end_b - step
-            i, j = i + (not end_a), j + (not end_b)
-            if not end_a and not end_b:
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                i0, j0 = i, j
-        return groups, links
+        return True
 
     def places(self, texts: list[str | None]) -> list[list[int]]:
         """For each text the table's numbers of its segments; none if it has no tokens."""
