@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import random
+import zipfile
+from datetime import datetime
 
 import pytest
 
@@ -91,6 +94,43 @@ def test_records_over_splits(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want * 2, key=str)
 
 
+def workbook(sheets: dict[str, list[str]], strings=(), formats=(), extra="") -> bytes:
+    """A workbook by hand: sheets' rows are given as XML."""
+    main, out = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", io.BytesIO()
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}">{extra}<sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(rows)}</sheetData></worksheet>')
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si>{s}</si>" for s in strings)}</sst>')
+        if formats:
+            own = "".join(f'<numFmt numFmtId="{200 + i}" formatCode="{f}"/>' for i, f in enumerate(formats))
+            xfs = '<xf numFmtId="0"/><xf numFmtId="14"/>' + "".join(f'<xf numFmtId="{200 + i}"/>' for i in range(len(formats)))
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts>{own}</numFmts><cellXfs>{xfs}</cellXfs></styleSheet>')
+    return out.getvalue()
+
+
+def test_excel(spark, tmp_path):
+    """Shared and inline texts, gaps, truth values, errors, dates by format, sheets by place and name, several files."""
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>flow</t></is></c><c r="D1" t="s"><v>1</v></c></row>'
+    rows = [head, '<row r="2"><c r="A2" s="1"><v>45292.5</v></c><c r="B2"><v>1.5</v></c><c r="C2" t="b"><v>1</v></c><c r="D2" t="s"><v>2</v></c></row>', '<row r="3"/>', '<row r="5"><c r="B5" t="e"><v>#N/A</v></c><c r="D5" s="2"><v>0.25</v></c><c r="E5"><v>9</v></c></row>', '<row><c s="3"><v>7</v></c></row>']
+    strings = ["<t>Time</t>", "<t>flow</t>", "<r><t>two </t></r><r><t>runs</t></r><rPh><t>x</t></rPh>"]
+    (tmp_path / "a.xlsx").write_bytes(workbook({"one": rows, "other": ["<row><c><v>1</v></c></row>", "<row><c><v>2</v></c></row>"]}, strings, ["hh:mm", "0.0 &quot;days&quot;"]))
+    got = sources.read_excel(spark, str(tmp_path / "a.xlsx"))
+    assert got.columns == ["Time", "flow1", "_c2", "flow3"]
+    assert [tuple(r) for r in got.collect()] == [("2024-01-01 12:00:00", "1.5", "TRUE", "two runs"), (None, None, None, "1899-12-30 06:00:00"), ("7", None, None, None)]
+    assert sources.read_excel(spark, str(tmp_path / "a.xlsx"), "other").collect() == [("2",)]
+    (tmp_path / "b.xlsx").write_bytes(workbook({"s": [head, '<row r="2"><c r="A2" s="1"><v>0</v></c><c r="B2"><v>4</v></c></row>']}, strings, ["x"], '<workbookPr date1904="1"/>'))
+    both = sources.read_excel(spark, [str(tmp_path / n) for n in ("b.xlsx", "a.xlsx")], schema="t timestamp_ntz, f double")
+    assert both.where("f = 4").first().t == datetime(1904, 1, 1) and both.count() == 4
+    with pytest.raises(NotImplementedError):
+        sources.read_excel(spark, str(tmp_path / "a.xls"))
+
+
 def test_ends_inside():
     assert not readers.ends_inside('a,"b",c', ",") and readers.ends_inside('a,"b', ",") and not readers.ends_inside('a,b"c', ",")
     assert readers.ends_inside('"a""', ",") and not readers.ends_inside('"a"b"', ",") and not readers.ends_inside('x",y', ",", True) and readers.ends_inside('x","y', ",", True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import warnings
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from .operators import formatting, report, smoothing, stats
 from .operators.reliability import check_filling_error, filling_error
 from .plans.scratch import Scratch
 from .plans.series import SeriesFrame, filled, fillmeta, valid
-from .sources import sinks
+from .sources import excel, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -779,6 +781,27 @@ def read_csv_quoted(spark, sf):
     return sources.read_text(spark, path, "csv")
 
 
+def _books(pdf):
+    """A workbook of the customers of a nation, as bytes."""
+    out, main = io.BytesIO(), "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cell = lambda x: f"<c><v>{x}</v></c>" if isinstance(x, (int, float)) else f'<c t="inlineStr"><is><t>{x}</t></is></c>'
+    lines = [("c_custkey", "c_name", "c_acctbal"), *zip(pdf["c_custkey"].tolist(), pdf["c_name"], pdf["c_acctbal"].tolist())]
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/a.xml"/></Relationships>')
+        z.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(f"<row>{"".join(map(cell, x))}</row>" for x in lines)}</sheetData></worksheet>')
+    return type(pdf)({"path": [str(pdf["c_nationkey"].iloc[0])], "content": [out.getvalue()]})
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def read_workbooks(spark, sf):
+    """The customers of each nation in a workbook, made by tasks and read by tasks."""
+    made = _table(spark, sf, "customer").groupBy("c_nationkey").applyInPandas(_books, "path string, content binary")
+    kinds = {f.name: f.dataType.simpleString() for f in _table(spark, sf, "customer").schema}
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    return excel.table(made, names, schema=", ".join(f"{n} {kinds[n]}" for n in names))
+
+
 @query("SELECT n_regionkey, 1 AS files, count(*)::INT AS header FROM nation GROUP BY ALL")
 def files_of_a_kind(spark, sf):
     """A folder for each region, with a file that has a comment line for each nation and then one more line."""

@@ -1,4 +1,4 @@
-"""Text, CSV and (if an engine is installed) Excel sources. Paths go through Spark's file systems."""
+"""Text and CSV sources. Paths go through Spark's file systems."""
 
 from __future__ import annotations
 
@@ -213,7 +213,7 @@ def _read(spark: SparkSession, paths: str | list[str], ext: str, sep: str, comme
     sep = "\t" if ext in ("text", "zrx") else sep
     lead, line = _top(spark, some[0], comment[:1], encoding, sep)
     first = next(csv.reader((line or "").splitlines(keepends=True), delimiter=sep), [""])
-    names = _unlike([n or f"_c{i}" for i, n in enumerate(first)] if header else [f"_c{i}" for i in range(len(first))])
+    names = unlike([n or f"_c{i}" for i, n in enumerate(first)] if header else [f"_c{i}" for i in range(len(first))])
     fields = StructType([StructField(n, StringType()) for n in (*names, "__more")])
     options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "maxCharsPerColumn": "-1"}
     if re.match(r"utf[-_]?(16|32)", encoding.lower()):
@@ -233,22 +233,12 @@ def _typed(df: DataFrame, schema: str | None) -> DataFrame:
     return df if not schema else df.select(*[F.col(f"`{have}`").try_cast(f.dataType).alias(f.name) for have, f in zip(df.columns, StructType.fromDDL(schema))])
 
 
-def _unlike(names: list[str]) -> list[str]:
+def unlike(names: list[str]) -> list[str]:
     """Names that stand twice get their place after them, as do those that differ in case alone."""
     low = [n.lower() for n in names]
     return [n if low.count(x) == 1 else f"{n}{i}" for i, (n, x) in enumerate(zip(names, low))]
 
 
-def read_excel(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The first sheet, read on the driver by pandas; needs openpyxl or xlrd."""
-    import pandas as pd
-
-    try:
-        return spark.createDataFrame(pd.read_excel(path, **options))
-    except ImportError as e:
-        raise NotImplementedError("no engine for Excel files is installed (openpyxl or xlrd)") from e
-
-
 def read_mat(spark: SparkSession, path: str) -> DataFrame:
     raise NotImplementedError("MATLAB files are not supported")
 
