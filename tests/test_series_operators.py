@@ -460,3 +460,25 @@ def test_exports_of_several_series(spark, tmp_path):
     s.write_series(str(tmp_path / "one"), single_file=True)
     got = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "one")).collect()
     assert got[0].asDict().keys() == {"k", "time", "v"} and [(r.k, float(r.v)) for r in got] == [(k, float(h)) for k in "ab" for h in range(6)]
+
+
+def test_group_quantiles(spark):
+    """Exact in groups of any size: one value, ties, a group that is much larger than the sketch is exact for."""
+    rng = random.Random(6)
+    groups = {(None, 1): [3.0], ("a", 1): [1.0, 2.0], ("a", 2): [5.0] * 700 + [6.0] * 800, ("a", None): [rng.gauss(0, 9) for _ in range(20_000)], ("b", 1): [float(rng.randrange(30)) for _ in range(5_000)], ("c", 1): [rng.random() for _ in range(1_001)]}
+    rows = [(*k, v) for k, some in groups.items() for v in some] + [("a", 1, None), ("d", 1, None)]
+    table = spark.createDataFrame(rows, "k string, n int, v double").repartition(5)
+    ps = {"low": 0.1, "mid": 0.5, "high": 0.9, "all": 1.0, "least": 0.0}
+    got = {(r.k, r.n): r for r in stats.group_quantiles(table, ["k", "n"], "v", ps).collect()}
+    assert got.keys() == groups.keys()
+    for k, some in groups.items():
+        assert [got[k][name] for name in ps] == pytest.approx([float(np.quantile(some, p)) for p in ps.values()], rel=1e-12)
+
+
+def test_profile_of_chunks(spark):
+    """With chunks, quantiles come from brackets; the profile is the same."""
+    rng = random.Random(2)
+    values = [rng.choice([None, rng.random() * 9]) if i % 5 == 0 else rng.random() for i in range(288 * 12)]
+    plain, cut = (series(spark, values, chunk_rows=n, partitions=3).daily_profile("v", ("2024/1/1", "2024/1/12")).orderBy("tod").collect() for n in (None, 500))
+    assert len(plain) == 288 and [tuple(r)[1] for r in plain] == [tuple(r)[1] for r in cut]
+    assert np.allclose([tuple(r)[2:] for r in plain], [tuple(r)[2:] for r in cut])
