@@ -482,3 +482,21 @@ def test_profile_of_chunks(spark):
     plain, cut = (series(spark, values, chunk_rows=n, partitions=3).daily_profile("v", ("2024/1/1", "2024/1/12")).orderBy("tod").collect() for n in (None, 500))
     assert len(plain) == 288 and [tuple(r)[1] for r in plain] == [tuple(r)[1] for r in cut]
     assert np.allclose([tuple(r)[2:] for r in plain], [tuple(r)[2:] for r in cut])
+
+
+def test_nearest_in_ranges(spark):
+    """With chunks, a day with all rows is dealt over ranges; null keys stay, and nothing changes."""
+    rng = random.Random(12)
+    rows = [(k, T0 + timedelta(seconds=rng.randrange(3_000)), i, rng.choice([None, 1.0])) for i in range(300) for k in (None, "b")]
+    frame = spark.createDataFrame(rows, "k string, time timestamp_ntz, seq long, v double").repartition(4)
+    model = spark.createDataFrame([(T0 + timedelta(seconds=17 * i), float(i)) for i in range(150)], "time timestamp_ntz, value double")
+    plain, cut = (OnlineSeries.wrap(frame, key="k", seq="seq", chunk_rows=n).tag_nan("v").fill_model("v", model, ("2024/1/1", "2024/1/2")) for n in (None, 40))
+    get = lambda s: sorted(map(str, s.df.select("k", "time", "seq", filled("v"), fillmeta("v")).collect()))
+    assert len(get(cut)) == 600 and get(plain) == get(cut)
+    profile = spark.createDataFrame([(k, i / 10, float(i)) for k in (None, "b") for i in range(10)], "k string, tod double, avg double")
+    numbers = spark.createDataFrame([(k, i / 7, i, None if i % 3 else 1.0) for k in (None, "b") for i in range(70)], "k string, t double, seq long, v double")
+    plain, cut = (OnlineSeries.wrap(numbers, time="t", key="k", seq="seq", chunk_rows=n).tag_nan("v").fill_standard("v", (0, 9), profile) for n in (None, 20))
+    get = lambda s: sorted(map(str, s.df.select("k", "t", filled("v"), fillmeta("v")).collect()))
+    assert len(get(cut)) == 140 and get(plain) == get(cut)
+    counts = [sum(f"k={k}" in x and "average_profile" in x for x in get(cut)) for k in ("None", "'b'")]
+    assert counts[0] == counts[1] > 30

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import in_range, lower
 from ..functions.timeconv import per_unit
+from ..plans.scratch import Scratch
 from ..plans.series import FILTERED, ORIGINAL, RN, SeriesFrame, filled, fillmeta, valid
 from .stats import correlation, daily_profile, runs, tod
 from .tagging import add_valid, sure
@@ -159,8 +160,8 @@ def fill_standard(s: SeriesFrame, c: str, arange, profile: DataFrame | None = No
 def nearest(s: SeriesFrame, other: DataFrame, at: Column, other_key: str | None, other_at: str, value: str, width: float) -> SeriesFrame:
     """Adds to each row the value of the other table's row (of its series, or of all) nearest to `at`; of two equally
     near ones the earlier. Both tables are sorted together once and each row looks back and ahead. If the other table
-    is for all series, or with chunk_rows, rows are dealt over slices of `width` (a day or a unit in the axis' units),
-    each of which is told the neighbours that lie before and after it."""
+    is for all series, rows are dealt over slices of `width` (a day or a unit in the axis' units), with chunk_rows over
+    ranges of series and time; each slice is told the neighbours that lie before and after it."""
     names = s.df.columns
     row = F.struct(*[F.col(f"`{n}`") for n in names])
     left = s.df.select((F.col(s.key) if other_key else F.lit(0)).alias("k"), at.cast("double").alias("at"), F.lit(1).alias("side"), row.alias("row"), F.lit(None).cast("double").alias("v"))
@@ -170,13 +171,17 @@ def nearest(s: SeriesFrame, other: DataFrame, at: Column, other_key: str | None,
     both = left.unionByName(right)
     point = F.when(F.col("side") == 0, F.struct("at", "v"))
     if s.chunk_rows or not other_key:
-        # slices by a sample of time would move with the data; whole days (units) don't
-        both = both.withColumn("slice", F.floor(F.col("at") / width))
-        ends = both.where("side = 0").groupBy("k", "slice").agg(F.max(F.struct("at", "v")).alias("hi"), F.min(F.struct("at", "v")).alias("lo"))
-        ends = both.select("k", "slice").distinct().join(ends, ["k", "slice"], "left")
-        w = Window.partitionBy("k").orderBy("slice")
-        ends = ends.select("k", "slice", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("far_p"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("far_f"))
-        both, part = both.join(ends, ["k", "slice"]), ["k", "slice"]
+        if s.chunk_rows:  # ranges of (series, time) by a sample, written so that they stay as they are
+            scratch = Scratch(s.df.sparkSession, "nearest")
+            rows = scratch.save(both, "rows")
+            both = scratch.save(rows.repartitionByRange("k", "at", "side").withColumn("slice", F.spark_partition_id()), "dealt")
+            scratch.drop("rows")
+        else:
+            both = both.withColumn("slice", F.coalesce(F.floor(F.col("at") / width), F.lit(0)))
+        ends = both.groupBy(F.col("k").alias("__k"), F.col("slice").alias("__s")).agg(F.max(F.when(F.col("side") == 0, F.struct("at", "v"))).alias("hi"), F.min(F.when(F.col("side") == 0, F.struct("at", "v"))).alias("lo"))
+        w = Window.partitionBy("__k").orderBy("__s")
+        ends = ends.select("__k", "__s", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("far_p"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("far_f"))
+        both, part = both.join(ends, F.col("k").eqNullSafe(F.col("__k")) & (F.col("slice") == F.col("__s"))), ["k", "slice"]
     else:
         both, part = both.withColumns({"far_p": F.lit(None).cast("struct<at: double, v: double>"), "far_f": F.lit(None).cast("struct<at: double, v: double>")}), ["k"]
     back = Window.partitionBy(*part).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
@@ -184,7 +189,7 @@ def nearest(s: SeriesFrame, other: DataFrame, at: Column, other_key: str | None,
     both = both.withColumns({"p": F.coalesce(F.last(point, True).over(back), "far_p"), "f": F.coalesce(F.first(point, True).over(ahead), "far_f")}).where("side = 1")
     p, f = F.col("p"), F.col("f")
     near = F.when(f.isNull() | (F.col("at") - p["at"] <= f["at"] - F.col("at")), p["v"]).otherwise(f["v"])
-    return s.with_df(both.select("row.*", F.when(p.isNull(), f["v"]).otherwise(near).alias(value)))
+    return s.with_df(both.select("row.*", F.when(F.col("at").isNull(), F.lit(None)).when(p.isNull(), f["v"]).otherwise(near).alias(value)))
 
 
 def fill_model(s: SeriesFrame, c: str, model: DataFrame, arange, model_time: str = "time", model_value: str = "value", only_checked: bool = True, unit: str = "d", clear: bool | str = False, require_value: bool = False) -> SeriesFrame:
