@@ -123,7 +123,6 @@ class Aligner:
         """Segments that end in a visible character are tokenised in lines of many, which are cut where segments end."""
         whole = [s[0] in self.breaks and not s[-1].isspace() and not self.odd.match(s[-1]) for s in new]
         lines, rest = [s for s, x in zip(new, whole) if x], [s for s, x in zip(new, whole) if not x]
-        lines.sort(key=lambda s: s[0] != " ")  # B puts a space before a line
         for at in range(0, len(lines), LINE):
             if not self._line(some := lines[at : at + LINE]):
                 rest += some
@@ -137,9 +136,7 @@ class Aligner:
     def _line(self, some: list[str]) -> bool:
         """False if the line's tokens don't give its bytes, or don't end where its segments do."""
         whole, raw = "".join(some), [s.encode() for s in some]
-        if whole[0] != " ":
-            return False
-        a, b = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode(whole[1:], num_threads=1)
+        [(_, a, b)] = self._tokens([whole])
         given = b"".join(raw)
         if b"".join(map(self.bytes_a.__getitem__, a)) != given or b"".join(map(self.bytes_b.__getitem__, b)) != given:
             return False
