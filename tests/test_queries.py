@@ -39,3 +39,15 @@ def test_entry(spark):
 def test_random_gaps_are_repeatable(spark):
     a, b = (QUERIES["filling_error_random"](spark, SF).first() for _ in range(2))
     assert a == b and a.column == "click" and a.imputation_error_pct > 0
+
+
+def test_metadata_of_repeated_times(spark, duck, tmp_path):
+    """Larger tables have several events of a kind at one time: all of them count."""
+    spark.read.parquet(f"{SF}/events.parquet").limit(50).createOrReplaceTempView("some_events")
+    twice = spark.sql("SELECT * FROM some_events UNION ALL SELECT event_id + 1000000, ts, user_id, event_type, value, props FROM some_events")
+    twice.write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = con.sql(ORACLES["set_metadata"]).to_arrow_table()
+    assert sum(want["n"].to_pylist()) == 100
+    assert rows(QUERIES["set_metadata"](spark, str(tmp_path)).toArrow()) == rows(want)

@@ -871,8 +871,8 @@ def log_removed(spark, sf):
 
 @query(f"WITH {EV} SELECT series_key, 'plant 7' AS tag, 'min' AS time_unit, 'm3/h' AS unit, count(*) AS n FROM ev GROUP BY ALL")
 def set_metadata(spark, sf):
-    """Tag and units go with the series through its operators."""
-    s = events(spark, sf).set_tag("plant 7").set_time_unit("min").set_units({"v": "m3/h"}).tag_nan("v").drop_duplicates()
+    """Tag and units go with the series through its operators, and with them all its rows."""
+    s = events(spark, sf).set_tag("plant 7").set_time_unit("min").set_units({"v": "m3/h"}).tag_nan("v").tag_extremes("v", limit=1.5)
     return s.df.groupBy("series_key").agg(F.count("*").alias("n")).select("series_key", F.lit(s.tag).alias("tag"), F.lit(s.time_unit).alias("time_unit"), F.lit(s.units["v"]).alias("unit"), "n")
 
 
