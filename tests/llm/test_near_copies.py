@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import simhash
+from tidegauge.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -66,3 +66,37 @@ def test_changed_words(spark):
     assert n > 300 and None in got and want <= set(got)
     # pairs are found by chance, 0.997 at a similarity of 0.8
     assert len(got) - 1 <= len(want) + 3
+
+
+def test_pairs_without_a_band(spark):
+    """Similar pairs whose bands and fingerprints tell nothing are linked; of a thousand pairs two or three are so."""
+    rng, pairs = random.Random(3), []
+    keys = lambda t: set(near_copies.bands(list(simhash.hashes(t, 5))))
+    while len(pairs) < 4:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        a, b = " ".join(words), " ".join([*words[:25], "changed", *words[26:]])
+        if (simhash.sketch(a, 5) ^ simhash.sketch(b, 5)).bit_count() > 4 and keys(a).isdisjoint(keys(b)):
+            pairs += [a, b]
+    rows = list(enumerate(pairs))
+    want, n = brute(rows)
+    assert n == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want == {0, 2}
+
+
+def test_pairs_apart_from_a_bands_hubs(spark):
+    """Texts that share two thirds with all others, and with one each four fifths, as brute force has them."""
+    rng, rows = random.Random(5), []
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = fresh(160)
+    for _ in range(150):
+        one = [*base, *fresh(40)]
+        other = [*one[:190], *fresh(rng.randrange(8, 25))]
+        rows += [" ".join(one), " ".join(other)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want, n = brute(rows)
+    assert n >= 140 and len(want) >= 140
+    docs = spark.createDataFrame([*rows, (3, "another text of this id"), (None, rows[0][1])], "doc_id long, text string").repartition(5)
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert None in got and set(got) - {None} == want

@@ -50,8 +50,13 @@ def hashes(text: str | None, width: int = 4):
 
 def sketch(text: str | None, width: int = 4) -> int:
     """The fingerprint, as a signed 64-bit integer: a bit is 1 if over half of the shingles' XXH64 have it."""
+    return sketched(hashes(text, width))
+
+
+def sketched(blocks) -> int:
+    """The fingerprint of what hashes() gave."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in hashes(text, width):
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
