@@ -100,3 +100,41 @@ def test_pairs_apart_from_a_bands_hubs(spark):
     docs = spark.createDataFrame([*rows, (3, "another text of this id"), (None, rows[0][1])], "doc_id long, text string").repartition(5)
     got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert None in got and set(got) - {None} == want
+
+
+def _crossing(spark, texts):
+    """What _rest() and _met() give for texts that are each a group."""
+    scratch = near_copies.Scratch(spark, "near-test")
+    marked = scratch.save(near_copies._marked(spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(4), near_copies._frequent(scratch, spark.createDataFrame(list(enumerate(texts)), "id long, body string"))), "marked")
+    pairs = near_copies._rest(scratch, marked, spark.createDataFrame([], "node long, root long")).collect()
+    return {(r.a, r.b) for r in pairs}, near_copies._met(spark.read.parquet(scratch.path("crossing")))
+
+
+def test_common_passage_makes_few_pairs(spark):
+    """Texts that share a passage of more than four fifths of their shingles, and none of which are similar."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    base = fresh(154)
+    texts = [" ".join([*base, *fresh(rng.randrange(24, 30))]) for _ in range(300)]
+    assert brute(list(enumerate(texts)))[1] == 0
+    pairs, met = _crossing(spark, texts)
+    assert met.count() < 300 and len(pairs) < 300
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Every pair of 0.8 or more, also of 0.8 exactly and of texts of unequal sizes, without any help of the bands."""
+    rng, texts = random.Random(12), []
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    base = fresh(90)
+    for n in (1, 4, 5, 8, 9, 10, 13, 40, 104, 300, 900):
+        for _ in range(12):
+            words = fresh(n)
+            texts += [" ".join(words), " ".join(words + fresh(round(n / 4 * rng.random()))), " ".join(fresh(n // 9) + words), " ".join(words[: max(1, n - n // 9)])]
+            texts += [" ".join(words + fresh((n - 4) // 4)), " ".join([*base[: rng.randrange(70, 90)], *fresh(rng.randrange(12))])]
+    texts += ["", "x " * 5_000, "x " * 4]
+    texts = list(dict.fromkeys(texts))
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    exact = sum(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in want)
+    pairs, _ = _crossing(spark, texts)
+    assert len(want) > 500 and exact > 10 and want <= pairs

@@ -11,12 +11,13 @@ number of pairs grows with the documents, not with the square of a band's. Each
 verified before the others, and what that has joined already isn't verified again.
 
 What these miss is found exactly, by prefixes: in an order of all shingles, two similar texts have one in common among
-the first n - ceil(LEAST n) + 1 of each of them, n being a text's number of shingles. Pairs of texts that are in one
-group already aren't made, so large groups of copies cost no pairs within them; of the others those stay that can
-reach LEAST by the number of shingles common to both prefixes and what may follow them, and are verified. So no link
-between groups is lost, by any chance. The order is by hash, with shingles of many texts last: which ones these are is
-taken from a sample of texts, and only the cost depends on it. Texts of frequent shingles alone are compared with all
-others of their kind.
+the first n - ceil(LEAST n) + 1 of each of them, n being a text's number of shingles, and of the shorter one among the
+first n - ceil(8/9 n) + 1. Pairs of texts that are in one group already aren't made, so large groups of copies cost no
+pairs within them. Nor are those made that can't reach LEAST by what follows the shared shingle in both texts, or by
+how many of PARITY bits, each flipped by the shingles that fall on it, differ: every one takes a shingle that only one
+of the two has. The rest is verified. So no link between groups is lost, by any chance. The order is by hash, with
+shingles of many texts last: which ones these are is taken from a sample of texts, and only the cost depends on it.
+Texts that are nearly similar by one passage, in different groups, are still compared with each other.
 
 Null and blank texts are copies of each other; texts with fewer words than a shingle are one shingle. Rows with a
 null id stay. Rows of a repeated id stay or go together. Empty tables give empty results.
@@ -37,6 +38,8 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 8
 #: Shingles put through all min-wise hashes at once.
 BLOCK = 1 << 10
+#: Bits of a text's parities.
+PARITY = 512
 #: Shingles that come last in the order, at most: those met OFTEN times or more in one of SAMPLE texts.
 FREQUENT, OFTEN, SAMPLE = 1 << 19, 2, 32
 #: Ids that are broadcast to find their texts, at most.
@@ -67,15 +70,20 @@ def bands(blocks: list[np.ndarray]) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first of a text's distinct shingles, as many as a similar text can't lack, and the place of the last of them
-    in the order: frequent ones (sorted) come after the others."""
+def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first of a text's distinct shingles, as many as a similar text can't lack: frequent ones (sorted) come after
+    the others."""
     late = np.zeros(len(found), bool)
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
     n = len(found) - _needed(len(found)) + 1
-    first = np.concatenate((found[~late], found[late]))[:n]
-    return first, int(first[-1] >> np.uint64(2)) | (int(n > len(found) - late.sum()) << 62)
+    return np.concatenate((found[~late], found[late]))[:n]
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """PARITY bits, in signed 64-bit integers: whether an odd number of a text's distinct shingles falls on each."""
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _needed(n: int) -> int:
@@ -116,14 +124,14 @@ def _marked(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for t in b.column(1).to_pylist():
                 blocks = list(simhash.hashes(t, WIDTH))
                 found = _distinct(blocks)
-                rows.append((simhash.sketched(blocks), bands(blocks), len(found), *prefix(found, frequent)))
-            prints, keys, sizes, firsts, lasts = zip(*rows) if rows else [()] * 5
+                rows.append((simhash.sketched(blocks), bands(blocks), len(found), parity(found), prefix(found, frequent)))
+            prints, keys, sizes, odds, firsts = zip(*rows) if rows else [()] * 5
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             firsts = np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)
-            columns = [pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(lasts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "fp", "keys", "n", "last", "prefix"])
+            columns = [pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(odds, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "fp", "keys", "n", "parity", "prefix"])
 
-    return in_arrow(docs, work, "id long, fp long, keys array<long>, n long, last long, prefix array<long>")
+    return in_arrow(docs, work, "id long, fp long, keys array<long>, n long, parity array<long>, prefix array<long>")
 
 
 def _pairs(scratch: Scratch, marked: DataFrame) -> DataFrame:
@@ -143,23 +151,31 @@ def _pairs(scratch: Scratch, marked: DataFrame) -> DataFrame:
 def _rest(scratch: Scratch, marked: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b, root_a, root_b), a < b: all pairs that can be similar, of documents that aren't in one group.
 
-    A document's shingles up to the end of the prefix that ends first are in both prefixes if they are in both texts, so
-    the texts have no more in common than the prefixes have, and what follows in the one that ends first.
+    The first common shingle of such a pair is within the longer text's prefix, and within a shorter one of the other.
     """
     alike = Window.partitionBy("key")
     differ = lambda df, c: df.withColumns({"least": F.min(c).over(alike), "most": F.max(c).over(alike)}).where("least < most").drop("least", "most")
-    shared = scratch.save(differ(marked.select("id", F.explode("prefix").alias("key")), "id"), "shared")
-    known = marked.select("id", "n", "last").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    crossing = scratch.save(differ(shared.join(known, "id"), "root"), "crossing")
-    one, other = (crossing.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "last"))) for x in "ab")
-    met = one.join(other, "key").where("root_a < root_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").drop("key")
-    met = met.groupBy(met.columns).agg(F.count("*").alias("both"))
-    after = {x: f"(4 * n_{x} + 4) div 5 - 1" for x in "ab"}
-    follow = f"CASE WHEN last_a < last_b THEN {after['a']} WHEN last_a > last_b THEN {after['b']} ELSE greatest({after['a']}, {after['b']}) END"
-    met = met.where(f"both + {follow} >= (4 * (n_a + n_b) + 8) div 9")
+    shared = scratch.save(differ(marked.select("id", F.posexplode("prefix").alias("at", "key")), "id"), "shared")
+    known = marked.select("id", "n", "parity").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    met = _met(scratch.save(differ(shared.join(known, "id"), "root"), "crossing"))
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "root_a", "root_b").distinct()
 
 
+def _met(crossing: DataFrame) -> DataFrame:
+    """(id_a, id_b, root_a, root_b) for shared shingles of texts that can be similar, a being the longer one.
+
+    If a shingle is the first that two texts share, they have no more in common than follows it in either, itself
+    included; 8/9 of the shorter text at least, as the longer one's size is no less.
+    """
+    columns = ("id", "root", "n", "at", "parity")
+    longer, shorter = (df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in columns)) for df, x in ((crossing, "a"), (crossing.where("at <= n - (8 * n + 8) div 9"), "b")))
+    least = "(4 * (n_a + n_b) + 8) div 9"
+    apart = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY // 64))
+    order = "root_a != root_b AND 5 * n_b >= 4 * n_a AND (n_a > n_b OR n_a = n_b AND id_a > id_b)"
+    met = longer.join(shorter, "key").where(f"{order} AND least(n_a - at_a, n_b - at_b) >= {least} AND {apart} <= n_a + n_b - 2 * ({least})")
+    return met.select("id_a", "id_b", "root_a", "root_b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs whose texts are similar."""
 
