@@ -713,3 +713,20 @@ def test_token_words():
     some = ["".join(rng.choice(" abAB'S\n\té\u0301日　\x1c\x85.,!<|endoftext|>") for _ in range(rng.randrange(25))) for _ in range(2000)] + ["It'S <|ENDOFTEXT|> <|endoftext|>X"]
     for t, ids in zip(some, words.encode(some)):
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+
+
+def test_token_words_are_looked_up_once():
+    """A word's occurrences in some texts cost one lookup, not one each."""
+
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+    words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
+    words.ids = Counted()
+    some = [" tide Gauge\t" * 500, "", " \n", "gauge <|endoftext|> Tide"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(some)] == [words.model.encode(t, add_special_tokens=False).ids for t in some]
+    assert Counted.n < 50

@@ -5,8 +5,8 @@ their shard, hold them in ascending order, and rows of one id, or of none, may b
 take stripes in parallel, skip those whose statistics or Bloom filter exclude an id, and add what the shards before
 hold: one number for each shard.
 
-Words are cut at ASCII blanks, which every token of these tokenizers ends at, and each distinct word is encoded once
-for a table that a Python worker keeps, bounded in bytes; letters A-Z of words without <| count as lower-case, as the
+Words are cut at ASCII blanks, which every token of these tokenizers ends at, and numbered by Arrow for some texts at a
+time; each distinct word is encoded once for a table that a Python worker keeps, bounded in bytes; letters A-Z of words without <| count as lower-case, as the
 tokenizer's own first step has it. Both are read from the tokenizer's settings: one with other steps is given whole
 texts instead.
 
@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -38,8 +39,8 @@ END = 1
 TABLE_BYTES, ENTRY, WIDTH = 112 << 20, 170, 3
 #: Fixed value: the pattern of tokens, none of which has a blank in it.
 TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts whose new words are encoded in one call.
-GROUP = 64
+#: Texts whose words are numbered and looked up at once: characters, about (or one text).
+GROUP = 4 << 20
 STRIPE_BYTES, INDEX_STRIDE = 64 << 20, 10_000
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("shard", IntegerType()), StructField("start_in_shard", LongType()), StructField("ids", ArrayType(IntegerType()))])
 
@@ -88,9 +89,14 @@ class Words:
     def _bytes(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        return raw.lower().split() if self.low and b"<|" not in raw else raw.split()
+    def words(self, texts: list[str]) -> pa.ListArray:
+        """The words of texts that are cut, with empty ones at their ends if there are blanks."""
+        given = pa.array([t.encode() for t in texts], pa.binary()).view(pa.string())
+        if self.low:
+            low = pc.ascii_lower(given)
+            marked = pc.match_substring(given, "<|")
+            given = pc.if_else(marked, given, low) if pc.any(marked).as_py() else low
+        return pc.ascii_split_whitespace(given)
 
     def learn(self, new: list[bytes]) -> None:
         """Letters with marks after them are two tokens' worth each: letters are encoded in lines of many words, cut
@@ -117,21 +123,38 @@ class Words:
         self.held += ENTRY * len(words) + WIDTH * sum(map(len, words))
 
     def encode(self, texts: list[str]):
-        for at in range(0, len(texts), GROUP):
-            some = texts[at : at + GROUP]
-            if not self.cut:
-                yield from map(self._bytes, self._encode(some))
-                continue
-            cut = [self.words(t) for t in some]
-            if self.held > TABLE_BYTES:
-                self.older, self.ids, self.held = self.ids, {}, 0
-            new = {w for words in cut for w in words if w not in self.ids}
-            known = new & self.older.keys()
-            self.ids.update((w, self.older[w]) for w in known)
-            self._hold(known)
-            self.learn(list(new - known))
-            for words in cut:
-                yield b"".join(map(self.ids.__getitem__, words))
+        if not self.cut:
+            yield from map(self._bytes, self._encode(texts))
+            return
+        first, held = 0, 0
+        for upto, t in enumerate(texts, 1):
+            held += len(t)
+            if held >= GROUP or upto == len(texts):
+                yield from self._group(texts[first:upto])
+                first, held = upto, 0
+
+    def _group(self, some: list[str]):
+        cut = self.words(some)
+        coded = cut.flatten().dictionary_encode()
+        at, raw = np.frombuffer(coded.dictionary.buffers()[1], "<i4")[: len(coded.dictionary) + 1].tolist(), bytes(coded.dictionary.buffers()[2] or b"")
+        words = [raw[x:y] for x, y in zip(at, at[1:])]
+        if self.held > TABLE_BYTES:
+            self.older, self.ids, self.held = self.ids, {}, 0
+        new = {w for w in words if w and w not in self.ids}
+        known = new & self.older.keys()
+        self.ids.update((w, self.older[w]) for w in known)
+        self._hold(known)
+        self.learn(list(new - known))
+        found = [self.ids[w] if w else b"" for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        code = coded.indices.to_numpy()
+        wide = sizes[code]
+        ends = np.concatenate(([0], np.cumsum(wide)))
+        line = ids[np.repeat(begins[code] - ends[:-1], wide) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            yield line[x:y]
 
 
 @lru_cache(1)
