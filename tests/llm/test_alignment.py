@@ -134,3 +134,26 @@ def test_empty_and_query(spark, libraries):
     got = queries.op11_alignment(spark, SF)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(brute(rows, libraries))
+
+
+def test_segments_are_looked_up_once():
+    """A group's segments are numbered before the table is asked, and new ones go to the tokenizers in lines, of any letters."""
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counting.asked += 1
+            return super().__contains__(key)
+
+    aligner, given = alignment.Aligner(A, B), []
+    aligner.at, tokens = Counting(), aligner._tokens
+    aligner._tokens = lambda new: given.extend(new) or tokens(new)
+    (found,) = aligner.places(["tide gauge née" + " tide gauge née" * 5_000])
+    assert len(found) == 15_003 and len(set(found)) == 3 and Counting.asked <= 20
+    aligner.places([" ".join(f"étai{n}é" for n in range(3_000))])
+    assert len(given) <= 15 and not aligner.off

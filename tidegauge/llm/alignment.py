@@ -3,8 +3,8 @@
 A byte-level tokenizer (A) and a SentencePiece model (B) are given the same bytes: a space and the text. It is cut
 before runs of whitespace at places that no token of either can cross, as their vocabularies show: pieces of B have a
 marker only at their start, other whitespace that may begin a run is in no piece of several characters, A's own pattern
-ends a token there. Each distinct segment is tokenised and aligned once for a task's table, which is emptied at
-TABLE_BYTES, and its groups and links are joined back by position: a document's alignment is that of its segments, one
+ends a token there. Segments of some texts at a time are cut and numbered by Arrow; each distinct one is tokenised and
+aligned once for a task's table, which is emptied at TABLE_BYTES, and its groups and links are joined back by position: a document's alignment is that of its segments, one
 after the other. A table for the whole corpus would shuffle every word of every document with its place. Vocabularies
 that don't allow cuts are given whole texts.
 
@@ -27,9 +27,11 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,12 +40,14 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import Scratch, in_arrow
 from .pieces import MARK, marked
 
-#: Bytes of a task's table, at most (but for the segments of one GROUP); a segment takes about ENTRY and WIDTH a character.
-TABLE_BYTES, ENTRY, WIDTH = 96 << 20, 330, 10
-#: Texts whose new segments are tokenised in one call, segments that are composed at once, and pairs of a block, about.
-GROUP, COMPOSED, BLOCK = 64, 400_000, 4_000_000
-#: Segments tokenised in one line.
-LINE = 300
+#: Bytes of a task's table, at most (but for the segments of one group); a segment takes about ENTRY besides its bytes, groups and links.
+TABLE_BYTES, ENTRY = 96 << 20, 240
+#: A group of texts, cut and looked up at once, has a GROUP-th of the table's bytes (or one text).
+GROUP = 96
+#: Segments that are composed at once, and pairs of a block, about.
+COMPOSED, BLOCK = 400_000, 4_000_000
+#: Segments tokenised in one line, and lines put into the table at once.
+LINE, LINES = 300, 100
 #: Whitespace that a cut may come before, if the vocabularies allow it.
 BREAKS = " \n"
 
@@ -59,6 +63,33 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Spellings:
+    """Byte strings that each end in a separator, which counts for strings put together but isn't part of one alone."""
+
+    def __init__(self):
+        self.data, self.ends = bytearray(), array("q", [0])
+
+    def put(self, data: bytes, ends: np.ndarray) -> None:
+        """Strings that follow each other in data, where they end."""
+        self.ends.frombytes((ends + len(self.data)).astype(np.int64).tobytes())
+        self.data += data
+
+    def __getitem__(self, n: int) -> bytes:
+        return bytes(self.data[self.ends[n] : self.ends[n + 1]])[:-1]
+
+    def together(self, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The strings of these numbers, one after the other, and their sizes."""
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.data)])
+        return spelled(every, at), np.diff(np.frombuffer(self.ends, np.int64))[at]
+
+
+def spelled(parts: pa.LargeBinaryArray, at: np.ndarray) -> memoryview:
+    """The parts of these numbers, one after the other."""
+    found = parts.take(pa.array(at, pa.int64()))
+    _, ends, data = found.buffers()
+    return memoryview(data or b"").cast("B")[: np.frombuffer(ends, np.int64)[len(at)] if len(at) else 0]
+
+
 class Aligner:
     """Two tokenizers and the table of segments: what a document is composed of."""
 
@@ -74,10 +105,15 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.word = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.parts_a, self.parts_b = (pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
+        words = [f"{i}{end}".encode() for i in range(max(len(self.bytes_a), len(self.bytes_b))) for end in ",|;"]
+        self.words, self.word_sizes = pa.array(words, pa.large_binary()), np.array(list(map(len, words)), np.int64)
         self.mark = self.b.piece_to_id(MARK)
         self.breaks = self._breaks(path_a, path_b, pieces)
         self.odd = re.compile(rf"[^\S{self.breaks}]|[\u180e\u200b\ufeff]")  # whitespace, by some definition, that is no break
+        self.kinds = np.zeros(256, np.uint8)  # of bytes: 1 is a break, 2 may begin an odd character
+        self.kinds[[c.encode()[0] for c in map(chr, range(1 << 16)) if self.odd.match(c)]] = 2
+        self.kinds[list(self.breaks.encode())] = 1
         self.forget()
 
     def _breaks(self, path_a: str, path_b: str, pieces: list[str]) -> str:
@@ -92,19 +128,15 @@ class Aligner:
         return "".join(c for c in BREAKS if not any(c in t for t in inner) and (c == " " or not any(c in p for p in pieces if len(p) > 1)))
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.numbers = [array("q") for _ in NUMBERS]
-        self.groups: list[bytes] = []
+        self.groups = Spellings()
         self.links, self.ends, self.off = array("q"), array("q", [0]), set()
         self.held = 0
 
     def segments(self, given: str) -> list[str]:
         """given, cut before the runs of whitespace that begin with a break; those that begin otherwise don't end a segment."""
-        if not self.breaks:
-            return [given]
         found = re.findall(r"\s+\S*", given)
-        if not self.odd.search(given):
-            return found
         out = [found[0]]
         for s in found[1:]:
             if s[0] in self.breaks and not self.odd.match(out[-1][-1]):
@@ -113,71 +145,120 @@ class Aligner:
                 out[-1] += s
         return out
 
-    def _tokens(self, new: list[str]):
+    def _starts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where segments start in texts that follow each other, by their bytes; texts with odd whitespace are cut by segments()."""
+        kinds = self.kinds[raw]
+        start = kinds == 1
+        start[1:] &= kinds[:-1] != 1
+        if not self.breaks:
+            start[:] = False
+        start[edges[:-1]] = True
+        if self.breaks:
+            for n in np.unique(np.searchsorted(edges, np.flatnonzero(kinds == 2), "right") - 1).tolist():
+                x, y = edges[n], edges[n + 1]
+                if self.odd.search(given := raw[x:y].tobytes().decode()):
+                    start[x:y] = False
+                    sizes = [len(s.encode()) for s in self.segments(given)]
+                    start[x + np.cumsum([0, *sizes[:-1]])] = True
+        return np.flatnonzero(start)
+
+    def _tokens(self, new: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B for texts that begin with whitespace. B puts a space before what it is given."""
         a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         b = self.b.encode([s[1:] if s[0] == " " else s for s in new], num_threads=1)
-        return zip(new, a, (y if s[0] == " " else y[1:] if y[:1] == [self.mark] else [] for s, y in zip(new, b)))
+        return a, [y if s[0] == " " else y[1:] if y[:1] == [self.mark] else [] for s, y in zip(new, b)]
 
-    def learn(self, new: list[str]) -> None:
-        """Segments that end in a visible character are tokenised in lines of many, which are cut where segments end."""
-        whole = [s[0] in self.breaks and not s[-1].isspace() and not self.odd.match(s[-1]) for s in new]
-        lines, rest = [s for s, x in zip(new, whole) if x], [s for s, x in zip(new, whole) if not x]
-        for at in range(0, len(lines), LINE):
-            if not self._line(some := lines[at : at + LINE]):
-                rest += some
-        for s, a, b in self._tokens(rest):
-            given = s.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != given or b"".join(map(self.bytes_b.__getitem__, b)) != given:
-                self.off.add(len(self.at))
-                a, b = [], []
-            self._keep([s], np.array(a, np.int64), np.array(b, np.int64), [len(given)] if a else [0])
-
-    def _line(self, some: list[str]) -> bool:
-        """False if the line's tokens don't give its bytes, or don't end where its segments do."""
-        whole, raw = "".join(some), [s.encode() for s in some]
-        [(_, a, b)] = self._tokens([whole])
-        given = b"".join(raw)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != given or b"".join(map(self.bytes_b.__getitem__, b)) != given:
-            return False
-        return self._keep(some, np.array(a, np.int64), np.array(b, np.int64), list(map(len, raw)))
+    def _whole(self, s: bytes) -> bool:
+        """Whether a segment begins with a break and ends in a visible character."""
+        return self.kinds[s[0]] == 1 and (s[-1] < 128 and not self.kinds[s[-1]] or s[-1] >= 128 and not self.odd.match(s.decode()[-1]))
 
-    def _keep(self, some: list[str], a: np.ndarray, b: np.ndarray, sizes: list[int]) -> bool:
+    def learn(self, new: list[bytes]) -> None:
+        """Segments that end in a visible character are tokenised in lines of many, which are cut where segments end."""
+        lines, rest = [], []
+        for s in new:
+            (lines if self._whole(s) else rest).append(s)
+        for at in range(0, len(lines), LINES * LINE):
+            if not self._lines(some := lines[at : at + LINES * LINE]):
+                for x in range(0, len(some), LINE):
+                    if not self._lines(some[x : x + LINE]):
+                        rest += some[x : x + LINE]
+        if rest:
+            sizes = list(map(len, rest))
+            a, b = self._tokens([s.decode() for s in rest])
+            for n, s in enumerate(rest):
+                if b"".join(map(self.bytes_a.__getitem__, a[n])) != s or b"".join(map(self.bytes_b.__getitem__, b[n])) != s:
+                    self.off.add(len(self.at) + n)
+                    sizes[n], a[n], b[n] = 0, [], []
+            self._keep(rest, *(np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)), sizes)
+
+    def _lines(self, some: list[bytes]) -> bool:
+        """False if the tokens of a line don't give its bytes, or don't end where its segments do."""
+        given, sizes = b"".join(some), list(map(len, some))
+        edges = np.cumsum([0, *sizes])[[*range(0, len(some), LINE), len(some)]]
+        found = []
+        for ids, size, parts in zip(self._tokens([given[x:y].decode() for x, y in zip(edges, edges[1:])]), (self.size_a, self.size_b), (self.parts_a, self.parts_b)):
+            line = np.fromiter(chain.from_iterable(ids), np.int64)
+            upto = np.cumsum(np.concatenate(([0], size[line])))[np.cumsum([0, *map(len, ids)])]
+            if not np.array_equal(upto, edges) or spelled(parts, line) != given:
+                return False
+            found.append(line)
+        return self._keep(some, *found, sizes)
+
+    def _keep(self, some: list[bytes], a: np.ndarray, b: np.ndarray, sizes: list[int]) -> bool:
         """Puts segments, whose tokens follow each other, into the table. Every stretch of bytes between two ends of tokens,
-        of A or of B, is common to one token of each: a link."""
+        of A or of B, is common to one token of each: a link. Nothing is put if a segment's end isn't one of both."""
         ends_a, ends_b, ends = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), np.cumsum(sizes)
-        common, every = np.intersect1d(ends_a, ends_b), np.union1d(ends_a, ends_b)
-        if len(a) and not np.isin(ends, common).all():
+        at_a, at_b = np.zeros(ends[-1] + 1, bool), np.zeros(ends[-1] + 1, bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        both, any_ = at_a & at_b, at_a | at_b
+        if not both[ends[ends > 0]].all():
             return False
-        links = a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)] if len(a) else np.empty(0, np.int64)
-        upto = [np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, common, every)]
+        upto_a, upto_b, upto_both, upto_any = (np.cumsum(x) for x in (at_a, at_b, both, any_))  # of ends up to a byte's
+        common, every = np.flatnonzero(both), np.flatnonzero(any_)
+        links = a[upto_a[every - 1]] << 32 | b[upto_b[every - 1]]
+        upto = [x[ends] for x in (upto_a, upto_b, upto_both, upto_any)]
         for kept, n in zip(self.numbers, upto):
-            kept.extend(np.diff(n, prepend=0).tolist())
-        self.ends.extend((len(self.links) + upto[3]).tolist())
-        self.links.frombytes(links.astype(np.int64).tobytes())
-        words_a, words_b = list(map(self.word.__getitem__, a.tolist())), list(map(self.word.__getitem__, b.tolist()))
-        cut_a, cut_b = ([0, *np.searchsorted(x, common, "right").tolist()] for x in (ends_a, ends_b))
-        groups = [",".join(words_a[i:j]) + "|" + ",".join(words_b[k:n]) for i, j, k, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        cut = [0, *upto[2].tolist()]
-        for n, s in enumerate(some):
-            self.at[s] = len(self.at)
-            self.groups.append(";".join(groups[cut[n] : cut[n + 1]]).encode())
-            self.held += ENTRY + WIDTH * len(s)
+            kept.frombytes(np.diff(n, prepend=0).tobytes())
+        self.ends.frombytes((upto[3] + len(self.links)).tobytes())
+        self.links.frombytes(links.tobytes())
+        first_a, first_b = (np.concatenate(([0], x[common])) for x in (upto_a, upto_b))  # a group's first tokens
+        words = np.empty(len(a) + len(b), np.int64)
+        words[np.arange(len(a)) + first_b[upto_both[ends_a - 1]]] = 3 * a + both[ends_a]
+        words[np.arange(len(b)) + first_a[upto_both[ends_b - 1] + 1]] = 3 * b + 2 * both[ends_b]
+        groups = spelled(self.words, words)
+        self.groups.put(groups, np.concatenate(([0], np.cumsum(self.word_sizes[words])))[upto[0] + upto[1]])
+        self.at.update(zip(some, range(len(self.at), len(self.at) + len(some))))
+        self.held += ENTRY * len(some) + sum(map(len, some)) + len(groups) + links.nbytes
         return True
 
-    def places(self, texts: list[str | None]) -> list[list[int]]:
+    def places(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """For each text the table's numbers of its segments; none if it has no tokens."""
-        cut = [self.segments(" " + t) if t else [] for t in texts]
-        new = list({s for c in cut for s in c if s not in self.at})
-        if new:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out = [np.empty(0, np.int64)] * len(texts)
+        some = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        if not len(some):
+            return out
+        given = pc.binary_join_element_wise(" ", texts.take(pa.array(some)), "")
+        edges = np.frombuffer(given.buffers()[1], np.int32)[: len(given) + 1]
+        raw = np.frombuffer(given.buffers()[2], np.uint8)[: edges[-1]]
+        starts = self._starts(raw, edges)
+        cut = np.append(starts, len(raw)).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cut), given.buffers()[2]]).dictionary_encode()
+        kinds, ends = coded.dictionary.buffers()[2].to_pybytes(), np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1].tolist()
+        found = [kinds[x:y] for x, y in zip(ends, ends[1:])]
+        if new := [s for s in found if s not in self.at]:
             self.learn(new)
-        out = [list(map(self.at.__getitem__, c)) for c in cut]
-        for n, (t, c) in enumerate(zip(texts, out)):
-            if not self.off.isdisjoint(c):  # the bytes of a segment differ: the whole text decides
-                if " " + t not in self.at:
-                    self.learn([" " + t])
-                whole = self.at[" " + t]
-                out[n] = [] if whole in self.off else [whole]
+        at = np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))[coded.indices.to_numpy()]
+        cuts = np.searchsorted(starts, edges).tolist()
+        for n, x, y in zip(some.tolist(), cuts, cuts[1:]):
+            out[n] = at[x:y]
+        if self.off:
+            for n in np.unique(np.searchsorted(cuts, np.flatnonzero(np.isin(at, list(self.off))), "right") - 1).tolist():  # the bytes of a segment differ: the whole text decides
+                text = raw[edges[n] : edges[n + 1]].tobytes()
+                if text not in self.at:
+                    self.learn([text])
+                whole = self.at[text]
+                out[some[n]] = np.array([] if whole in self.off else [whole], np.int64)
         return out
 
 
@@ -198,14 +279,15 @@ class Composer:
         self.times: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, aligner: Aligner, idents: list, places: list[list[int]]) -> None:
+    def add(self, aligner: Aligner, idents: list, places: list[np.ndarray]) -> None:
         """Segments of documents, counted, become pairs, counted."""
         sizes = np.array([len(p) for p in places])
         doc = np.repeat(np.arange(len(places)), sizes)
-        at = np.fromiter((x for p in places for x in p), np.int64, len(doc))
+        at = np.concatenate([np.empty(0, np.int64), *places])
         ends, links = np.frombuffer(aligner.ends, np.int64), np.frombuffer(aligner.links, np.int64) if aligner.links else np.empty(0, np.int64)
         sums = [np.bincount(doc, np.frombuffer(n, np.int64)[at], len(places)).astype(np.int64) for n in aligner.numbers] if len(at) else [np.zeros(len(places), np.int64)] * len(NUMBERS)
-        known, code = np.unique(links, return_inverse=True)
+        coded = pa.array(links).dictionary_encode()
+        known, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         keys, times = np.unique(doc * len(aligner.at) + at, return_counts=True)
         doc, at = keys // max(len(aligner.at), 1), keys % max(len(aligner.at), 1)
         wide = ends[at + 1] - ends[at]
@@ -215,13 +297,15 @@ class Composer:
         many = np.bincount(back, np.repeat(times, wide), len(keys)).astype(np.int32)
         doc, pair = keys // max(len(known), 1), known[keys % max(len(known), 1)] if len(keys) else np.empty(0, np.int64)
         edges = np.searchsorted(doc, np.arange(len(places) + 1))
-        for n, (ident, p) in enumerate(zip(idents, places)):
-            sha = hashlib.sha256(b";".join(map(aligner.groups.__getitem__, p))).hexdigest() if p else ""
+        groups, wide = aligner.groups.together(np.concatenate([np.empty(0, np.int64), *places]))
+        cuts = np.concatenate(([0], np.cumsum(wide)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        for n, ident in enumerate(idents):
+            sha = hashlib.sha256(groups[cuts[n] : cuts[n + 1] - 1]).hexdigest() if sizes[n] else ""
             self.rows.append((ident, *(int(s[n]) for s in sums), sha))
             self.pairs.append(pair[edges[n] : edges[n + 1]])
             self.times.append(many[edges[n] : edges[n + 1]])
         self.held += len(pair)
-        del links, ends  # the table's arrays can't grow while these look at them
+        del links, ends, coded, known, code  # the table's arrays can't grow while these look at them
 
     def batches(self, block: int, schema: pa.Schema, size: int = 1_000):
         """The block's list of pairs, then its documents."""
@@ -240,6 +324,15 @@ class Composer:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), *columns, *lists, *none], schema=schema)
 
 
+def grouped(sizes: np.ndarray, most: int):
+    """From and up to which text groups go that have most bytes, or one text."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, upto
+        at = upto
+
+
 def align(docs: DataFrame, ident: str = "doc_id", text: str = "text", path_a: str | None = None, path_b: str | None = None, block_pairs: int = BLOCK, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """ALIGNED: for each block a row with its list of pairs and in how many of its documents each is linked, and its
     documents, whose pairs are places in that list."""
@@ -262,9 +355,9 @@ def align(docs: DataFrame, ident: str = "doc_id", text: str = "text", path_a: st
 
         try:
             for b in batches:
-                for at in range(0, b.num_rows, GROUP):
-                    ids, texts = (b.column(i).slice(at, GROUP).to_pylist() for i in (0, 1))
-                    found = aligner.places(texts)
+                sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()
+                for at, upto in grouped(sizes, table_bytes // GROUP):
+                    ids, found = b.column(0).slice(at, upto - at).to_pylist(), aligner.places(b.column(1).slice(at, upto - at))
                     idents += ids
                     places += found
                     n += sum(map(len, found))
