@@ -730,3 +730,26 @@ def test_token_words_are_looked_up_once():
     some = [" tide Gauge\t" * 500, "", " \n", "gauge <|endoftext|> Tide"]
     assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(some)] == [words.model.encode(t, add_special_tokens=False).ids for t in some]
     assert Counted.n < 50
+
+
+def test_token_words_with_marks():
+    """Letters have one entry, whatever marks come after them."""
+    import pyarrow as pa
+
+    words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
+
+    def ids(texts):
+        return [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
+
+    def whole(texts):
+        return [words.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+    some = ["Tide, tide. né! gauge,\ttide", "", "tide$$$"]
+    assert ids(some) == whole(some)
+    assert set(words.ids) == {b"tide", "né".encode(), b"gauge", b",", b".", b"!", b"$$$"}
+    assert ids(["", " ", "\n\n"]) == [[], [], []] and ids([]) == []
+    rng = random.Random(9)
+    parts = "a Tide É é ß ÷ × · 日 \u0301 \u0338 İ K Å 's 'LL ' 1 23 . , = < > | _ $ <|endoftext|> <|ENDOFTEXT|>".split(" ") + [" ", " ", "\n", "\x0b", "\x1c", "\xa0"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    assert ids(some) == whole(some)
+    assert ids(pa.array(some, pa.large_string()).slice(100, 900)) == whole(some[100:1000])

@@ -4,9 +4,9 @@ A byte-level tokenizer (A) and a SentencePiece model (B) are given the same byte
 before runs of whitespace at places that no token of either can cross, as their vocabularies show: pieces of B have a
 marker only at their start, other whitespace that may begin a run is in no piece of several characters, A's own pattern
 ends a token there. Segments of some texts at a time are cut and numbered by Arrow; each distinct one is tokenised and
-aligned once for a task's table, which is emptied at TABLE_BYTES, and its groups and links are joined back by position: a document's alignment is that of its segments, one
-after the other. A table for the whole corpus would shuffle every word of every document with its place. Vocabularies
-that don't allow cuts are given whole texts.
+aligned once for a task's table, which is emptied at TABLE_BYTES, and its groups and links are joined back by position: a
+document's alignment is that of its segments, one after the other. A table for the whole corpus would shuffle every word
+of every document with its place. Vocabularies that don't allow cuts are given whole texts.
 
 Groups end where tokens of A and B both end; links are all pairs of tokens with common bytes. How many documents hold a
 pair linked is counted corpus-wide: documents go into blocks with their distinct pairs, coded by place in the block's
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Scratch, in_arrow
+from .common import Scratch, grouped, in_arrow
 from .pieces import MARK, marked
 
 #: Bytes of a task's table, at most (but for the segments of one group); a segment takes about ENTRY besides its bytes, groups and links.
@@ -233,7 +233,7 @@ class Aligner:
 
     def places(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """For each text the table's numbers of its segments; none if it has no tokens."""
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out = [np.empty(0, np.int64)] * len(texts)
         some = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         if not len(some):
@@ -324,15 +324,6 @@ class Composer:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), *columns, *lists, *none], schema=schema)
 
 
-def grouped(sizes: np.ndarray, most: int):
-    """From and up to which text groups go that have most bytes, or one text."""
-    ends, at = np.cumsum(sizes), 0
-    while at < len(sizes):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield at, upto
-        at = upto
-
-
 def align(docs: DataFrame, ident: str = "doc_id", text: str = "text", path_a: str | None = None, path_b: str | None = None, block_pairs: int = BLOCK, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """ALIGNED: for each block a row with its list of pairs and in how many of its documents each is linked, and its
     documents, whose pairs are places in that list."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,15 @@ def in_arrow(df: DataFrame, work, schema) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+def grouped(sizes: np.ndarray, most: int):
+    """From and up to which texts of these sizes groups go that have most bytes, or one text."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, upto
+        at = upto
+
+
 def components(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
@@ -67,4 +77,4 @@ def own(df: DataFrame, stem: str) -> str:
     return name
 
 
-__all__ = ["BATCH_BYTES", "Scratch", "components", "in_arrow", "null_text", "own"]
+__all__ = ["BATCH_BYTES", "Scratch", "components", "grouped", "in_arrow", "null_text", "own"]
