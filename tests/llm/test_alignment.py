@@ -157,3 +157,14 @@ def test_segments_are_looked_up_once():
     assert len(found) == 15_003 and len(set(found)) == 3 and Counting.asked <= 20
     aligner.places([" ".join(f"étai{n}é" for n in range(3_000))])
     assert len(given) <= 15 and not aligner.off
+
+
+def test_texts_of_slices(libraries):
+    """Texts may come as a slice of an Arrow array, with nulls, of any type of string."""
+    import pyarrow as pa
+
+    aligner, some = alignment.Aligner(A, B), [t for _, t in texts()]
+    want = [list(p) for p in aligner.places(some)]
+    for kind in (pa.string(), pa.large_string()):
+        assert [list(p) for p in aligner.places(pa.array(some, kind).slice(200))] == want[200:]
+    assert [list(p) for p in aligner.places(pa.array([None, "", None], pa.string()))] == [[], [], []] and aligner.places([]) == []
